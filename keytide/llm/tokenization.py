@@ -22,8 +22,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: Pieces kept per task, and the longest piece that is kept.
 PIECES_KEPT, LONGEST_KEPT = 500_000, 64
 _CUT = re.compile(r" (?<=[!-~] )(?=[!-~])")
-#: Within a piece of printable ASCII without apostrophes the pattern also cuts wherever the kind of character changes.
-_PLAIN, _RUNS = re.compile(r"[!-&(-~]+"), re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[^A-Za-z0-9 ]+)")
+#: Within a piece of printable ASCII and line ends, without apostrophes, the pattern also cuts where
+#: the kind of character changes, and before the last of several line ends.
+_PLAIN = re.compile(r"[!-&(-~\r\n]*[!-&(-~]")
+_RUNS = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-/:-@\[-`{-~]+)|[\r\n]+(?=[\r\n])|[\r\n]")
 
 
 @lru_cache(maxsize=8)
