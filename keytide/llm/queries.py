@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keytide.llm import packing, tokenization
+from keytide.llm import packing, subjects, tokenization
 from keytide.plans.registry import Registry
 from keytide.sources.tables import table
 
@@ -34,3 +35,17 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are."""
     return packing.fill_report(p7_pack(spark, sf_dir))
+
+
+@REGISTRY.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the subjects that their paragraphs or headnotes deal with."""
+    found = subjects.document_subjects(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("subjects").alias("subject")).distinct()
+
+
+@REGISTRY.add("p8_composition")
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents of each, and of none."""
+    found = subjects.document_subjects(table(spark, sf_dir, "documents"))
+    return found.select(F.explode_outer("subjects").alias("subject")).groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count("*").alias("documents"))
