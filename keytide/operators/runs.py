@@ -89,7 +89,7 @@ def bloom_sizes(expected: int, rate: float) -> tuple[int, int]:
 
 def bloom_positions(key: str, bits: int, hashes: int):
     """Bit positions of a key column, from two hashes."""
-    h1, h2 = F.xxhash64(key), F.xxhash64(F.lit("second"), F.col(key))
+    h1, h2 = F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(F.lit("second"), F.col(key)), F.lit(bits))
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(bits)))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keytide.operators.sliced import revision_slice, running_last
 from keytide.session import materialize
 
 _ORDER = ("revision", "seq")
@@ -34,26 +35,60 @@ def in_range(rows: DataFrame, start: str | None = None, end: str | None = None,
     return rows.where(F.col("key").startswith(prefix)) if prefix is not None else rows
 
 
-def history(log: DataFrame) -> DataFrame:
+def history(log: DataFrame, slices: int = 64) -> DataFrame:
     """Every version with what its place in the key's history gives.
 
     create_revision: revision of the first put since the key's last delete, 0 for deletes; version_no: number of the put
     since then; prev_value, existed: of the version before, if it was a put; next_revision: where the version ends; rank_newest.
-    A key's history is put in order in one task: keys are expected to have fewer versions than fit there on disk.
+    Histories are cut into slices of revisions, so that a hot key is spread.
     """
-    by = Window.partitionBy("key").orderBy(*_ORDER)
-    epoch = Window.partitionBy("key", "epoch").orderBy(*_ORDER)
     put = F.col("op") == "put"
-    return (
-        log.where(F.col("key").isNotNull())
-        .withColumn("epoch", F.coalesce(F.sum((~put).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("prev_value", F.when(F.lag("op").over(by) == "put", F.lag("value").over(by)))
-        .withColumn("existed", F.coalesce(F.lag("op").over(by) == "put", F.lit(False)))
-        .withColumn("next_revision", F.lead("revision").over(by))
-        .withColumn("rank_newest", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("revision"), F.desc("seq"))))
-        .withColumn("create_revision", F.when(put, F.min(F.when(put, F.col("revision"))).over(epoch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(0))
-        .withColumn("version_no", F.when(put, F.row_number().over(epoch)).otherwise(0))
-        .drop("epoch")
+    slice_of, _ = revision_slice(log, slices=slices)
+    rows = log.where(F.col("key").isNotNull()).withColumn("slice", slice_of)
+    inside = Window.partitionBy("key", "slice").orderBy(*_ORDER)
+    earlier, later = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("key", "slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    epoch = Window.partitionBy("key", "slice", "epoch")
+    placed = (
+        rows.withColumn("epoch", F.coalesce(F.sum((~put).cast("int")).over(earlier), F.lit(0)))
+        .withColumn("prev", F.lag(F.struct("op", "value")).over(inside))
+        .withColumn("next_here", F.lead("revision").over(inside))
+        .withColumn("later_here", F.count("*").over(later))
+        .withColumn("first_here", F.min(F.when(put, F.col("revision"))).over(epoch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("puts_here", F.count(F.when(put, 1)).over(epoch.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("deletes", F.count(F.when(~put, 1)).over(whole))
+    )
+    # A row per key and slice: its ends, and what is open after its last delete.
+    tail = F.col("epoch") == F.col("deletes")
+    by = Window.partitionBy("key").orderBy("slice")
+    open_since = Window.partitionBy("key", "opened").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    summary = (
+        placed.groupBy("key", "slice")
+        .agg(F.max(F.struct(*_ORDER, "op", "value")).alias("last"), F.min("revision").alias("first_revision"), F.count("*").alias("n"), F.max("deletes").alias("deletes"), F.min(F.when(tail & put, F.col("revision"))).alias("tail_first"), F.count(F.when(tail & put, 1)).alias("tail_puts"))
+        .withColumn("opened", F.sum((F.col("deletes") > 0).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("open_first", F.min("tail_first").over(open_since))
+        .withColumn("open_puts", F.sum("tail_puts").over(open_since))
+        .select(
+            "key",
+            "slice",
+            F.lag(F.struct("last.op", "last.value")).over(by).alias("prev_in"),
+            F.lead("first_revision").over(by).alias("next_in"),
+            F.coalesce(F.sum("n").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("later_in"),
+            F.lag("open_first").over(by).alias("first_in"),
+            F.coalesce(F.lag("open_puts").over(by), F.lit(0)).alias("puts_in"),
+        )
+    )
+    joined = placed.join(summary, ["key", "slice"])
+    before = F.coalesce("prev", F.when(F.col("prev_in.op").isNotNull(), F.col("prev_in")))
+    first = F.when(F.col("epoch") == 0, F.coalesce("first_in", "first_here")).otherwise(F.col("first_here"))
+    return joined.select(
+        *(F.col(c) for c in log.columns),
+        F.when(before["op"] == "put", before["value"]).alias("prev_value"),
+        F.coalesce(before["op"] == "put", F.lit(False)).alias("existed"),
+        F.coalesce("next_here", "next_in").alias("next_revision"),
+        (F.col("later_here") + F.col("later_in")).alias("rank_newest"),
+        F.when(put, first).otherwise(0).alias("create_revision"),
+        F.when(put, F.col("puts_here") + F.when(F.col("epoch") == 0, F.col("puts_in")).otherwise(0)).otherwise(0).alias("version_no"),
     )
 
 
@@ -94,19 +129,13 @@ def as_of(probes: DataFrame, log: DataFrame, slices: int = 64) -> DataFrame:
     Probes and versions are put in order together in ranges of revisions, so that a hot key is
     spread; what a range starts with comes from the newest version of each range before it.
     """
-    top = log.agg(F.max("revision")).first()[0] or 0
-    width = max(1, -(-top // slices))
-    slice_of = F.floor(F.least(F.col("revision"), F.lit(top)) / width).cast("int")
+    slice_of, _ = revision_slice(log, slices=slices)
     none = F.lit(None)
-    versions = log.where(F.col("key").isNotNull()).select("key", *_ORDER, "op", "value", F.lit(0).alias("kind"), none.cast("long").alias("pid"), none.cast("long").alias("asked"))
-    asked = probes.where(F.col("key").isNotNull()).select("key", F.col("revision"), F.lit(2147483647).alias("seq"), none.cast("string").alias("op"), none.cast("string").alias("value"), F.lit(1).alias("kind"), F.col("pid").cast("long").alias("pid"), F.col("revision").cast("long").alias("asked"))
+    versions = log.where(F.col("key").isNotNull()).select("key", *_ORDER, "op", "value", F.lit(0).alias("kind"), none.cast("long").alias("pid"))
+    asked = probes.where(F.col("key").isNotNull()).select("key", F.col("revision").cast("long").alias("revision"), F.lit(2147483647).alias("seq"), none.cast("string").alias("op"), none.cast("string").alias("value"), F.lit(1).alias("kind"), F.col("pid").cast("long").alias("pid"))
     both = versions.unionByName(asked).withColumn("slice", slice_of)
     version = F.when(F.col("kind") == 0, F.struct("revision", "op", "value"))
-    heads = both.groupBy("key", "slice").agg(F.max(F.when(F.col("kind") == 0, F.struct(*_ORDER, "op", "value"))).alias("head"))
-    before = F.last("head", ignorenulls=True).over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    carried = heads.withColumn("head", before).select("key", "slice", F.struct("head.revision", "head.op", "head.value").alias("carried"))
-    inside = Window.partitionBy("key", "slice").orderBy("revision", "seq", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("found", F.last(version, ignorenulls=True).over(inside)).where("kind = 1").join(carried, ["key", "slice"], "left").withColumn("found", F.coalesce("found", F.when(F.col("carried.revision").isNotNull(), F.col("carried"))))
+    found = running_last(both, ["key"], "slice", ["revision", "seq", "kind"], version, "found", inclusive=True).where("kind = 1")
     put = F.col("found.op") == "put"
     return found.select("pid", "key", F.when(put, F.col("found.value")).alias("value"), F.when(put, F.col("found.revision")).alias("mod_revision"))
 
