@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from keytide.plans import kv, problems, stateful
+from keytide.plans import cluster, kv, problems, stateful
 from keytide.plans.registry import Registry, Run
 
 REGISTRY = Registry()
-for _part in (problems.REGISTRY, kv.REGISTRY, stateful.REGISTRY):
+for _part in (problems.REGISTRY, kv.REGISTRY, stateful.REGISTRY, cluster.REGISTRY):
     REGISTRY.queries.update(_part.queries)
     REGISTRY.oracles.update(_part.oracles)
 
