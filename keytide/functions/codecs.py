@@ -5,6 +5,8 @@ Integers are little-endian unless said otherwise; lengths take 4 bytes. A null p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ ENTRY_TYPES = {"Normal": 0, "ConfigChange": 1, "Noop": 2}
 FOOTER_MAGIC, TOMBSTONE_LENGTH = 0x5354424C, 0xFFFFFFFF
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def big_endian(n: Column, size: int = 8) -> Column:
     """The last ``size`` bytes of an integer, highest first."""
     return F.unhex(F.right(F.lpad(F.hex(n.cast("long")), 16, "0"), F.lit(2 * size)))
@@ -28,9 +35,12 @@ def little_endian(n: Column, size: int = 8) -> Column:
 def read_little_endian(data: Column, start: int | Column, size: int = 8, signed: bool = True) -> Column:
     """The integer in ``size`` bytes from ``start`` (1: the first byte); null if they are not all there."""
     start = F.lit(start) if isinstance(start, int) else start
-    digits = F.hex(F.substring(data, start, F.lit(size)))
-    turned = F.concat(*(F.substring(digits, 2 * size - 1 - 2 * i, 2) for i in range(size)))
-    return F.when(F.length(digits) == 2 * size, F.conv(turned, 16, -10 if signed and size == 8 else 10).cast("long"))
+
+    def of(digits: Column) -> Column:
+        turned = F.concat(*(F.substring(digits, 2 * size - 1 - 2 * i, 2) for i in range(size)))
+        return F.when(F.length(digits) == 2 * size, F.conv(turned, 16, -10 if signed and size == 8 else 10).cast("long"))
+
+    return let(F.hex(F.substring(data, start, F.lit(size))), of)
 
 
 def encode_key(key: Column, revision: Column) -> Column:
@@ -59,11 +69,13 @@ def encode_value(value: Column, create_revision: Column, mod_revision: Column, l
 
 def decode_value(data: Column) -> Column:
     """struct(value, create_revision, mod_revision, lease_id, ttl) of an encoded value."""
-    live = F.hex(F.substring(data, 1, 1)) == TAG_PUT
-    n = F.when(live, read_little_endian(data, 2, 4)).otherwise(0).cast("int")
-    at = F.when(live, n + 6).otherwise(2)
     names = ("create_revision", "mod_revision", "lease_id", "ttl")
-    return F.struct(F.when(live, F.decode(F.substring(data, F.lit(6), n), "utf-8")).alias("value"), *(read_little_endian(data, at + 8 * i).alias(c) for i, c in enumerate(names)))
+
+    def of(n: Column) -> Column:  # size of the value, -5 without one
+        value = F.when(n >= 0, F.decode(F.substring(data, F.lit(6), n), "utf-8"))
+        return F.struct(value.alias("value"), *(read_little_endian(data, n + 6 + 8 * i + F.when(n < 0, 1).otherwise(0)).alias(c) for i, c in enumerate(names)))
+
+    return let(F.when(F.hex(F.substring(data, 1, 1)) == TAG_PUT, read_little_endian(data, 2, 4)).otherwise(-5).cast("int"), of)
 
 
 def encode_wal_op(op: Column, key: Column, value: Column) -> Column:
@@ -73,10 +85,13 @@ def encode_wal_op(op: Column, key: Column, value: Column) -> Column:
 
 def decode_wal_op(data: Column) -> Column:
     """struct(op, key, value) of a logged write; null for an unknown tag."""
-    tag, n = F.hex(F.substring(data, 1, 1)), read_little_endian(data, 2, 4).cast("int")
-    m = read_little_endian(data, n + 6, 4).cast("int")
-    put = tag == TAG_PUT
-    return F.when(tag.isin(TAG_PUT, TAG_DELETE), F.struct(F.when(put, "put").otherwise("delete").alias("op"), F.decode(F.substring(data, F.lit(6), n), "utf-8").alias("key"), F.when(put, F.decode(F.substring(data, n + 10, m), "utf-8")).alias("value")))
+    tag = F.hex(F.substring(data, 1, 1))
+
+    def of(n: Column) -> Column:
+        value = F.when(tag == TAG_PUT, F.decode(F.substring(data, n + 10, read_little_endian(data, n + 6, 4).cast("int")), "utf-8"))
+        return F.struct(F.when(tag == TAG_PUT, "put").otherwise("delete").alias("op"), F.decode(F.substring(data, F.lit(6), n), "utf-8").alias("key"), value.alias("value"))
+
+    return F.when(tag.isin(TAG_PUT, TAG_DELETE), let(read_little_endian(data, 2, 4).cast("int"), of))
 
 
 def wal_record(data: Column) -> Column:
