@@ -89,3 +89,12 @@ def write_text_file(spark: SparkSession, path: str, text: str) -> None:
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(side, jpath(path), overwrite)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where its files have fewer parts than there are cores.
+
+    For work that costs far more than moving the rows; ``scan`` must be a plain scan, as its parts are counted.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
