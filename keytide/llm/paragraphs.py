@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Characters of scanned and copied texts that stand for others, or for none.
-_CHARS = {"\r\n": "\n", "\r": "\n", "\x0c": "\n", "\xad": "", "\u200b": "", "\ufeff": "", "\xa0": " ", "\u202f": " ", "\u2009": " ", "\u2007": " ", "\u2018": "'", "\u2019": "'"}
+_CHARS = {"\r\n": "\n", "\r": "\n", "\x0c": "\n", "\xad": "", "\u200b": "", "\ufeff": "", "\xa0": " ", "\u202f": " ", "\u2009": " ", "\u2007": " ", "\u2018": "'", "\u2019": "'", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl"}
 _BROKEN_WORD = re.compile(r"(?<=[^\W\d_])[-\u2010] ?\n+ *(?=[^\W\d_])")
 #: Headings before headnotes and reasons (fixed values).
 _HEADINGS = {"HEADNOTE", "HEADNOTES", "SOMMAIRE", "LEITSATZ", "LEITSÄTZE", "REASONS", "MOTIFS", "GRÜNDE"}
@@ -18,12 +18,20 @@ _SENTENCE = re.compile(r"(?<=[.;!?:])\s+(?=[^\W\d_a-zß-ÿ]|\[)")
 #: What marks a sentence as one about another case, hearing or question, or about a party's kin (fixed
 #: values, from sentences of the corpus that were looked at).
 ASIDES = (
-    "likened the position", "comparison does not assist", "without developing the point", "each case must be judged by itself",
-    "hearing of another list", "might as well ask", "not how the question arises", "turned on its own facts", "took no part in the appeal",
-    "vergleich mit einem anderen fall", "kommt es danach nicht an", "kommt es nicht an", "auf die sache ",
-    "tirée d'une autre affaire", "n'est pas transposable", "étranger à l'espèce",
-    "neither of which is in point", "the test was restated", "as was said in",
+    "likened the position", "comparison does not", "without developing", "each case must be judged",
+    "hearing of another", "might as well ask", "not how the question", "turned on its own facts", "took no part in",
+    "vergleich mit einem", "kommt es danach nicht an", "kommt es nicht an", "auf die sache ",
+    "la comparaison tirée", "d'une autre affaire", "pas transposable", "étranger à l'espèce",
+    "which is in point", "the test was restated", "as was said in",
 )
+
+
+def scanned(low: str) -> str:
+    """A text in lower case in which characters that scanning confuses are the same."""
+    return low.replace("rn", "m").replace("1", "l").replace("0", "o").replace("5", "s")
+
+
+_ASIDES = tuple(map(scanned, ASIDES))
 #: Legal forms that end the name of a company (fixed values).
 _FORMS = r"(?:plc|Ltd|GmbH|AG|SE|KG|S\.A\.|SA|SARL|Inc|LLP|Cooperative|Holdings|Partners|Group|Services|Trading|Works|& Sons)(?![\w])"
 _FORM, _FIRM = re.compile(rf" {_FORMS}"), re.compile(rf"(?:[A-ZÀ-Ü█\[][\w█….\]'-]* ){{1,5}}{_FORMS}\.?")
@@ -69,8 +77,8 @@ def content_words(unit: str) -> list[str]:
     if _FORM.search(unit):
         unit = _FIRM.sub(" ", unit)
     low = unit.lower()
-    if any(aside in low for aside in ASIDES):
-        low = " ".join(s for s in map(str.lower, _SENTENCE.split(unit)) if not any(aside in s for aside in ASIDES))
+    if any(map(scanned(low).__contains__, _ASIDES)):
+        low = " ".join(s for s in map(str.lower, _SENTENCE.split(unit)) if not any(map(scanned(s).__contains__, _ASIDES)))
     if "withheld" in low or "redacted" in low or "xxx" in low:
         low = _REDACTED.sub(" ", low)
     if "court" in low or "tribunal" in low or "gericht" in low or "cour d" in low:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keytide.llm import packing, subjects, tokenization
 from keytide.plans.registry import Registry
+from keytide.session import spread
 from keytide.sources.tables import table
 
 REGISTRY = Registry()
@@ -15,19 +16,19 @@ REGISTRY = Registry()
 @REGISTRY.add("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
-    return tokenization.encode_corpus(table(spark, sf_dir, "documents"))
+    return tokenization.encode_corpus(spread(table(spark, sf_dir, "documents")))
 
 
 @REGISTRY.add("p6_round_trip", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text, encoded and decoded again."""
-    return tokenization.decode_corpus(tokenization.encode_corpus(table(spark, sf_dir, "documents")))
+    return tokenization.decode_corpus(tokenization.encode_corpus(spread(table(spark, sf_dir, "documents"))))
 
 
 @REGISTRY.add("p7_pack")
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document or piece lies in which container, for every capacity."""
-    documents, containers = table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
+    documents, containers = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers")
     return packing.pack_documents(packing.document_sizes(documents, containers), containers)
 
 
@@ -40,12 +41,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the subjects that their paragraphs or headnotes deal with."""
-    found = subjects.document_subjects(table(spark, sf_dir, "documents"))
+    found = subjects.document_subjects(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.explode("subjects").alias("subject")).distinct()
 
 
 @REGISTRY.add("p8_composition")
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus by subject: documents of each, and of none."""
-    found = subjects.document_subjects(table(spark, sf_dir, "documents"))
+    found = subjects.document_subjects(spread(table(spark, sf_dir, "documents")))
     return found.select(F.explode_outer("subjects").alias("subject")).groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count("*").alias("documents"))

@@ -22,7 +22,7 @@ SUBJECT_TERMS: dict[str, dict[str, tuple[str, ...]]] = {
     "medicine": _terms(
         en="ward virus vaccination ultrasound triage sedative referral physiotherapy operative infection fracture clinic dosage blood cardiac biopsy anaesthetic midwife insulin nurse surgeon swab penicillin wound kidney numbness clot",
         de="gewebebefund dosisanpassung überweisung eingriff aufklärung entlassungsbrief narkoseprotokoll wundinfektion ultraschallbild",
-        fr="anesthésie infection postopératoire consentement opération sortie échographie posologie adaptation biopsie protocole essai",
+        fr="anesthésie infection postopératoire consentement opération sortie échographie posologie biopsie protocole essai",
     ),
     "finance": _terms(
         en="securities overdraft custodian fund repayment loan ledger guarantee arrears dividend rating downgrade collateral swap prospectus margin mandate investment credit debtor broker lender savers covenant tranche instalments trustees compound penalties",
