@@ -43,6 +43,21 @@ def deliverable(edges: DataFrame, partitions: DataFrame) -> DataFrame:
     return edges.join(partitions, ["from_id", "to_id"], "left_anti")
 
 
+def draw(seed: int, *cols: str) -> Column:
+    """A number in [0, 1) from a hash of columns: the same for the same row, however often it is computed."""
+    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / (1 << 40)
+
+
+def simulate_delivery(messages: DataFrame, partitions: DataFrame, loss: float, least_ms: int, most_ms: int, seed: int = 0) -> DataFrame:
+    """Messages (message_id, from_id, to_id) that no partition and no loss keeps back, each with a delay_ms in [least_ms, most_ms].
+
+    ``loss`` is kept in [0, 1]. The same seed gives the same result.
+    """
+    sent = deliverable(messages.select("message_id", "from_id", "to_id"), partitions)
+    kept = sent.where(draw(seed, "message_id") >= min(max(loss, 0.0), 1.0))
+    return kept.withColumn("delay_ms", (F.lit(least_ms) + F.floor(draw(seed + 1, "message_id") * (most_ms - least_ms + 1))).cast("long"))
+
+
 def touched_ranges(reads: DataFrame, damaged: DataFrame, block: int = 4096) -> DataFrame:
     """Reads (offset, size) that meet a damaged range (offset, size): distinct offset, size, ranges.
 

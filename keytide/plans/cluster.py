@@ -216,6 +216,18 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.deliverable(edges, edges.where("(from_id * 7 + to_id * 3) % 11 = 0"))
 
 
+@REGISTRY.add("delivery_simulation", "SELECT true AS loss_kept, true AS delays_kept, true AS none_cut")
+def delivery_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a simulated network keeps to its rate of loss, its delays and its partitions."""
+    sent = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS message_id", "o_custkey % 5 AS from_id", "o_orderkey % 5 AS to_id")
+    cut = spark.createDataFrame([(0, 1), (1, 0)], "from_id long, to_id long")
+    got = audit.simulate_delivery(sent, cut, 0.25, 5, 50)
+    is_cut = F.col("from_id") + F.col("to_id") == 1
+    offered = sent.where(~is_cut).agg(F.count("*").alias("offered"))  # one row
+    totals = got.agg(F.count("*").alias("n"), F.min("delay_ms").alias("low"), F.max("delay_ms").alias("high"), F.count_if(is_cut).alias("cut"))
+    return totals.join(F.broadcast(offered)).select(F.col("n").between(0.7 * F.col("offered"), 0.8 * F.col("offered")).alias("loss_kept"), ((F.col("low") >= 5) & (F.col("high") <= 50)).alias("delays_kept"), (F.col("cut") == 0).alias("none_cut"))
+
+
 @REGISTRY.add("corrupt_reads", "SELECT l_partkey * 100 + l_linenumber * 9 AS \"offset\", 10::BIGINT AS size, count(DISTINCT p_partkey) AS ranges FROM lineitem JOIN part ON p_partkey BETWEEN l_partkey - 1 AND l_partkey + 1 AND l_partkey * 100 + l_linenumber * 9 < p_partkey * 100 + p_size AND l_partkey * 100 + l_linenumber * 9 + 10 > p_partkey * 100 GROUP BY ALL")
 def corrupt_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads that meet damaged ranges of a disk."""
@@ -325,6 +337,32 @@ def peers_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_id"), F.explode(codecs.parse_peers(text)).alias("id", "address"))
 
 
+@REGISTRY.add("block_codec", _sql(STORE_LOG_SQL, select="SELECT key, count(*) AS entries, CAST(4 + sum(8 + strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM log WHERE key < 'c' GROUP BY key"))
+def block_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the versions of each key in a range, by size; a block holds what a run's writer gathers, here one key's values."""
+    rows = store_log(spark, sf_dir).where("key < 'c'")
+    entry = codecs.encode_block(F.array(F.struct("key", "value")))
+    sizes = rows.select("key", (F.octet_length(entry) - 4).alias("n"))
+    return sizes.groupBy("key").agg(F.count("*").alias("entries"), (F.sum("n") + 4).cast("long").alias("bytes"))
+
+
+@REGISTRY.add("election_timeouts", "SELECT true AS in_range, true AS spread")
+def election_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether drawn timeouts lie in their range and differ."""
+    drawn = table(spark, sf_dir, "orders").select(codecs.election_timeout(150, 300, 3).alias("ms"))
+    return drawn.agg(((F.min("ms") >= 150) & (F.max("ms") <= 300)).alias("in_range"), (F.count_distinct("ms") > 50).alias("spread"))
+
+
+@REGISTRY.add("joint_json", "SELECT n_nationkey AS id, n_nationkey % 3 + 1 AS old_members, 2 AS new_members, 'addr-' || n_name AS first_address FROM nation")
+def joint_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint configurations as JSON, and back."""
+    member = lambda i, a: F.struct(i.cast("long").alias("id"), a.alias("address"))
+    name = F.concat(F.lit("addr-"), "n_name")
+    old = F.transform(F.sequence(F.lit(0), F.col("n_nationkey") % 3), lambda i: member(i, name))
+    text = F.to_json(F.struct(old.alias("old"), F.array(member(F.lit(1), name), member(F.lit(2), name)).alias("new")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.from_json(text, codecs.JOINT).alias("j")).select(F.col("n_nationkey").alias("id"), F.size("j.old").alias("old_members"), F.size("j.new").alias("new_members"), F.col("j.old")[0]["address"].alias("first_address"))
+
+
 @REGISTRY.add("snapshot_names", "SELECT n_nationkey AS id, 'snapshot-' || lpad(CAST(n_nationkey * 1000 AS VARCHAR), 20, '0') AS name FROM nation")
 def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of snapshots."""

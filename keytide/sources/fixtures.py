@@ -19,12 +19,12 @@ LOG_COLUMNS = ["revision", "seq", "key", "op", "value", "lease_id", "ttl_seconds
 def distinct_changes(change_log: DataFrame) -> DataFrame:
     """The log without repeated deliveries and progress marks, in the engine's columns.
 
-    Of the deliveries of a (mod_revision, seq) the first to arrive (feed_pos) stands. A
+    Of the deliveries of a (mod_revision, seq) of a key the first to arrive (feed_pos) stands; bounds on keys reach the scan. A
     delete has no value; a null lease or ttl is 0.
     """
     gone = is_delete(F.col("event_type"))
-    first = change_log.where(F.col("key").isNotNull()).groupBy("mod_revision", "seq").agg(F.min_by(F.struct("key", "event_type", "value", "lease_id", "ttl_seconds", "ts"), "feed_pos").alias("r"))
-    return first.select("mod_revision", "seq", "r.*").select(
+    first = change_log.where(F.col("key").isNotNull()).groupBy("mod_revision", "seq", "key").agg(F.min_by(F.struct("event_type", "value", "lease_id", "ttl_seconds", "ts"), "feed_pos").alias("r"))
+    return first.select("mod_revision", "seq", "key", "r.*").select(
         F.col("mod_revision").alias("revision"),
         "seq",
         "key",

@@ -90,3 +90,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["key", "value", "create_revision", "mod_revision", "lease_id"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_command_line(spark):
+    from keytide.__main__ import run
+    from keytide.session import shared_path
+
+    path = shared_path(spark, "cli")
+    say = lambda *args: [tuple(r) for r in run(spark, [path, *args]).collect()]
+    assert say("get", "a") == [] and say("put", "a", "1") == [(1, False)] and say("put", "b", "2") == [(2, False)]
+    assert say("get", "a") == [("a", "1", 1)] and say("range", "a", "z", "1") == [("a", "1", 1)] and say("range", "z", "a") == []
+    assert say("delete", "a") == [(3, True)] and say("delete", "q") == [(4, False)] and say("status") == [(4, 1, 2)]
+    for wrong in ([], ["drop"], ["get"]):
+        with pytest.raises(ValueError):
+            run(spark, [path, *wrong] if wrong else [])
