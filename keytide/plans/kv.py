@@ -52,6 +52,13 @@ def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.newest(log).where("op = 'put'").select("key", "value", F.col("revision").alias("mod_revision"))
 
 
+@REGISTRY.add("kv_get_at", _sql(STORE_LOG_SQL, _TOP, select="SELECT key, value, revision AS mod_revision FROM (SELECT * FROM log, top WHERE key = 'cfg/rollout/active' AND revision <= top // 2 ORDER BY revision DESC, seq DESC LIMIT 1) WHERE op = 'put'"))
+def kv_get_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key at half of the log."""
+    log = store_log(spark, sf_dir)
+    return versions.newest(log.where("key = 'cfg/rollout/active'"), _top(log) // 2).where("op = 'put'").select("key", "value", F.col("revision").alias("mod_revision"))
+
+
 @REGISTRY.add(
     "kv_get_many",
     _sql(STORE_LOG_SQL, _NEWEST.format(where=""), select="SELECT w.key, coalesce(n.value, '') AS value, coalesce(n.revision, 0) AS mod_revision FROM (SELECT DISTINCT key FROM watchers) w LEFT JOIN newest n ON n.key = w.key AND n.op = 'put'"),
