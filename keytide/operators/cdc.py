@@ -4,7 +4,7 @@ Method: the feed goes into an embedded DuckDB per task as an upsert whose confli
 compares stored sequences; deletes stay as tombstones, so that an older put that comes
 later cannot revive a key. The first round runs on the rows as they are read and leaves one
 row per key and task, which keeps a hot key from filling one bucket; the second runs on the hash
-buckets of the keys. The buckets' results are written as one new version of the state
+buckets of the keys, in the order of keys, so that a bucket of any size passes through a small table. The buckets' results are written as one new version of the state
 and published by replacing a single pointer file.
 """
 
@@ -27,8 +27,8 @@ _ARROW = pa.schema(
     + [(c, pa.int64()) for c in ("create_revision", "lease_id", "ttl_seconds")]
     + [("ts", pa.timestamp("us")), ("feed_pos", pa.int64())]
 )
-#: Rows that go into DuckDB at once, and keys after which a task hands on what it has.
-ROWS_AT_ONCE, KEYS_AT_ONCE = 100_000, 400_000
+#: Rows and bytes that go into DuckDB at once; keys and bytes after which a task hands on what it has.
+ROWS_AT_ONCE, BYTES_AT_ONCE, KEYS_HELD, BYTES_HELD = 100_000, 32 << 20, 400_000, 128 << 20
 
 _ORDER = "coalesce({0}mod_revision, -1), coalesce({0}seq, -1), -coalesce({0}feed_pos, 0)"
 _UPSERT = f"""
@@ -44,8 +44,12 @@ create_revision BIGINT, lease_id BIGINT, ttl_seconds BIGINT, ts TIMESTAMP, feed_
 """
 
 
-def _upsert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Upsert a task's rows and give the rows of its table, more than once if they are many."""
+def _upsert(batches: Iterator[pa.RecordBatch], by_key: bool = False) -> Iterator[pa.RecordBatch]:
+    """Upsert a task's rows and give the rows of its table.
+
+    A table that has become large is handed on early. Rows of a key may then come more than once, unless the
+    task's rows are sorted ``by_key``: all keys but the last are complete at any time, and only they are handed on.
+    """
     import duckdb
 
     def fresh():
@@ -59,23 +63,26 @@ def _upsert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con.unregister("incoming")
         return con.execute("SELECT count(*) FROM state").fetchall()[0][0]
 
-    def export(con) -> Iterator[pa.RecordBatch]:
-        got = con.sql("SELECT * FROM state").to_arrow_table().cast(_ARROW)
-        yield from got.to_batches(max_chunksize=20_000)
+    def held(con, where: str = "") -> list[pa.RecordBatch]:
+        return con.sql(f"SELECT * FROM state {where}").to_arrow_table().cast(_ARROW).to_batches(max_chunksize=20_000)
 
-    con, waiting, n, keys = fresh(), [], 0, 0
+    con, waiting, rows, size, kept = fresh(), [], 0, 0, 0
     for batch in batches:
         waiting.append(batch)
-        n += batch.num_rows
-        if n >= ROWS_AT_ONCE:
-            keys, waiting, n = take(con, waiting), [], 0
-            if keys >= KEYS_AT_ONCE:
-                yield from export(con)
-                con.close()
-                con = fresh()
+        rows, size, kept = rows + batch.num_rows, size + batch.nbytes, kept + batch.nbytes
+        if rows < ROWS_AT_ONCE and size < BYTES_AT_ONCE:
+            continue
+        keys, waiting, rows, size = take(con, waiting), [], 0, 0
+        if keys >= KEYS_HELD or kept >= BYTES_HELD:
+            yield from held(con, "WHERE key <> (SELECT max(key) FROM state)" if by_key else "")
+            last = held(con, "WHERE key = (SELECT max(key) FROM state)") if by_key else []
+            con.close()
+            con, kept = fresh(), sum(b.nbytes for b in last)
+            if last:
+                take(con, last)
     if waiting:
         take(con, waiting)
-    yield from export(con)
+    yield from held(con)
     con.close()
 
 
@@ -119,7 +126,7 @@ class StateTable:
         if read_text_file(self.spark, f"{self.path}/CURRENT") is not None:
             partial = partial.unionByName(self.read())
         version = f"v-{uuid.uuid4().hex}"
-        partial.repartition(buckets, "key").mapInArrow(_upsert, STATE_SCHEMA).write.parquet(f"{self.path}/{version}")
+        partial.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(lambda rows: _upsert(rows, by_key=True), STATE_SCHEMA).write.parquet(f"{self.path}/{version}")
         write_text_file(self.spark, f"{self.path}/CURRENT", version)
         return self.read()
 

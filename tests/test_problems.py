@@ -132,7 +132,7 @@ def test_state_edges(spark, rows):
 def test_state_parts_handed_on_early(spark, rows, monkeypatch):
     log = random_log(random.Random(3), 300)
     monkeypatch.setattr(cdc, "ROWS_AT_ONCE", 1)
-    monkeypatch.setattr(cdc, "KEYS_AT_ONCE", 5)
+    monkeypatch.setattr(cdc, "KEYS_HELD", 5)
     import pyarrow as pa
 
     names = [c.split()[0] for c in cdc.STATE_SCHEMA.split(", ")]
@@ -143,6 +143,9 @@ def test_state_parts_handed_on_early(spark, rows, monkeypatch):
             if r["key"] not in best or (r["mod_revision"], r["seq"]) > best[r["key"]][:2]:
                 best[r["key"]] = (r["mod_revision"], r["seq"], r["deleted"])
     assert sorted(((k, v[0]) for k, v in best.items() if not v[2]), key=str) == replay(log)
+    whole = [r for part in cdc._upsert(iter(batch.sort_by("key").to_batches(max_chunksize=20)), by_key=True) for r in part.to_pylist()]
+    assert len({r["key"] for r in whole}) == len(whole) == len(best)  # sorted by key, each comes once
+    assert sorted(((r["key"], r["mod_revision"]) for r in whole if not r["deleted"]), key=str) == replay(log)
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------------
