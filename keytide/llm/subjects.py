@@ -53,7 +53,7 @@ def corpus_paragraphs(documents: DataFrame) -> DataFrame:
     paragraphs are listed with none. The language is told from the text, not from the column lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = batch.column(1).to_pylist()
             units = [[" ".join(content_words(u)) for u in units_of(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([language_of(t) for t in texts], pa.string()), pa.array(units, pa.list_(pa.string()))], names=["doc_id", "lang", "units"])
