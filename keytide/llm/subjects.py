@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.paragraphs import content_words, language_of, units_of
-from keytide.llm.terms import SUBJECT_TERMS
+from keytide.llm.terms import PARTY_WORDS, SUBJECT_TERMS
 from keytide.session import materialize
 
 LANGUAGES = ("en", "de", "fr")
@@ -36,7 +36,7 @@ class TopicSettings:
     passes: int = 3
     inner_steps: int = 8
     least_share: float = 0.008
-    most_share: float = 0.18
+    most_share: float = 0.22
     least_burst: float = 1.3
     #: Dirichlet priors: of topics in a paragraph, of words in a topic, and of a subject's inspected terms in its topic.
     topic_prior: float = 0.1
@@ -95,7 +95,7 @@ def word_statistics(paragraphs: DataFrame) -> DataFrame:
 
 def vocabulary(paragraphs: DataFrame, settings: TopicSettings) -> dict[str, list[str]]:
     """Words of each language, in alphabetical order, that are neither rare nor common and
-    come back within documents more than by chance.
+    come back within documents more than by chance; words for parties are none of them.
 
     At most (words of a document) / least_share of them reach the driver, however large the corpus.
     """
@@ -103,7 +103,7 @@ def vocabulary(paragraphs: DataFrame, settings: TopicSettings) -> dict[str, list
     sizes = stats.where("word = ''").select("lang", F.col("in_documents").alias("documents"))
     by_chance = (F.col("in_units") / F.col("documents")) / (1 - F.exp(-F.col("in_units") / F.col("documents")))
     kept = (
-        stats.where("word <> ''")
+        stats.where((F.col("word") != "") & ~F.col("word").isin(*PARTY_WORDS))
         .join(F.broadcast(sizes), "lang")  # a row per language
         .where((F.col("in_documents") >= F.greatest(F.lit(2), settings.least_share * F.col("documents"))) & (F.col("in_documents") <= settings.most_share * F.col("documents")))
         .where(F.col("in_units") / F.col("in_documents") >= settings.least_burst * by_chance)

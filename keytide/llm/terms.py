@@ -7,6 +7,13 @@ def _terms(**by_language: str) -> dict[str, tuple[str, ...]]:
     return {lang: tuple(words.split()) for lang, words in by_language.items()}
 
 
+#: Words for the parties of a case: as bursty as those of a subject, as a case has the same parties throughout (fixed values).
+PARTY_WORDS = (
+    "appellant", "appellants", "applicant", "applicants", "authority", "claimant", "claimants", "defendant", "defendants", "respondent", "respondents",
+    "antragsgegner", "antragsgegnerin", "antragsteller", "antragstellerin", "beklagte", "beklagten", "kläger", "klägerin",
+    "appelant", "appelante", "défenderesse", "défendeur", "demanderesse", "demandeur", "intimé", "intimée",
+)
+
 #: For each subject the terms among the top terms of unguided topics that, on inspection, speak of it alone (fixed values).
 SUBJECT_TERMS: dict[str, dict[str, tuple[str, ...]]] = {
     "software": _terms(

@@ -109,6 +109,7 @@ def test_units():
     assert "turbine" not in content_words("Counsel likened the position to one involving the turbine, but the comparison does not assist. The barley rotted.")
     assert content_words("Counsel 1ikened the position to one involving the turbine. The barley rotted.") == ["barley", "rotted"]
     assert "power" not in content_words("Grotrandt Power Ltd denied any duty.") and "quorn" not in content_words("the district court of Quorn sat")
+    assert content_words("; [name withheld] Cooperative filed") == ["filed"] and "cooperative" in content_words("the dairy cooperative failed")
     assert language_of("der Senat und die Klage") == "de" and language_of("la cour et les parties") == "fr" and language_of(None) == "en"
 
 
