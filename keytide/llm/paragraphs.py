@@ -34,7 +34,7 @@ def scanned(low: str) -> str:
 _ASIDES = tuple(map(scanned, ASIDES))
 #: Legal forms that end the name of a company (fixed values).
 _FORMS = r"(?:plc|Ltd|GmbH|AG|SE|KG|S\.A\.|SA|SARL|Inc|LLP|Cooperative|Holdings|Partners|Group|Services|Trading|Works|& Sons)(?![\w])"
-_FORM, _FIRM = re.compile(rf" {_FORMS}"), re.compile(rf"(?:[A-ZÀ-Ü█\[][\w█….\]'-]* ){{0,5}}\b{_FORMS}\.?")
+_FORM, _FIRM = re.compile(rf" {_FORMS}"), re.compile(rf"(?:[A-ZÀ-Ü█\[][\w█….\]'-]* ){{0,5}}(?<!\w){_FORMS}\.?")
 #: Names of courts, as they run through page headers, in lower case.
 _COURT = re.compile(r"\d*\b(?:(?:district|high|commercial) court (?:of|at) \w+|\w+ (?:court of appeal|tribunal)\b|(?:amts|land|oberlandes)gericht \w+|tribunal de \w+|cour d'appel de \w+)")
 #: Marks of anonymised names (fixed values).
