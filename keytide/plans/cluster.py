@@ -9,7 +9,7 @@ from keytide.functions import codecs
 from keytide.operators import audit, consensus
 from keytide.plans.kv import _sql
 from keytide.plans.registry import Registry
-from keytide.sources.fixtures import RAFT_LOG_SQL, STORE_LOG_SQL, event_sizes, raft_log, store_log
+from keytide.sources.fixtures import REPLICATED_LOG_SQL, STORE_LOG_SQL, event_sizes, replicated_log, store_log
 from keytide.sources.tables import table
 
 REGISTRY = Registry()
@@ -27,7 +27,7 @@ def _members(spark: SparkSession, **configs: range) -> DataFrame:
 
 
 def _commit_sql(quorums: str) -> str:
-    return _sql(_N, _ACKS, RAFT_LOG_SQL, select=f"SELECT coalesce(max(c.match_index), 0) AS commit_index FROM acks c JOIN raft l ON l.log_index = c.match_index AND l.term = 4 WHERE {quorums}")
+    return _sql(_N, _ACKS, REPLICATED_LOG_SQL, select=f"SELECT coalesce(max(c.match_index), 0) AS commit_index FROM acks c JOIN replog l ON l.log_index = c.match_index AND l.term = 4 WHERE {quorums}")
 
 
 def _reached(below: int) -> str:
@@ -38,14 +38,14 @@ def _reached(below: int) -> str:
 def commit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the log is committed."""
     acks, _ = _acks(spark, sf_dir)
-    return consensus.commit_index(acks, _members(spark, now=range(5)), raft_log(spark, sf_dir), 4, 0)
+    return consensus.commit_index(acks, _members(spark, now=range(5)), replicated_log(spark, sf_dir), 4, 0)
 
 
 @REGISTRY.add("commit_index_joint", _commit_sql(f"{_reached(5)} AND {_reached(3)}"))
 def commit_index_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same while the members change from three to five."""
     acks, _ = _acks(spark, sf_dir)
-    return consensus.commit_index(acks, _members(spark, old=range(3), new=range(5)), raft_log(spark, sf_dir), 4, 0)
+    return consensus.commit_index(acks, _members(spark, old=range(3), new=range(5)), replicated_log(spark, sf_dir), 4, 0)
 
 
 _BALLOTS = "ballots AS (SELECT event_id // 6 AS ballot, (event_id * 7 + event_id // 6) % 6 AS node_id FROM events WHERE event_type IN ('view', 'click'))"
@@ -74,24 +74,24 @@ def vote_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.votes_granted(asked, voters)
 
 
-_FOLLOWER = "follower AS (SELECT log_index, CASE WHEN log_index > n * 3 // 4 THEN term - 1 ELSE term END AS term FROM raft, rn WHERE log_index <= n * 9 // 10)"
+_FOLLOWER = "follower AS (SELECT log_index, CASE WHEN log_index > n * 3 // 4 THEN term - 1 ELSE term END AS term FROM replog, rn WHERE log_index <= n * 9 // 10)"
 
 
 def _follower(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, _ = event_sizes(spark, sf_dir)
-    return raft_log(spark, sf_dir).where(F.col("log_index") <= n * 9 // 10).select("log_index", (F.col("term") - (F.col("log_index") > n * 3 // 4).cast("int")).alias("term"))
+    return replicated_log(spark, sf_dir).where(F.col("log_index") <= n * 9 // 10).select("log_index", (F.col("term") - (F.col("log_index") > n * 3 // 4).cast("int")).alias("term"))
 
 
-@REGISTRY.add("log_conflict", _sql(RAFT_LOG_SQL, _FOLLOWER, select="SELECT (SELECT min(f.log_index) FROM follower f JOIN raft l ON l.log_index = f.log_index AND l.term <> f.term) AS conflict_index, (SELECT max(log_index) FROM follower) AS follower_last, (SELECT max(log_index) FROM raft) AS leader_last"))
+@REGISTRY.add("log_conflict", _sql(REPLICATED_LOG_SQL, _FOLLOWER, select="SELECT (SELECT min(f.log_index) FROM follower f JOIN replog l ON l.log_index = f.log_index AND l.term <> f.term) AS conflict_index, (SELECT max(log_index) FROM follower) AS follower_last, (SELECT max(log_index) FROM replog) AS leader_last"))
 def log_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a follower's log departs from the leader's."""
-    return consensus.first_conflict(raft_log(spark, sf_dir), _follower(spark, sf_dir))
+    return consensus.first_conflict(replicated_log(spark, sf_dir), _follower(spark, sf_dir))
 
 
-@REGISTRY.add("log_after_append", _sql(RAFT_LOG_SQL, select="SELECT log_index, term FROM raft"))
+@REGISTRY.add("log_after_append", _sql(REPLICATED_LOG_SQL, select="SELECT log_index, term FROM replog"))
 def log_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The follower's log once it has taken the leader's entries."""
-    return consensus.appended(raft_log(spark, sf_dir), _follower(spark, sf_dir))
+    return consensus.appended(replicated_log(spark, sf_dir), _follower(spark, sf_dir))
 
 
 @REGISTRY.add("replication_lag", _sql(_N, _ACKS, select="SELECT node_id, match_index, match_index + 1 AS next_index, n - match_index AS lag, match_index + 1 <= n * 4 // 5 AS needs_snapshot FROM acks, nn"))
@@ -134,54 +134,54 @@ def transfer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.transfer_checks(asked, acks, 0, n * 15 // 16)
 
 
-_CHANGES = "changes AS (SELECT log_index, CASE WHEN log_index // 97 % 3 > 0 THEN 'add' ELSE 'remove' END AS change, 2 + log_index // 97 % 4 AS node_id FROM raft WHERE log_index % 97 = 0)"
+_CHANGES = "changes AS (SELECT log_index, CASE WHEN log_index // 97 % 3 > 0 THEN 'add' ELSE 'remove' END AS change, 2 + log_index // 97 % 4 AS node_id FROM replog WHERE log_index % 97 = 0)"
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raft_log(spark, sf_dir).where("log_index % 97 = 0").selectExpr("log_index", "if(log_index div 97 % 3 > 0, 'add', 'remove') AS change", "2 + log_index div 97 % 4 AS node_id")
+    return replicated_log(spark, sf_dir).where("log_index % 97 = 0").selectExpr("log_index", "if(log_index div 97 % 3 > 0, 'add', 'remove') AS change", "2 + log_index div 97 % 4 AS node_id")
 
 
-@REGISTRY.add("membership_changes", _sql(RAFT_LOG_SQL, _CHANGES, select="SELECT log_index, change, node_id, CASE WHEN change = 'add' AND was THEN 'AlreadyMember' WHEN change = 'remove' AND NOT was THEN 'NotAMember' ELSE 'applied' END AS status FROM (SELECT *, coalesce(lag(change) OVER (PARTITION BY node_id ORDER BY log_index) = 'add', node_id < 3) AS was FROM changes)"))
+@REGISTRY.add("membership_changes", _sql(REPLICATED_LOG_SQL, _CHANGES, select="SELECT log_index, change, node_id, CASE WHEN change = 'add' AND was THEN 'AlreadyMember' WHEN change = 'remove' AND NOT was THEN 'NotAMember' ELSE 'applied' END AS status FROM (SELECT *, coalesce(lag(change) OVER (PARTITION BY node_id ORDER BY log_index) = 'add', node_id < 3) AS was FROM changes)"))
 def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether changes of members are valid."""
     return consensus.membership_changes(_changes(spark, sf_dir), _members(spark, now=range(3)))
 
 
-@REGISTRY.add("members_after", _sql(RAFT_LOG_SQL, _CHANGES, select="SELECT node_id FROM (SELECT unnest([0, 1, 2])::BIGINT AS node_id) WHERE node_id NOT IN (SELECT node_id FROM changes) UNION ALL SELECT node_id FROM changes GROUP BY node_id HAVING arg_max(change, log_index) = 'add'"))
+@REGISTRY.add("members_after", _sql(REPLICATED_LOG_SQL, _CHANGES, select="SELECT node_id FROM (SELECT unnest([0, 1, 2])::BIGINT AS node_id) WHERE node_id NOT IN (SELECT node_id FROM changes) UNION ALL SELECT node_id FROM changes GROUP BY node_id HAVING arg_max(change, log_index) = 'add'"))
 def members_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members after all changes."""
     return consensus.members_after(_changes(spark, sf_dir), _members(spark, now=range(3)))
 
 
-@REGISTRY.add("log_compacted", _sql(RAFT_LOG_SQL, select="SELECT term, count(*) AS entries, min(log_index) AS first_index, max(log_index) AS last_index FROM raft, rn WHERE log_index > n * 4 // 5 GROUP BY term"))
+@REGISTRY.add("log_compacted", _sql(REPLICATED_LOG_SQL, select="SELECT term, count(*) AS entries, min(log_index) AS first_index, max(log_index) AS last_index FROM replog, rn WHERE log_index > n * 4 // 5 GROUP BY term"))
 def log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the log is left after a snapshot, by term."""
     n, _ = event_sizes(spark, sf_dir)
-    return consensus.log_after_snapshot(raft_log(spark, sf_dir), n * 4 // 5).groupBy("term").agg(F.count("*").alias("entries"), F.min("log_index").alias("first_index"), F.max("log_index").alias("last_index"))
+    return consensus.log_after_snapshot(replicated_log(spark, sf_dir), n * 4 // 5).groupBy("term").agg(F.count("*").alias("entries"), F.min("log_index").alias("first_index"), F.max("log_index").alias("last_index"))
 
 
-_NORMAL = "normal AS (SELECT * FROM raft, (SELECT n * 9 // 10 AS committed FROM rn) WHERE entry_type = 'Normal' AND log_index <= committed)"
+_NORMAL = "normal AS (SELECT * FROM replog, (SELECT n * 9 // 10 AS committed FROM rn) WHERE entry_type = 'Normal' AND log_index <= committed)"
 
 
-@REGISTRY.add("apply_commands", _sql(RAFT_LOG_SQL, _NORMAL, select="""SELECT log_index, CASE event_type WHEN 'error' THEN 'Delete' WHEN 'signup' THEN 'LeaseGrant' ELSE 'Put' END AS type, CASE WHEN event_type <> 'signup' THEN CAST(user_id AS VARCHAR) END AS key, CASE WHEN event_type NOT IN ('signup', 'error') THEN event_type END AS value,
+@REGISTRY.add("apply_commands", _sql(REPLICATED_LOG_SQL, _NORMAL, select="""SELECT log_index, CASE event_type WHEN 'error' THEN 'Delete' WHEN 'signup' THEN 'LeaseGrant' ELSE 'Put' END AS type, CASE WHEN event_type <> 'signup' THEN CAST(user_id AS VARCHAR) END AS key, CASE WHEN event_type NOT IN ('signup', 'error') THEN event_type END AS value,
  CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN user_id WHEN 'purchase' THEN user_id ELSE 0 END AS lease_id, CASE WHEN event_type = 'signup' THEN 60 + event_id % 60 END AS ttl FROM normal WHERE event_id % 101 <> 100"""))
 def apply_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of the committed commands."""
     n, _ = event_sizes(spark, sf_dir)
-    return consensus.apply_commands(raft_log(spark, sf_dir), n * 9 // 10)[0]
+    return consensus.apply_commands(replicated_log(spark, sf_dir), n * 9 // 10)[0]
 
 
-@REGISTRY.add("apply_quarantine", _sql(RAFT_LOG_SQL, _NORMAL, select="SELECT log_index, '{broken' AS data FROM normal WHERE event_id % 101 = 100"))
+@REGISTRY.add("apply_quarantine", _sql(REPLICATED_LOG_SQL, _NORMAL, select="SELECT log_index, '{broken' AS data FROM normal WHERE event_id % 101 = 100"))
 def apply_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Committed commands that cannot be read."""
     n, _ = event_sizes(spark, sf_dir)
-    return consensus.apply_commands(raft_log(spark, sf_dir), n * 9 // 10)[1]
+    return consensus.apply_commands(replicated_log(spark, sf_dir), n * 9 // 10)[1]
 
 
-@REGISTRY.add("status_row", _sql(_N, _ACKS, RAFT_LOG_SQL, select="SELECT max(log_index) AS last_index, max(term) AS term, arg_max(term, log_index) AS last_term, count(*) FILTER (entry_type = 'Noop') AS elections, count(*) AS entries FROM raft"))
+@REGISTRY.add("status_row", _sql(_N, _ACKS, REPLICATED_LOG_SQL, select="SELECT max(log_index) AS last_index, max(term) AS term, arg_max(term, log_index) AS last_term, count(*) FILTER (entry_type = 'Noop') AS elections, count(*) AS entries FROM replog"))
 def status_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of a log in one row."""
-    return raft_log(spark, sf_dir).agg(F.max("log_index").alias("last_index"), F.max("term").alias("term"), F.max_by("term", "log_index").alias("last_term"), F.count_if(F.col("entry_type") == "Noop").alias("elections"), F.count("*").alias("entries"))
+    return replicated_log(spark, sf_dir).agg(F.max("log_index").alias("last_index"), F.max("term").alias("term"), F.max_by("term", "log_index").alias("last_term"), F.count_if(F.col("entry_type") == "Noop").alias("elections"), F.count("*").alias("entries"))
 
 
 _OPS = "hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY op_id ORDER BY recorded_at) AS rn FROM ops) WHERE rn = 1)"
@@ -300,11 +300,11 @@ def wal_op_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_log(spark, sf_dir).select("revision", "seq", raw.alias("raw")).select("revision", "seq", codecs.decode_wal_op(F.col("raw")).alias("w")).select("revision", "seq", "w.op", "w.key", "w.value")
 
 
-@REGISTRY.add("entry_codec", _sql(RAFT_LOG_SQL, select="SELECT log_index, term, entry_type FROM raft"))
+@REGISTRY.add("entry_codec", _sql(REPLICATED_LOG_SQL, select="SELECT log_index, term, entry_type FROM replog"))
 def entry_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the replicated log, encoded and back."""
     raw = codecs.encode_entry(*(F.col(c) for c in ("log_index", "term", "entry_type", "data")))
-    return raft_log(spark, sf_dir).select(raw.alias("raw")).select(codecs.decode_entry(F.col("raw")).alias("e")).select("e.log_index", "e.term", "e.entry_type")
+    return replicated_log(spark, sf_dir).select(raw.alias("raw")).select(codecs.decode_entry(F.col("raw")).alias("e")).select("e.log_index", "e.term", "e.entry_type")
 
 
 @REGISTRY.add("footer_codec", "SELECT p_partkey AS index_offset, p_size::BIGINT AS index_size, p_partkey + p_size AS bloom_offset, p_size * 2::BIGINT AS bloom_size, p_size % 9::BIGINT AS hashes FROM part")

@@ -92,7 +92,7 @@ def txn_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replicated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(log_index, term, entry_type, data): a replicated log of commands in JSON."""
     n, _ = event_sizes(spark, sf_dir)
     term = f"1 + event_id * 4 div {n}"
@@ -125,8 +125,8 @@ writes AS (
   SELECT l_orderkey AS txn_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS seq,
     'user-' || lpad(CAST(l_partkey % u AS VARCHAR), 6, '0') AS key, CASE WHEN l_returnflag = 'R' THEN 'delete' ELSE 'put' END AS op,
     CASE WHEN l_returnflag <> 'R' THEN 'part:' || l_partkey END AS value FROM lineitem, nu)"""
-RAFT_LOG_SQL = """rn AS (SELECT count(*) AS n FROM events),
-raft AS (
+REPLICATED_LOG_SQL = """rn AS (SELECT count(*) AS n FROM events),
+replog AS (
   SELECT event_id + 1 AS log_index, 1 + event_id * 4 // n AS term,
     CASE WHEN event_id = 0 OR event_id * 4 // n <> (event_id - 1) * 4 // n THEN 'Noop' WHEN (event_id + 1) % 997 = 0 THEN 'ConfigChange' ELSE 'Normal' END AS entry_type,
     event_id, event_type, user_id FROM events, rn)"""
