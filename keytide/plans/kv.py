@@ -124,6 +124,12 @@ def delete_existed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.history(versions.in_range(store_log(spark, sf_dir), "t", "v")).where("op = 'delete'").select("revision", "seq", "key", "existed")
 
 
+@REGISTRY.add("delete_existed_all", _sql(STORE_LOG_SQL, select="SELECT revision, seq, key, existed FROM (SELECT *, coalesce(lag(op) OVER (PARTITION BY key ORDER BY revision, seq) = 'put', false) AS existed FROM log) WHERE op = 'delete'"))
+def delete_existed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every delete of the log, and whether the key was there."""
+    return versions.history(store_log(spark, sf_dir)).where("op = 'delete'").select("revision", "seq", "key", "existed")
+
+
 _GC = "gc AS (SELECT l.*, (SELECT top - top // 100 FROM top) AS m FROM log l), marked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY revision DESC, seq DESC) AS rank, row_number() OVER (PARTITION BY key, revision <= m ORDER BY revision DESC, seq DESC) AS visible FROM gc)"
 
 
