@@ -10,7 +10,7 @@ spread evenly.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +29,7 @@ LANGUAGES = ("en", "de", "fr")
 
 @dataclass(frozen=True)
 class TopicSettings:
-    """Parameters of the models; shares are of a language's documents that have paragraphs."""
+    """Parameters of the models; shares are of a language's documents that have paragraphs, the documents of a ruling counted as one."""
 
     #: Topics without inspected terms, for what is about no subject.
     free_topics: int = 1
@@ -49,52 +49,67 @@ class TopicSettings:
 
 
 def corpus_paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, units): content words of every paragraph, joined by blanks; documents without
-    paragraphs are listed with none. The language is told from the text, not from the column lang."""
+    """(doc_id, case_no, lang, units): content words of every paragraph, joined by blanks; documents without
+    paragraphs are listed with none. The language is told from the text, not from the column lang; case_no is null
+    where the documents have no such column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = batch.column(1).to_pylist()
             units = [[" ".join(content_words(u)) for u in units_of(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([language_of(t) for t in texts], pa.string()), pa.array(units, pa.list_(pa.string()))], names=["doc_id", "lang", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([language_of(t) for t in texts], pa.string()), pa.array(units, pa.list_(pa.string()))], names=["doc_id", "case_no", "lang", "units"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang string, units array<string>")
+    case = F.col("case_no") if "case_no" in documents.columns else F.lit(None).cast("string").alias("case_no")
+    return documents.select("doc_id", "text", case).mapInArrow(run, "doc_id bigint, case_no string, lang string, units array<string>")
+
+
+def document_weights(paragraphs: DataFrame) -> DataFrame:
+    """(lang, case_no, weight) of the rulings of several documents: 1 / those of the language that have paragraphs.
+
+    So a ruling counts as one document, however many copies and versions of it there are.
+    """
+    several = paragraphs.where(F.col("case_no").isNotNull() & (F.size("units") > 0)).groupBy("lang", "case_no").agg(F.count("*").alias("n")).where("n > 1")
+    return several.select("lang", "case_no", (1 / F.col("n")).alias("weight"))
 
 
 def word_statistics(paragraphs: DataFrame) -> DataFrame:
-    """(lang, word, in_units, in_documents) over all documents; word '' counts the documents themselves."""
+    """(lang, word, in_units, in_documents) over all documents, each by its ruling's weight; word '' counts the documents themselves.
+
+    Rulings' weights are written before the join, so that one with very many documents can be split among tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
-        docs: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+        units: dict[str, dict[str, float]] = {lang: defaultdict(float) for lang in LANGUAGES}
+        docs: dict[str, dict[str, float]] = {lang: defaultdict(float) for lang in LANGUAGES}
         for batch in batches:
-            for lang, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, own, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not own:
                     continue
-                seen: set[str] = set()
-                for unit in own:
-                    words = set(unit.split())
-                    units[lang].update(words)
-                    seen |= words
-                docs[lang].update(seen)
-                docs[lang][""] += 1
+                in_units, in_docs = units[lang], docs[lang]
+                for word, n in Counter(w for unit in own for w in set(unit.split())).items():
+                    in_units[word] += n * weight
+                    in_docs[word] += weight
+                in_docs[""] += weight
             if sum(map(len, docs.values())) > 200_000:
                 yield give(units, docs)
                 for c in (*units.values(), *docs.values()):
                     c.clear()
         yield give(units, docs)
 
-    def give(units: dict[str, Counter], docs: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, w, units[lang][w], n) for lang in LANGUAGES for w, n in docs[lang].items()]
+    def give(units: dict[str, dict[str, float]], docs: dict[str, dict[str, float]]) -> pa.RecordBatch:
+        rows = [(lang, w, units[lang].get(w, 0.0), n) for lang in LANGUAGES for w, n in docs[lang].items()]
         cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["lang", "word", "in_units", "in_documents"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["lang", "word", "in_units", "in_documents"])
 
-    parts = paragraphs.select("lang", "units").mapInArrow(run, "lang string, word string, in_units bigint, in_documents bigint")
-    return parts.groupBy("lang", "word").agg(F.sum("in_units").alias("in_units"), F.sum("in_documents").alias("in_documents"))
+    named, alone = paragraphs.where("case_no IS NOT NULL"), paragraphs.where("case_no IS NULL").withColumn("weight", F.lit(1.0))
+    weighted = named.join(materialize(document_weights(paragraphs), "weights"), ["lang", "case_no"], "left").unionByName(alone)
+    parts = weighted.select("lang", "units", F.coalesce("weight", F.lit(1.0)).alias("weight")).mapInArrow(run, "lang string, word string, in_units double, in_documents double")
+    # Rounded, as sums of fractions depend on their order in the last places.
+    return parts.groupBy("lang", "word").agg(F.round(F.sum("in_units"), 6).alias("in_units"), F.round(F.sum("in_documents"), 6).alias("in_documents"))
 
 
 def vocabulary(paragraphs: DataFrame, settings: TopicSettings) -> dict[str, list[str]]:
-    """Words of each language, in alphabetical order, that are neither rare nor common and
+    """Words of each language, in alphabetical order, that are neither rare nor common among rulings and
     come back within documents more than by chance; words for parties are none of them.
 
     At most (words of a document) / least_share of them reach the driver, however large the corpus.

@@ -128,6 +128,19 @@ def test_subjects_held_out(spark):
     assert hits / sum(len(rows[d]) for d in truth) > 0.9
 
 
+def test_copies_of_a_ruling_move_no_words(spark):
+    """A ruling that holds a third of the rows counts as one, so its words stay below the upper cut-off."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mass = F.col("case_no") == "MC 77/2021"
+    many = docs.unionByName(docs.where(mass).crossJoin(spark.range(4)).withColumn("doc_id", F.col("doc_id") + 1_000_000 * (F.col("id") + 1)).drop("id"))
+    assert many.where(mass).count() > many.count() / 3
+    once, often = (subjects.vocabulary(subjects.corpus_paragraphs(d), subjects.TopicSettings()) for d in (docs, many))
+    assert once == often and {"fund", "arrears", "ledger", "repayment", "loan"} <= set(often["en"])
+    found = {r.doc_id: r.subjects for r in subjects.document_subjects(many).collect()}
+    in_mass = [r.doc_id for r in many.where(mass & (F.length(F.trim("text")) > 0)).collect()]
+    assert sum("finance" in found[d] for d in in_mass) > 0.9 * len(in_mass)
+
+
 def test_subjects_edges(spark):
     schema = "doc_id long, text string, units string, lang string"
     few = spark.createDataFrame([(1, None, "x", "de"), (2, "", "x", None), (3, "1. Only this.", "x", "en"), (3, "1. Only this.", "x", "en")], schema)
