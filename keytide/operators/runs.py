@@ -7,11 +7,17 @@ of the greatest sst_id, is the newest.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keytide.functions.codecs import encode_block, read_block
+
 L0_TRIGGER, LEVEL_RATIO = 4, 10
+#: Bytes of entries at which a block is closed.
+BLOCK_SIZE = 4096
 
 
 def cut_runs(log: DataFrame, runs: int = 10, newest_in_l0: int = 4) -> DataFrame:
@@ -27,6 +33,48 @@ def cut_runs(log: DataFrame, runs: int = 10, newest_in_l0: int = 4) -> DataFrame
     )
 
 
+def blocks(log: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """(places, data): all versions of a log by key, revision and seq, encoded in blocks that close once they hold block_size bytes.
+
+    places: revision and seq of a block's entries in their order, as a block has none. Blocks are gathered in ranges of
+    the whole order, so that a hot key is spread.
+    """
+    order = ("key", "revision", "seq")
+    entry = pa.struct([("key", pa.string()), ("value", pa.string()), ("revision", pa.int64()), ("seq", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
+        for batch in batches:
+            closed = []
+            for row in batch.to_pylist():
+                held.append(row)
+                size += 8 + len(row["key"].encode()) + len((row["value"] or "").encode())
+                if size >= block_size:
+                    closed.append(held)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(closed, pa.list_(entry))], names=["entries"])
+        yield pa.RecordBatch.from_arrays([pa.array([held] if held else [], pa.list_(entry))], names=["entries"])
+
+    rows = log.where(F.col("key").isNotNull()).select("key", "value", F.col("revision").cast("long").alias("revision"), F.col("seq").cast("int").alias("seq"))
+    gathered = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "entries array<struct<key:string,value:string,revision:bigint,seq:int>>")
+    return gathered.select(F.transform("entries", lambda e: F.struct(e["revision"].alias("revision"), e["seq"].alias("seq"))).alias("places"), encode_block(F.col("entries")).alias("data"))
+
+
+def entries_of_blocks(encoded: DataFrame) -> DataFrame:
+    """(revision, seq, key, value) of what blocks() gave, read from the bytes; ValueError if a block has more or fewer entries than places."""
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            read = [(p["revision"], p["seq"], *e) for places, data in pairs for p, e in zip(places, read_block(data), strict=True)]
+            cols = zip(*read, strict=True) if read else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["revision", "seq", "key", "value"])
+
+    return encoded.mapInArrow(run, "revision bigint, seq int, key string, value string")
+
+
 def run_statistics(entries: DataFrame) -> DataFrame:
     """Per run: level, smallest and greatest key, entries, tombstones, bytes of keys and values."""
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions import codecs
-from keytide.operators import audit, consensus
+from keytide.operators import audit, consensus, runs
 from keytide.plans.kv import _sql
 from keytide.plans.registry import Registry
 from keytide.sources.fixtures import REPLICATED_LOG_SQL, STORE_LOG_SQL, event_sizes, replicated_log, store_log
@@ -346,6 +346,12 @@ def block_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("key").agg(F.count("*").alias("entries"), (F.sum("n") + 4).cast("long").alias("bytes"))
 
 
+@REGISTRY.add("block_codec_all", _sql(STORE_LOG_SQL, select="SELECT revision, seq, key, value FROM log"))
+def block_codec_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of the log, encoded in blocks of several entries and back."""
+    return runs.entries_of_blocks(runs.blocks(store_log(spark, sf_dir)))
+
+
 @REGISTRY.add("election_timeouts", "SELECT true AS in_range, true AS spread")
 def election_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether drawn timeouts lie in their range and differ."""

@@ -2,6 +2,8 @@
 
 import pytest
 
+from keytide.functions.codecs import read_block
+from keytide.operators import runs
 from keytide.sources.fixtures import store_log
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,18 @@ def test_every_delete_is_told(spark, rows, by_sql):
     got = entry.queries()["delete_existed_all"](spark, SF)
     assert rows(got) == sorted(want, key=str) == by_sql("delete_existed_all", got.columns)
     assert any(not "t" <= r[2] < "v" for r in want) and {r[3] for r in want} == {True, False}
+
+
+def test_blocks_hold_the_whole_log(spark, rows, by_sql):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["block_codec_all"](spark, SF)
+    whole = rows(got)
+    assert whole == by_sql("block_codec_all", got.columns) == rows(store_log(spark, SF), *got.columns)
+    assert any(r[2] >= "c" for r in whole) and any(r[3] is None for r in whole)
+    size = lambda e: 8 + len(e[0].encode()) + len((e[1] or "").encode())
+    read = [(len(r.places), read_block(bytes(r.data))) for r in runs.blocks(store_log(spark, SF), 1000).collect()]
+    assert sum(len(b) for _, b in read) == len(whole) and max(n for n, _ in read) > 1
+    assert all(n == len(b) and b == sorted(b, key=lambda e: e[0]) and sum(map(size, b[:-1])) < 1000 for n, b in read)
+    assert sum(sum(map(size, b)) < 1000 for _, b in read) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows(runs.entries_of_blocks(runs.blocks(store_log(spark, SF).limit(0)))) == []
