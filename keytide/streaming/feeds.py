@@ -30,17 +30,21 @@ def feed_stream(spark: SparkSession, sf_dir: str, name: str = "change_log", file
     return rows.select(*(F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema.fields))
 
 
-def first_deliveries(stream: DataFrame, late: str = "8 days") -> DataFrame:
-    """The stream without repeated deliveries of a change and without progress marks, as long as they come within ``late``."""
-    return stream.where(F.col("key").isNotNull() & F.col("arrived_at").isNotNull()).withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["mod_revision", "seq"])
-
-
 def run_watch_feed(changes: DataFrame, watchers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write (watch_id, revision, seq, key) of what each watcher sees, batch by batch; a batch that is
-    repeated after a failure replaces its own output, so that nothing comes twice."""
+    repeated after a failure replaces its own output, so that nothing comes twice.
+
+    Changes may come in any order and any time late: repeated deliveries are told by (mod_revision, seq) within a batch and
+    from what earlier batches wrote, and progress marks are left out. A change that no watcher sees is written in no batch.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        seen = batch.select(F.col("mod_revision").alias("revision"), "seq", "key")
+        spark = batch.sparkSession
+        seen = batch.where(F.col("key").isNotNull()).select(F.col("mod_revision").alias("revision"), "seq", "key").dropDuplicates(["revision", "seq"])
+        fs, jpath = hadoop_fs(spark, path)
+        if fs.exists(jpath(path)):
+            told = spark.read.schema("revision long, seq int, batch long").parquet(path).where(F.col("batch") < number)
+            seen = seen.join(told.select("revision", "seq").distinct(), ["revision", "seq"], "left_anti")
         match_watchers(seen, watchers).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
