@@ -1,4 +1,4 @@
-"""Numbered paragraphs and headnotes of decisions, as words that can speak of a subject."""
+"""Numbered paragraphs and headnotes of decisions, as sentences of words that can speak of a subject."""
 
 from __future__ import annotations
 
@@ -14,32 +14,9 @@ _MARK = re.compile(r"(?:(?:Rn\.?|§|¶|Para\.?) ?\d{1,3}\b|\[\d{1,3}\]|\(?\d{1,3
 #: Lines of page headers and footers within paragraphs: page counts, running court names, running case numbers.
 _PAGE_LINE = re.compile(r"[—–-]+ *\w+ \d+ \w+ \d+ *[—–-]+|\d+ ?[A-ZÀ-Ü' ]{8,}|\[\d{4}\] [A-Z]{2,4} \d+ [–—-] \d+|[^\n]+?(?: v\. | c/ | \./\. )[^\n]+?  +\d+|\d+")
 _SENTENCE = re.compile(r"(?<=[.;!?:])\s+(?=[^\W\d_a-zß-ÿ]|\[)")
-
-#: What marks a sentence as one about another case, hearing or question, or about a party's kin (fixed
-#: values, from sentences of the corpus that were looked at).
-ASIDES = (
-    "likened the position", "comparison does not", "without developing", "each case must be judged",
-    "hearing of another", "might as well ask", "not how the question", "turned on its own facts", "took no part in",
-    "vergleich mit einem", "kommt es danach nicht an", "kommt es nicht an", "auf die sache ",
-    "la comparaison tirée", "d'une autre affaire", "pas transposable", "étranger à l'espèce",
-    "which is in point", "the test was restated", "as was said in",
-)
-
-
-def scanned(low: str) -> str:
-    """A text in lower case in which characters that scanning confuses are the same."""
-    return low.replace("rn", "m").replace("1", "l").replace("0", "o").replace("5", "s")
-
-
-_ASIDES = tuple(map(scanned, ASIDES))
-#: Legal forms that end the name of a company (fixed values).
-_FORMS = r"(?:plc|Ltd|GmbH|AG|SE|KG|S\.A\.|SA|SARL|Inc|LLP|Cooperative|Holdings|Partners|Group|Services|Trading|Works|& Sons)(?![\w])"
-_FORM, _FIRM = re.compile(rf" {_FORMS}"), re.compile(rf"(?:[A-ZÀ-Ü█\[][\w█….\]'-]* ){{0,5}}(?<!\w){_FORMS}\.?")
-#: Names of courts, as they run through page headers, in lower case.
-_COURT = re.compile(r"\d*\b(?:(?:district|high|commercial) court (?:of|at) \w+|\w+ (?:court of appeal|tribunal)\b|(?:amts|land|oberlandes)gericht \w+|tribunal de \w+|cour d'appel de \w+)")
-#: Marks of anonymised names (fixed values).
-_REDACTED = re.compile(r"\[redacted\]|\[name withheld\]|name withheld|redacted|x{3,}")
-_WORD = re.compile(r"[a-zß-öø-ÿœ]{4,}")
+#: Words of four letters and more that start with a small letter, so that names are none of them but where every noun is
+#: written large.
+_WORD = re.compile(r"(?<![^\W\d_])[a-zß-öø-ÿœ]{4,}")
 #: Words by which the languages are told apart (fixed values).
 _TELLING = {"en": (" the ", " of ", " and "), "de": (" der ", " die ", " das ", " und "), "fr": (" la ", " le ", " les ", " et ")}
 
@@ -72,18 +49,23 @@ def units_of(text: str | None) -> list[str]:
     return [u for u in (" ".join(" ".join(parts).split()) for parts in (units if body else [before])) if u]
 
 
-def content_words(unit: str) -> list[str]:
-    """Words of four letters and more, in lower case, without asides, firms, courts and marks of anonymised names."""
-    if _FORM.search(unit):
-        unit = _FIRM.sub(" ", unit)
-    low = unit.lower()
-    if any(map(scanned(low).__contains__, _ASIDES)):
-        low = " ".join(s for s in map(str.lower, _SENTENCE.split(unit)) if not any(map(scanned(s).__contains__, _ASIDES)))
-    if "withheld" in low or "redacted" in low or "xxx" in low:
-        low = _REDACTED.sub(" ", low)
-    if "court" in low or "tribunal" in low or "gericht" in low or "cour d" in low:
-        low = _COURT.sub(" ", low)
-    return _WORD.findall(low)
+def sentences_of(unit: str, lang: str) -> list[str]:
+    """The sentences of a paragraph, each as its words of four letters and more in lower case, joined by blanks.
+
+    In English and French, words written large within a sentence are names of persons, firms and courts, and are left out
+    (a sentence that is written large throughout keeps its words). Sentences without such words are left out.
+    """
+    out = []
+    for sentence in _SENTENCE.split(unit):
+        low = sentence.lower()
+        if lang != "de" and sentence != sentence.upper():
+            sentence = low[0] + sentence[1:] if sentence else ""
+        else:
+            sentence = low
+        words = _WORD.findall(sentence)
+        if words:
+            out.append(" ".join(words))
+    return out
 
 
 def language_of(text: str | None) -> str:

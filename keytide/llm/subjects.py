@@ -1,18 +1,20 @@
 """Subject areas of documents by latent Dirichlet topic models.
 
-Method: a latent Dirichlet topic model per language is fitted, distributed over the tasks, on the
-numbered paragraphs and headnotes of all documents; topics are mapped to subjects through terms that
-were inspected among the top terms of such topics, and which also guide the topics' priors; a document has the
-subjects that hold enough of the topic proportions of one of its paragraphs. A decision speaks of a matter in a few words among many of procedure, so the
-vocabulary is chosen by burstiness: words that come back in the documents that have them, where those of procedure
-spread evenly.
+Method: unguided topic models, a few per language, are fitted distributed over the tasks on all documents (``topics``); topics
+are mapped to subjects through terms that were inspected among the top terms of such topics (``terms``); a document has the
+subjects that hold enough of the topic proportions of one of its paragraphs. A decision speaks of a matter in a few words
+among many of procedure, so the vocabulary is chosen by burstiness: words that come back in the documents that have them, where those of
+procedure spread evenly.
+
+A subject named only in an aside (a comparison, a cited case) is none of the document's. Asides are learnt: what is said in
+them of a subject is seldom borne out by other sentences of the same document, so words of their fixed phrases ("likened", "comparison")
+occur, over the corpus, mostly in sentences that are not borne out. Sentences with such words are left out of the proportions.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,63 +22,46 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.paragraphs import content_words, language_of, units_of
-from keytide.llm.terms import PARTY_WORDS, SUBJECT_TERMS
-from keytide.session import materialize
+from keytide.llm.paragraphs import language_of, sentences_of, units_of
+from keytide.llm.terms import SUBJECTS, inspected_terms
+from keytide.llm.topics import LANGUAGES, TopicModel, TopicSettings, filled, fit_topics, infer, topic_weights
+from keytide.session import materialize, shared_path
 
-LANGUAGES = ("en", "de", "fr")
-
-
-@dataclass(frozen=True)
-class TopicSettings:
-    """Parameters of the models; shares are of a language's documents that have paragraphs, the documents of a ruling counted as one."""
-
-    #: Topics without inspected terms, for what is about no subject.
-    free_topics: int = 1
-    passes: int = 3
-    inner_steps: int = 8
-    least_share: float = 0.008
-    most_share: float = 0.22
-    least_burst: float = 1.3
-    #: Dirichlet priors: of topics in a paragraph, of words in a topic, and of a subject's inspected terms in its topic.
-    topic_prior: float = 0.1
-    word_prior: float = 0.02
-    term_prior: float = 2.0
-    #: What a subject must hold of a paragraph's topic proportions, by all topics mapped to it.
-    least_proportion: float = 0.3
-    #: Part of the weight of all inspected terms in a topic that its subject's terms must have.
-    least_agreement: float = 0.5
+ENCODED = "doc_id bigint, lang string, weight double, words array<int>, times array<int>, units array<array<array<int>>>, slice int"
 
 
 def corpus_paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc_id, case_no, lang, units): content words of every paragraph, joined by blanks; documents without
+    """(doc_id, case_no, lang, units): sentences of every paragraph as words joined by blanks; documents without
     paragraphs are listed with none. The language is told from the text, not from the column lang; case_no is null
     where the documents have no such column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            texts = batch.column(1).to_pylist()
-            units = [[" ".join(content_words(u)) for u in units_of(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([language_of(t) for t in texts], pa.string()), pa.array(units, pa.list_(pa.string()))], names=["doc_id", "case_no", "lang", "units"])
+            langs, units = [], []
+            for text in batch.column(1).to_pylist():
+                langs.append(lang := language_of(text))
+                units.append([sentences_of(u, lang) for u in units_of(text)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(units, pa.list_(pa.list_(pa.string())))], names=["doc_id", "case_no", "lang", "units"])
 
     case = F.col("case_no") if "case_no" in documents.columns else F.lit(None).cast("string").alias("case_no")
-    return documents.select("doc_id", "text", case).mapInArrow(run, "doc_id bigint, case_no string, lang string, units array<string>")
+    return documents.select("doc_id", "text", case).mapInArrow(run, "doc_id bigint, case_no string, lang string, units array<array<string>>")
 
 
-def document_weights(paragraphs: DataFrame) -> DataFrame:
-    """(lang, case_no, weight) of the rulings of several documents: 1 / those of the language that have paragraphs.
+def weighted(paragraphs: DataFrame) -> DataFrame:
+    """The paragraphs with weight: 1 / (documents of the ruling in the language that have paragraphs).
 
-    So a ruling counts as one document, however many copies and versions of it there are.
+    So a ruling counts as one document, however many copies and versions of it there are. Rulings' weights are written before
+    the join, so that one with very many documents can be split among tasks; documents without case_no are not joined at all.
     """
-    several = paragraphs.where(F.col("case_no").isNotNull() & (F.size("units") > 0)).groupBy("lang", "case_no").agg(F.count("*").alias("n")).where("n > 1")
-    return several.select("lang", "case_no", (1 / F.col("n")).alias("weight"))
-
+    named, alone = paragraphs.where("case_no IS NOT NULL"), paragraphs.where("case_no IS NULL").withColumn("weight", F.lit(1.0))
+    several = named.where(F.size("units") > 0).groupBy("lang", "case_no").agg(F.count("*").alias("n")).where("n > 1")
+    weights = materialize(several.select("lang", "case_no", (1 / F.col("n")).alias("weight")), "weights")
+    joined = named.join(weights, ["lang", "case_no"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    return joined.unionByName(alone).drop("case_no")
 
-def word_statistics(paragraphs: DataFrame) -> DataFrame:
-    """(lang, word, in_units, in_documents) over all documents, each by its ruling's weight; word '' counts the documents themselves.
 
-    Rulings' weights are written before the join, so that one with very many documents can be split among tasks.
-    """
+def word_statistics(documents: DataFrame) -> DataFrame:
+    """(lang, word, in_units, in_documents) over all weighted documents; word '' counts the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units: dict[str, dict[str, float]] = {lang: defaultdict(float) for lang in LANGUAGES}
@@ -86,7 +71,7 @@ def word_statistics(paragraphs: DataFrame) -> DataFrame:
                 if not own:
                     continue
                 in_units, in_docs = units[lang], docs[lang]
-                for word, n in Counter(w for unit in own for w in set(unit.split())).items():
+                for word, n in Counter(w for unit in own for w in set(" ".join(unit).split())).items():
                     in_units[word] += n * weight
                     in_docs[word] += weight
                 in_docs[""] += weight
@@ -101,220 +86,182 @@ def word_statistics(paragraphs: DataFrame) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["lang", "word", "in_units", "in_documents"])
 
-    named, alone = paragraphs.where("case_no IS NOT NULL"), paragraphs.where("case_no IS NULL").withColumn("weight", F.lit(1.0))
-    weighted = named.join(materialize(document_weights(paragraphs), "weights"), ["lang", "case_no"], "left").unionByName(alone)
-    parts = weighted.select("lang", "units", F.coalesce("weight", F.lit(1.0)).alias("weight")).mapInArrow(run, "lang string, word string, in_units double, in_documents double")
+    parts = documents.select("lang", "units", "weight").mapInArrow(run, "lang string, word string, in_units double, in_documents double")
     # Rounded, as sums of fractions depend on their order in the last places.
     return parts.groupBy("lang", "word").agg(F.round(F.sum("in_units"), 6).alias("in_units"), F.round(F.sum("in_documents"), 6).alias("in_documents"))
 
 
-def vocabulary(paragraphs: DataFrame, settings: TopicSettings) -> dict[str, list[str]]:
-    """Words of each language, in alphabetical order, that are neither rare nor common among rulings and
-    come back within documents more than by chance; words for parties are none of them.
+def vocabulary(documents: DataFrame, settings: TopicSettings) -> tuple[dict[str, tuple[list[str], list[str]]], float]:
+    """Words of each language in alphabetical order: those that can make a topic, and those that frame them; and the number of documents.
 
-    At most (words of a document) / least_share of them reach the driver, however large the corpus.
+    Topic words are neither rare nor common among rulings and come back within documents more than by chance; all others that are
+    not rare are frames. At most (words of a document) / least_share of them reach the driver, however large the corpus.
     """
-    stats = word_statistics(paragraphs)
+    stats = materialize(word_statistics(documents), "statistics")
     sizes = stats.where("word = ''").select("lang", F.col("in_documents").alias("documents"))
     by_chance = (F.col("in_units") / F.col("documents")) / (1 - F.exp(-F.col("in_units") / F.col("documents")))
+    topical = (F.col("in_documents") <= settings.most_share * F.col("documents")) & (F.col("in_units") / F.col("in_documents") >= settings.least_burst * by_chance)
     kept = (
-        stats.where((F.col("word") != "") & ~F.col("word").isin(*PARTY_WORDS))
+        stats.where("word <> ''")
         .join(F.broadcast(sizes), "lang")  # a row per language
-        .where((F.col("in_documents") >= F.greatest(F.lit(2), settings.least_share * F.col("documents"))) & (F.col("in_documents") <= settings.most_share * F.col("documents")))
-        .where(F.col("in_units") / F.col("in_documents") >= settings.least_burst * by_chance)
-        .select("lang", "word")
+        .where(F.col("in_documents") >= F.greatest(F.lit(2), settings.least_share * F.col("documents")))
+        .select("lang", "word", topical.alias("topical"))
     )
-    out: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
+    out: dict[str, tuple[list[str], list[str]]] = {lang: ([], []) for lang in LANGUAGES}
     for row in kept.collect():
-        out[row.lang].append(row.word)
-    return {lang: sorted(words) for lang, words in out.items()}
+        out[row.lang][0 if row.topical else 1].append(row.word)
+    n = stats.where("word = ''").agg(F.sum("in_documents")).first()[0]
+    return {lang: (sorted(topic), sorted(frame)) for lang, (topic, frame) in out.items()}, n or 0
 
 
-def bags_of_words(paragraphs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, lang, bags): for every paragraph the numbers of its words in its language's vocabulary."""
+def encode(documents: DataFrame, words: dict[str, tuple[list[str], list[str]]], slices: int) -> DataFrame:
+    """Words as numbers, written in slices: topic words first, then frames, by units and sentences; and each document's topic words with their times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {lang: {w: i for i, w in enumerate(known)} for lang, known in words.items()}
-        for batch in batches:
-            bags = []
-            for lang, units in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at = number[lang]
-                bags.append([[at[w] for w in unit.split() if w in at] for unit in units])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "lang", "bags"])
-
-    return paragraphs.select("doc_id", "lang", "units").mapInArrow(run, "doc_id bigint, lang string, bags array<array<int>>")
-
-
-def exp_digamma(x: np.ndarray) -> np.ndarray:
-    """exp of the digamma function, by recurrence and its asymptotic series."""
-    y = x + 3
-    series = np.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y**4)
-    return np.exp(series - 1 / x - 1 / (x + 1) - 1 / (x + 2))
-
-
-def infer(tokens: np.ndarray, weights: np.ndarray, prior: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Variational step of latent Dirichlet allocation for many paragraphs at once.
-
-    ``tokens``: paragraphs x words, filled up with the number after the last word, whose row
-    in ``weights`` (words + 1 x topics) is zero. Gives expected words per topic (paragraphs x
-    topics) and what each word gives to each topic (paragraphs x words x topics).
-    """
-    of_word = weights[tokens]
-    expected = np.full((len(tokens), weights.shape[1]), 1.0 / weights.shape[1], dtype=weights.dtype)
-    for _ in range(steps):
-        theta = exp_digamma(expected + prior)
-        inverse = 1 / (np.einsum("nlk,nk->nl", of_word, theta) + 1e-30)
-        expected = theta * np.einsum("nlk,nl->nk", of_word, inverse)
-    return expected, of_word * theta[:, None, :] * inverse[:, :, None]
-
-
-def _filled(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fill: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of paragraphs of like length: their numbers, and their words in a rectangle."""
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    at = 0
-    while at < len(order):
-        longest = int(lengths[order[min(at + 4095, len(order) - 1)]])
-        rows = order[at : at + max(1, min(4096, 400_000 // longest))]
-        longest = int(lengths[rows[-1]])
-        columns = np.arange(longest)
-        inside = columns < lengths[rows][:, None]
-        yield rows, np.where(inside, values[np.minimum(starts[rows][:, None] + columns, len(values) - 1)], fill)
-        at += len(rows)
-
-
-def _units(bags: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, start and length of every paragraph, and the number of its document in the batch."""
-    inner = bags.flatten()
-    values = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths = np.asarray(inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-    per_doc = np.asarray(bags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    return values, starts, lengths, np.repeat(np.arange(len(bags)), per_doc)
-
-
-def _topic_weights(counts: np.ndarray) -> np.ndarray:
-    """exp of the expected log weight of words in topics, words x topics, and a row of zeros."""
-    weights = exp_digamma(counts) / exp_digamma(counts.sum(axis=1, keepdims=True))
-    return np.vstack([weights.T, np.zeros(len(counts))]).astype(np.float32)
-
-
-@dataclass(frozen=True)
-class TopicModel:
-    """A language's topics: words, weights (topics x words, rows sum to 1), and the subject of each topic, or None."""
-
-    words: list[str]
-    weights: np.ndarray
-    subjects: list[str | None]
-    #: exp of expected log weights, words + 1 x topics, for inference.
-    expected: np.ndarray
-
-    def top_terms(self, n: int = 12) -> list[list[str]]:
-        return [[self.words[i] for i in np.argsort(-row)[:n]] for row in self.weights]
-
-
-def subject_of_topic(words: list[str], weights: np.ndarray, lang: str, least_agreement: float) -> str | None:
-    """The subject whose inspected terms weigh most in a topic, if they prevail among all inspected terms."""
-    at = {w: i for i, w in enumerate(words)}
-    mass = {s: float(sum(weights[at[t]] for t in terms[lang] if t in at)) for s, terms in SUBJECT_TERMS.items()}
-    best = max(mass, key=lambda s: (mass[s], s))
-    return best if mass[best] > 0.05 and mass[best] >= least_agreement * sum(mass.values()) else None
-
-
-def fit_topics(bags: DataFrame, words: dict[str, list[str]], settings: TopicSettings) -> dict[str, TopicModel]:
-    """A topic model per language by variational Bayes over every paragraph of the corpus.
-
-    Each pass is one job: tasks infer the topics of their paragraphs and give expected counts per topic
-    and word, which are summed on the executors; topics x words of them reach the
-    driver. Inspected terms raise the prior of their words in one topic each, from where the passes learn what
-    else goes with them. Languages without a vocabulary have no model.
+        number = {lang: {w: i for i, w in enumerate(topic + frame)} for lang, (topic, frame) in words.items()}
+        topical = {lang: len(topic) for lang, (topic, _) in words.items()}
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            numbers, own, times = [], [], []
+            for lang, units in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                at, limit = number[lang], topical[lang]
+                numbers.append(coded := [[[at[w] for w in s.split() if w in at] for s in unit] for unit in units])
+                bag = Counter(i for unit in coded for s in unit for i in s if i < limit)
+                own.append(list(bag))
+                times.append(list(bag.values()))
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(own, ints), pa.array(times, ints), pa.array(numbers, pa.list_(pa.list_(ints))), batch.column(4)],
+                names=["doc_id", "lang", "weight", "words", "times", "units", "slice"],
+            )
+
+    path = shared_path(documents.sparkSession, "encoded")
+    rows = documents.select("doc_id", "lang", "weight", "units", F.pmod(F.xxhash64("doc_id", "units"), F.lit(slices)).cast("int").alias("slice"))
+    rows.mapInArrow(run, ENCODED).write.partitionBy("slice").parquet(path)
+    return documents.sparkSession.read.schema(ENCODED).parquet(path)
+
+
+class _Batch:
+    """Numbers of a batch's documents in one language: every token with its sentence, unit and document."""
+
+    def __init__(self, batch: pa.RecordBatch, lang: str) -> None:
+        self.rows = np.nonzero(np.array(batch.column(1).to_pylist(), dtype=object) == lang)[0]
+        units = batch.column(batch.schema.get_field_index("units")).take(pa.array(self.rows))
+        sentences = units.flatten()
+        lists = sentences.flatten()
+        self.values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        n_units, n_sentences, n_tokens = (np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64) for x in (units, sentences, lists))
+        self.unit_doc = np.repeat(np.arange(len(n_units)), n_units)
+        self.sentence_unit = np.repeat(np.arange(len(n_sentences)), n_sentences)
+        self.sentence = np.repeat(np.arange(len(n_tokens)), n_tokens)
+        self.sentences, self.units = len(n_tokens), len(n_sentences)
+
+
+def subject_matrix(subjects: list[str | None]) -> np.ndarray:
+    """Topics x subjects: 1 where a topic is mapped to a subject."""
+    out = np.zeros((len(subjects), len(SUBJECTS)), dtype=np.float32)
+    for k, subject in enumerate(subjects):
+        if subject:
+            out[k, SUBJECTS.index(subject)] = 1
+    return out
+
+
+def aside_words(encoded: DataFrame, models: dict[str, list[TopicModel]], mapped: dict[str, list[np.ndarray]], frames: dict[str, list[str]], settings: TopicSettings) -> dict[str, list[str]]:
+    """Frame words of each language that mark asides.
+
+    A sentence's subject is that of most of its words' topics, over all models. It is borne out if least_others other sentences of the document have that subject. Of the
+    sentences with an aside word, less than least_support are, and they speak of at least half the subjects, so that it is the frame
+    and not the matter. Counted over all documents; frames x subjects reach the driver.
     """
-    subjects = list(SUBJECT_TERMS)
-    topics = len(subjects) + settings.free_topics
-    priors, counts = {}, {}
-    rng = np.random.default_rng(5)
-    for lang, known in words.items():
-        if not known:
-            continue
-        prior = np.full((topics, len(known)), settings.word_prior)
-        for k, subject in enumerate(subjects):
-            terms = set(SUBJECT_TERMS[subject][lang])
-            prior[k, [i for i, w in enumerate(known) if w in terms]] = settings.term_prior
-        priors[lang], counts[lang] = prior, prior * rng.uniform(0.99, 1.01, prior.shape) + 0.02
-    for _ in range(settings.passes):
-        weights = {lang: _topic_weights(c) for lang, c in counts.items()}
-        counts = {lang: p.copy() for lang, p in priors.items()}
-        for row in _expected_counts(bags, weights, settings).collect():
-            counts[row.lang][row.topic, row.word] += row.n
-    models = {}
-    for lang, c in counts.items():
-        matrix = c / c.sum(axis=1, keepdims=True)
-        models[lang] = TopicModel(words[lang], matrix, [subject_of_topic(words[lang], row, lang, settings.least_agreement) for row in matrix], _topic_weights(c))
-    return models
-
-
-def _expected_counts(bags: DataFrame, weights: dict[str, np.ndarray], settings: TopicSettings) -> DataFrame:
-    """(lang, topic, word, n) expected over all paragraphs."""
+    of_word = {lang: sum((m.counts / m.counts.sum(axis=0)).T @ to for m, to in zip(of, mapped[lang], strict=True)) / len(of) for lang, of in models.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {lang: np.zeros((w.shape[1], w.shape[0])) for lang, w in weights.items()}
+        sums = {lang: np.zeros((2, len(frames[lang]) * len(SUBJECTS))) for lang in of_word}
         for batch in batches:
-            for lang, w in weights.items():
-                part = batch.filter(pa.compute.equal(batch.column(0), lang))
-                values, starts, lengths, _ = _units(part.column(1))
-                for _, tokens in _filled(values, starts, lengths, len(w) - 1):
-                    shares = infer(tokens, w, settings.topic_prior, settings.inner_steps)[1]
-                    flat = tokens.ravel()
-                    for k in range(w.shape[1]):
-                        sums[lang][k] += np.bincount(flat, weights=shares[:, :, k].ravel(), minlength=len(w))
-        for lang, s in sums.items():
-            topic, word = np.nonzero(s[:, :-1] > 1e-4)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(topic), pa.string()), pa.array(topic.astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(s[topic, word])], names=["lang", "topic", "word", "n"])
-
-    parts = bags.select("lang", "bags").mapInArrow(run, "lang string, topic int, word int, n double")
-    return parts.groupBy("lang", "topic", "word").agg(F.sum("n").alias("n"))
-
-
-def assign_subjects(bags: DataFrame, models: dict[str, TopicModel], settings: TopicSettings) -> DataFrame:
+            for lang, weights in of_word.items():
+                b = _Batch(batch, lang)
+                topical = b.values < len(weights)
+                at, value = b.sentence[topical], b.values[topical]
+                speaks = np.column_stack([np.bincount(at, weights=weights[value, k], minlength=b.sentences) for k in range(len(SUBJECTS))])
+                subject = speaks.argmax(axis=1) if b.sentences else np.zeros(0, dtype=np.int64)
+                clear = speaks.max(axis=1, initial=0) >= 0.5
+                doc = b.unit_doc[b.sentence_unit]
+                alike = np.bincount(doc[clear] * len(SUBJECTS) + subject[clear], minlength=len(b.rows) * len(SUBJECTS))
+                borne = alike[doc * len(SUBJECTS) + subject] > settings.least_others
+                framed = ~topical & clear[b.sentence]
+                at = b.sentence[framed]
+                cell = (b.values[framed] - len(weights)) * len(SUBJECTS) + subject[at]
+                weight = batch.column(2).to_numpy(zero_copy_only=False)[b.rows][doc[at]]
+                sums[lang][0] += np.bincount(cell, weights=weight, minlength=sums[lang].shape[1])
+                sums[lang][1] += np.bincount(cell, weights=weight * borne[at], minlength=sums[lang].shape[1])
+        for lang, (n, supported) in sums.items():
+            cell = np.nonzero(n)[0]
+            word, subject = np.divmod(cell, len(SUBJECTS))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(word.astype(np.int32)), pa.array(subject.astype(np.int32)), pa.array(n[cell]), pa.array(supported[cell])], names=["lang", "word", "subject", "n", "supported"])
+
+    parts = encoded.select("doc_id", "lang", "weight", "units").mapInArrow(run, "lang string, word int, subject int, n double, supported double")
+    per_subject = parts.groupBy("lang", "word", "subject").agg(F.sum("n").alias("n"), F.sum("supported").alias("supported"))
+    per_word = per_subject.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("supported").alias("supported"), F.count("*").alias("subjects"))
+    out: dict[str, list[str]] = {lang: [] for lang in models}
+    for row in per_word.where((F.col("subjects") >= len(SUBJECTS) // 2) & (F.col("supported") < settings.least_support * F.col("n"))).collect():
+        out[row.lang].append(frames[row.lang][row.word])
+    return {lang: sorted(found) for lang, found in out.items()}
+
+
+def assign_subjects(encoded: DataFrame, models: dict[str, list[TopicModel]], mapped: dict[str, list[np.ndarray]], frames: dict[str, list[str]], asides: dict[str, list[str]], settings: TopicSettings) -> DataFrame:
     """(doc_id, subjects): for every document the sorted subjects of its paragraphs, or none.
 
-    A paragraph has the subjects that hold least_proportion of its topic proportions.
+    A paragraph has the subjects that hold least_proportion of its topic proportions in most of the models, asides left out. Paragraphs of the same words are inferred
+    once per batch; same are those whose sums of random 64-bit numbers per word agree.
     """
-    names = list(SUBJECT_TERMS)
     plans = {}
-    for lang, model in models.items():
-        to_subject = np.zeros((len(model.subjects), len(names)), dtype=np.float32)
-        for k, subject in enumerate(model.subjects):
-            if subject:
-                to_subject[k, names.index(subject)] = 1
-        plans[lang] = (model.expected, to_subject)
+    for lang, of in models.items():
+        n_words, at = len(of[0].words), {w: i for i, w in enumerate(frames[lang])}
+        is_aside = np.zeros(n_words + len(at), dtype=bool)
+        is_aside[[n_words + at[w] for w in asides[lang]]] = True
+        plans[lang] = (n_words, [(topic_weights(m.counts), to) for m, to in zip(of, mapped[lang], strict=True)], is_aside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has = np.zeros((batch.num_rows, len(names)), dtype=bool)
-            langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            for lang, (weights, to_subject) in plans.items():
-                rows = np.nonzero(langs == lang)[0]
-                values, starts, lengths, doc = _units(batch.column(2).take(pa.array(rows)))
-                for units, tokens in _filled(values, starts, lengths, len(weights) - 1):
-                    expected = infer(tokens, weights, settings.topic_prior, settings.inner_steps)[0]
-                    share = (expected / expected.sum(axis=1, keepdims=True)) @ to_subject
-                    at, subject = np.nonzero(share >= settings.least_proportion)
-                    has[rows[doc[units[at]]], subject] = True
-            found = [sorted(names[k] for k in np.nonzero(row)[0]) for row in has]
+            has = np.zeros((batch.num_rows, len(SUBJECTS)), dtype=bool)
+            for lang, (n_words, own, is_aside) in plans.items():
+                b = _Batch(batch, lang)
+                out = np.bincount(b.sentence, weights=is_aside[b.values], minlength=b.sentences) > 0
+                kept = (b.values < n_words) & ~out[b.sentence]
+                unit, value = b.sentence_unit[b.sentence[kept]], b.values[kept]
+                lengths = np.bincount(unit, minlength=b.units)
+                starts = np.cumsum(lengths) - lengths
+                signature = np.zeros(b.units, dtype=np.uint64)
+                np.add.at(signature, unit, np.random.default_rng(1).integers(0, 2**64 - 1, n_words, dtype=np.uint64)[value])
+                _, first, which = np.unique(signature, return_index=True, return_inverse=True)
+                holds = np.zeros((len(first), len(SUBJECTS)), dtype=bool)
+                for rows, tokens, n in filled(value, np.ones(len(value)), starts[first], lengths[first], n_words):
+                    votes = np.zeros((len(rows), len(SUBJECTS)), dtype=np.int64)
+                    for weights, to_subject in own:
+                        expected = infer(tokens, n, weights, settings.topic_prior, settings.inner_steps)[0]
+                        votes += (expected / expected.sum(axis=1, keepdims=True)) @ to_subject >= settings.least_proportion
+                    holds[rows] = 2 * votes > len(own)
+                at, subject = np.nonzero(holds[which])
+                has[b.rows[b.unit_doc[at]], subject] = True
+            found = [[SUBJECTS[k] for k in np.nonzero(row)[0]] for row in has]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "subjects"])
 
-    return bags.select("doc_id", "lang", "bags").mapInArrow(run, "doc_id bigint, subjects array<string>")
+    return encoded.select("doc_id", "lang", "units").mapInArrow(run, "doc_id bigint, subjects array<string>")
 
 
-def document_subjects(documents: DataFrame, settings: TopicSettings | None = None) -> DataFrame:
-    """(doc_id, subjects) of every document: topics are fitted on the given corpus, then assigned.
+def document_subjects(documents: DataFrame, settings: TopicSettings | None = None, terms: dict[str, dict[str, set[str]]] | None = None) -> DataFrame:
+    """(doc_id, subjects) of every document: topics are fitted on the given corpus, mapped, then assigned.
 
-    Null, empty and blank texts, and texts of procedure alone, have no subjects. Repeated rows stay; an empty
-    corpus gives an empty result, and one too small or too even for a vocabulary gives no subjects.
+    ``terms``: inspected terms per language and subject, those of ``terms.py`` unless given. Null, empty and blank texts, and texts
+    of procedure alone, have no subjects. Repeated rows stay; an empty corpus gives an empty result, and one too small or too even for a vocabulary
+    gives no subjects.
     """
     settings = settings or TopicSettings()
-    paragraphs = materialize(corpus_paragraphs(documents), "paragraphs")
-    words = vocabulary(paragraphs, settings)
-    bags = materialize(bags_of_words(paragraphs, words), "bags")
-    return assign_subjects(bags, fit_topics(bags, words, settings), settings)
+    paragraphs = weighted(materialize(corpus_paragraphs(documents), "paragraphs"))
+    words, n = vocabulary(paragraphs, settings)
+    slices = settings.slices(n)
+    encoded = encode(paragraphs, words, slices)
+    topical, frames = ({lang: w[i] for lang, w in words.items()} for i in (0, 1))
+    models = fit_topics(encoded.select("slice", "lang", "weight", "words", "times"), topical, slices, settings)
+    mapped = {lang: [subject_matrix(m.subjects((terms or {}).get(lang) or inspected_terms(lang), settings)) for m in of] for lang, of in models.items()}
+    asides = aside_words(encoded, models, mapped, frames, settings)
+    return assign_subjects(encoded, models, mapped, frames, asides, settings)

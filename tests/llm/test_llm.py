@@ -1,12 +1,16 @@
 """Problems 6 to 8: exact round trips, brute force, held-out accuracy, and edge cases."""
 
 import random
+from math import exp, lgamma
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from keytide.llm import packing, subjects, tokenization
-from keytide.llm.paragraphs import content_words, language_of, units_of
+from keytide.llm.paragraphs import language_of, sentences_of, units_of
+from keytide.llm.terms import SUBJECTS, inspected_terms
+from keytide.llm.topics import TopicModel, TopicSettings, exp_digamma, fit_topics
 
 NAME = "byte_bpe_50k"
 PARTS = [" ", "  ", "a", "Bc", "'s", "'", "é", "ß", "\n", "\r\n", "\n\n", " ", "9", "½", ".", "<|endoftext|>", "日本", "😀", "́", "\t", "-", "A", "7", ",", "x's", " ", "\x00"]
@@ -106,26 +110,58 @@ def test_units():
     text = "High Court of X\r\nA v. Yel Power Ltd\r\nHEADNOTE\r\nThe duty extends to the grid.\r\n1. Second head-\r\nnote.\r\n[1] One\xa0line\r\nbroken.\r\n— Page 2 of 7 —\r\n1HIGH COURT OF XABC\r\n(2) Two."
     assert units_of(text) == ["The duty extends to the grid.", "Second headnote.", "One line broken.", "Two."]
     assert units_of(None) == units_of("") == units_of(" \n\t") == [] and units_of("no numbers\nat all") == ["no numbers at all"]
-    assert "turbine" not in content_words("Counsel likened the position to one involving the turbine, but the comparison does not assist. The barley rotted.")
-    assert content_words("Counsel 1ikened the position to one involving the turbine. The barley rotted.") == ["barley", "rotted"]
-    assert "power" not in content_words("Grotrandt Power Ltd denied any duty.") and "quorn" not in content_words("the district court of Quorn sat")
-    assert content_words("; [name withheld] Cooperative filed") == ["filed"] and "cooperative" in content_words("the dairy cooperative failed")
+    assert sentences_of("Grotrandt Power Ltd denied any duty to the Court of Quorn; The dairy cooperative failed; It is", "en") == ["grotrandt denied duty", "dairy cooperative failed"]
+    assert sentences_of("Die Miete stieg.", "de") == ["miete stieg"] and sentences_of("ALL IS LARGE HERE", "en") == ["large here"] and sentences_of("", "en") == []
     assert language_of("der Senat und die Klage") == "de" and language_of("la cour et les parties") == "fr" and language_of(None) == "en"
 
 
-def test_subjects_held_out(spark):
+def against_labels(spark, settings=None, terms=None):
+    """(precision, recall) at sf0.01 against readers' labels, which are never used and partly wrong."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/subject_labels.parquet").select("doc_id", F.lower(F.trim("subject")).alias("subject")).where("subject <> 'none'").distinct()
-    found = subjects.document_subjects(docs)
-    rows = {r.doc_id: set(r.subjects) for r in found.collect()}
+    rows = {r.doc_id: set(r.subjects) for r in subjects.document_subjects(docs, settings, terms).collect()}
     assert len(rows) == docs.count()
     assert not any(rows[r.doc_id] for r in docs.where("text IS NULL OR trim(text) = ''").collect())
     truth = {}
     for r in labels.collect():
         truth.setdefault(r.doc_id, set()).add(r.subject)
     hits = sum(len(rows[d] & s) for d, s in truth.items())
-    assert hits / sum(map(len, truth.values())) > 0.9  # of labels that were never used, some of them wrong
-    assert hits / sum(len(rows[d]) for d in truth) > 0.9
+    return hits / max(1, sum(len(rows[d]) for d in truth)), hits / sum(map(len, truth.values()))
+
+
+def test_subjects_held_out(spark):
+    precision, recall = against_labels(spark)
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_nothing_is_found_without_a_fit(spark):
+    assert against_labels(spark, TopicSettings(updates=0)) == (0, 0)
+
+
+def test_a_tenth_of_the_terms_changes_little(spark):
+    rng, terms = random.Random(3), {}
+    for lang in ("en", "de", "fr"):
+        every = sorted((s, t) for s, own in inspected_terms(lang).items() for t in own)
+        gone = set(rng.sample(every, len(every) // 10))
+        terms[lang] = {s: {t for t in own if (s, t) not in gone} for s, own in inspected_terms(lang).items()}
+    precision, recall = against_labels(spark, terms=terms)
+    assert precision > 0.88 and recall > 0.9
+
+
+def test_asides_are_learnt(spark):
+    """Frames whose noun is never taken up again mark asides; a document of asides alone has no subject."""
+    rng = random.Random(4)
+    matter = {s: sorted(t)[:6] for s, t in inspected_terms("en").items()}
+    rows = []
+    for i in range(600):
+        own, other = rng.sample(SUBJECTS, 2)
+        body = [f"the evidence about the {rng.choice(matter[own])} and the {rng.choice(matter[own])} was thin." for _ in range(8)]
+        aside = f"counsel likened this to one involving the {rng.choice(matter[other])}, an unhelpful comparison."
+        rows.append((i, own, "\n".join(f"{n}. {t}" for n, t in enumerate([*body, aside] if i % 10 else [aside], 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, own string, text string")
+    got = {r.doc_id: r.subjects for r in subjects.document_subjects(docs, TopicSettings(most_share=0.3)).collect()}
+    assert sum(got[i] == [own] for i, own, _ in rows if i % 10) > 0.9 * 540
+    assert not any(got[i] for i, _, _ in rows if i % 10 == 0)
 
 
 def test_copies_of_a_ruling_move_no_words(spark):
@@ -134,8 +170,8 @@ def test_copies_of_a_ruling_move_no_words(spark):
     mass = F.col("case_no") == "MC 77/2021"
     many = docs.unionByName(docs.where(mass).crossJoin(spark.range(4)).withColumn("doc_id", F.col("doc_id") + 1_000_000 * (F.col("id") + 1)).drop("id"))
     assert many.where(mass).count() > many.count() / 3
-    once, often = (subjects.vocabulary(subjects.corpus_paragraphs(d), subjects.TopicSettings()) for d in (docs, many))
-    assert once == often and {"fund", "arrears", "ledger", "repayment", "loan"} <= set(often["en"])
+    once, often = (subjects.vocabulary(subjects.weighted(subjects.corpus_paragraphs(d)), TopicSettings())[0] for d in (docs, many))
+    assert once == often and {"fund", "arrears", "ledger", "repayment", "loan"} <= set(often["en"][0])
     found = {r.doc_id: r.subjects for r in subjects.document_subjects(many).collect()}
     in_mass = [r.doc_id for r in many.where(mass & (F.length(F.trim("text")) > 0)).collect()]
     assert sum("finance" in found[d] for d in in_mass) > 0.9 * len(in_mass)
@@ -148,15 +184,27 @@ def test_subjects_edges(spark):
     assert subjects.document_subjects(few.limit(0)).count() == 0
 
 
-def test_topics_without_guidance_from_terms_agree(spark):
-    """Topics are mapped by the weight of inspected terms: a topic of others' terms has no subject."""
-    import numpy as np
+def test_topics_are_mapped_by_inspected_terms():
+    """By the weight of inspected terms: a topic of others' terms, or of two subjects', has no subject."""
+    model = TopicModel(["orchard", "cows", "grid", "other"], np.array([[0.5, 0.4, 0.05, 0.05], [0.005, 0.0, 0.005, 0.99], [0.2, 0.1, 0.25, 0.45]]))
+    assert model.subjects(inspected_terms("en"), TopicSettings()) == ["agriculture", None, None]
+    assert model.top_terms(2)[1] == ["other", "orchard"]
 
-    words = ["barley", "grid", "other"]
-    assert subjects.subject_of_topic(words, np.array([0.9, 0.05, 0.05]), "en", 0.5) == "agriculture"
-    assert subjects.subject_of_topic(words, np.array([0.01, 0.01, 0.98]), "en", 0.5) is None
-    x = np.linspace(0.05, 30, 50)
-    from math import exp, lgamma
 
+def test_digamma():
+    x = np.linspace(0.05, 30, 50)
     slope = [exp((lgamma(v + 1e-5) - lgamma(v - 1e-5)) / 2e-5) for v in x]
-    assert np.allclose(subjects.exp_digamma(x), slope, rtol=1e-3)
+    assert np.allclose(exp_digamma(x), slope, rtol=1e-3)
+
+
+def test_topics_of_planted_words(spark):
+    """Documents drawn from three sets of words: the topics find the sets, also where one document is a third of all rows."""
+    rng = random.Random(6)
+    rows = [(i % 2, "en", 1.0, sorted(rng.sample(range(10 * k, 10 * k + 10), 5)), [1] * 5) for i in range(400) for k in (i % 3,)]
+    rows += [(0, "en", 1 / 200, [0, 1, 2], [1, 1, 1])] * 200 + [(1, "en", 1.0, [], [])]
+    bags = spark.createDataFrame(rows, "slice int, lang string, weight double, words array<int>, times array<int>")
+    models = fit_topics(bags, {"en": [f"w{i:02d}" for i in range(30)], "de": []}, 2, TopicSettings(topics=3, restarts=2, updates=40))
+    assert set(models) == {"en"} and len(models["en"]) == 2
+    found = {tuple(sorted({t[1] for t in top})) for m in models["en"] for top in m.top_terms(8)}
+    assert found & {("0",), ("1",), ("2",)}
+    assert fit_topics(bags.limit(0), {"en": ["a"]}, 1, TopicSettings())["en"][0].top_terms(1)[0] == ["a"]
