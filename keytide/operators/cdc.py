@@ -4,21 +4,22 @@ Method: the feed goes into an embedded DuckDB per task as an upsert whose confli
 compares stored sequences; deletes stay as tombstones, so that an older put that comes
 later cannot revive a key. The first round runs on the rows as they are read and leaves one
 row per key and task, which keeps a hot key from filling one bucket; the second runs on the hash
-buckets of the keys, in the order of keys, so that a bucket of any size passes through a small table. The buckets' results are written as one new version of the state
-and published by replacing a single pointer file.
+buckets of the keys, in the order of keys, so that a bucket of any size passes through a small table. Buckets that a feed touches are written anew,
+and all of them are published at once by creating one manifest.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions.changes import is_delete
-from keytide.session import read_text_file, shared_path, write_text_file
+from keytide.session import hadoop_fs, materialize, read_text_file, shared_path, write_new_file
 
 STATE_SCHEMA = "key string, mod_revision bigint, seq int, deleted boolean, value string, create_revision bigint, lease_id bigint, ttl_seconds bigint, ts timestamp_ntz, feed_pos bigint"
 _COLUMNS = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
@@ -53,7 +54,7 @@ def _upsert(batches: Iterator[pa.RecordBatch], by_key: bool = False) -> Iterator
     import duckdb
 
     def fresh():
-        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"})
+        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         con.execute(_CREATE)
         return con
 
@@ -100,35 +101,104 @@ def normalise_feed(change_log: DataFrame) -> DataFrame:
     )
 
 
+class StaleState(RuntimeError):
+    """Another writer has published since this one read the state; nothing of this one's is visible."""
+
+
 class StateTable:
-    """A published, versioned state: ``<path>/v-<id>/`` holds versions, ``<path>/CURRENT`` names one."""
+    """A published state in buckets of keys.
+
+    ``<path>/data/<id>/bucket=<n>/`` holds what one apply wrote of a bucket; ``<path>/manifest-<n>`` names, for every bucket, where its rows
+    are. The greatest manifest is the state. An apply rewrites only the buckets its keys fall into and
+    publishes by creating the next manifest, which succeeds for one writer only.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _manifests(self) -> list[int]:
+        fs, jpath = hadoop_fs(self.spark, self.path)
+        if not fs.exists(jpath(self.path)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(jpath(self.path))]
+        return sorted(int(n[9:]) for n in names if n.startswith("manifest-") and n[9:].isdigit())
+
+    def manifest(self) -> tuple[int, dict]:
+        """Number and content (buckets, and the folder of each) of the published manifest; -1 and {} before the first."""
+        every = self._manifests()
+        return (every[-1], self._manifest(every[-1])) if every else (-1, {})
+
+    def _manifest(self, number: int) -> dict:
+        return json.loads(read_text_file(self.spark, f"{self.path}/manifest-{number:012d}") or "{}")
+
     def read(self) -> DataFrame:
-        """The published version with its tombstones; an empty table before the first."""
-        current = read_text_file(self.spark, f"{self.path}/CURRENT")
-        if current is None:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/{current.strip()}")
+        """The published state with its tombstones; an empty table before the first."""
+        return self._rows(self.manifest()[1].get("folders", {}).values())
+
+    def _rows(self, folders: Iterable[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(STATE_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], STATE_SCHEMA)
 
     def apply(self, change_log: DataFrame, buckets: int | None = None) -> DataFrame:
-        """Apply a feed to the published version and publish the result; gives it with tombstones.
+        """Apply a feed to the published state and publish the result; gives it with tombstones.
 
         A feed may be applied in any pieces, in any order and again: the greatest
         (mod_revision, seq) of a key stands, of its repeated deliveries the earliest
         (feed_pos). A null mod_revision or seq is older than any other. An empty feed publishes what was.
-        A run that fails publishes nothing, and its files are never read.
+        A run that fails publishes nothing, and its files are never read; one that finds another published meanwhile raises
+        StaleState and may be repeated. ``buckets`` is fixed by the first apply.
         """
-        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        number, held = self.manifest()
+        buckets = held.get("buckets") or buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        bucket = F.pmod(F.hash("key"), F.lit(buckets))  # as repartition(buckets, "key") places keys
         partial = normalise_feed(change_log).mapInArrow(_upsert, STATE_SCHEMA)
-        if read_text_file(self.spark, f"{self.path}/CURRENT") is not None:
-            partial = partial.unionByName(self.read())
-        version = f"v-{uuid.uuid4().hex}"
-        partial.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(lambda rows: _upsert(rows, by_key=True), STATE_SCHEMA).write.parquet(f"{self.path}/{version}")
-        write_text_file(self.spark, f"{self.path}/CURRENT", version)
-        return self.read()
+        if held:
+            partial = materialize(partial.withColumn("bucket", bucket), "partial")
+            touched = [r.bucket for r in partial.select("bucket").distinct().collect()]  # at most buckets
+            old = self._rows(f for b, f in held["folders"].items() if int(b) in touched).withColumn("bucket", bucket)
+            placed = partial.unionByName(old).repartition(max(1, min(len(touched), buckets)), "bucket").drop("bucket")
+        else:
+            placed = partial.repartition(buckets, "key")
+        folder = f"data/{uuid.uuid4().hex}"
+        upserted = placed.sortWithinPartitions("key").mapInArrow(lambda rows: _upsert(rows, by_key=True), STATE_SCHEMA)
+        upserted.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        fs, jpath = hadoop_fs(self.spark, self.path)
+        written = [s.getPath().getName() for s in fs.listStatus(jpath(f"{self.path}/{folder}"))]
+        folders = {**held.get("folders", {}), **{n[7:]: f"{folder}/{n}" for n in written if n.startswith("bucket=")}}
+        if not write_new_file(self.spark, f"{self.path}/manifest-{number + 1:012d}", json.dumps({"buckets": buckets, "folders": folders})):
+            fs.delete(jpath(f"{self.path}/{folder}"), True)
+            raise StaleState(f"manifest {number + 1} of {self.path} exists")
+        return self._rows(folders.values())
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all but the newest ``keep`` manifests, and folders that none of those names; gives how many folders.
+
+        A read that began before on an older state may fail; applies that run meanwhile are not touched, if their files
+        are newer than the newest manifest.
+        """
+        every = self._manifests()
+        kept = every[-keep:]
+        if not kept:
+            return 0
+        fs, jpath = hadoop_fs(self.spark, self.path)
+        named = {f for n in kept for f in self._manifest(n)["folders"].values()}
+        since = fs.getFileStatus(jpath(f"{self.path}/manifest-{kept[-1]:012d}")).getModificationTime()
+        gone = 0
+        for of_apply in fs.listStatus(jpath(f"{self.path}/data")):
+            if of_apply.getModificationTime() > since:
+                continue
+            name = of_apply.getPath().getName()
+            inside = [s.getPath().getName() for s in fs.listStatus(of_apply.getPath())]
+            stale = [b for b in inside if b.startswith("bucket=") and f"data/{name}/{b}" not in named]
+            gone += len(stale)
+            if len(stale) == sum(b.startswith("bucket=") for b in inside):
+                fs.delete(of_apply.getPath(), True)
+            else:
+                for b in stale:
+                    fs.delete(jpath(f"{self.path}/data/{name}/{b}"), True)
+        for n in every[:-keep]:
+            fs.delete(jpath(f"{self.path}/manifest-{n:012d}"), False)
+        return gone
 
 
 def apply_feed(change_log: DataFrame, path: str | None = None) -> DataFrame:

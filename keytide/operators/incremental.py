@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions.changes import time_bucket
-from keytide.session import hadoop_fs, shared_path
+from keytide.session import hadoop_fs, rename_new, shared_path
 
 
 def run_bounds(watchers: DataFrame, watch_runs: DataFrame) -> DataFrame:
@@ -104,30 +104,55 @@ def pending_changes(changes: DataFrame, bounds: DataFrame, bins: int = 512, per_
 
 class IncrementalRun:
     """Commits of a consumer group: each is one folder ``<path>/run-<n>`` with ``output``
-    and ``watermark``, put in place by one rename."""
+    and ``watermark``, put in place by one rename. A commit's watermark holds the marks of all consumers, those it did not move too."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "increments")
 
     def watermarks(self) -> DataFrame | None:
-        """The marks of the latest commit (watch_id, mark), or None before the first."""
+        """The marks of all consumers as of the latest commit (watch_id, mark), or None before the first."""
         last = self._last()
-        return None if last is None else self.spark.read.parquet(f"{self.path}/run-{last:012d}/watermark")
+        return None if last is None else self._marks(last)
 
-    def commit(self, output: DataFrame, marks: DataFrame) -> DataFrame:
+    def start(self, bounds: DataFrame) -> tuple[DataFrame, int]:
+        """The bounds of a run, each low mark raised to the committed one, and the number its commit must take.
+
+        What is not above its low mark any more has nothing to do and is left out.
+        """
+        last = self._last()
+        if last is None:
+            return bounds, 0
+        marks = self._marks(last).select("watch_id", F.col("mark").alias("committed"))
+        raised = bounds.join(marks, "watch_id", "left").withColumn("low", F.greatest("low", "committed")).drop("committed")
+        return raised.where(F.col("low") < F.col("high")), last + 1
+
+    def commit(self, output: DataFrame, marks: DataFrame, run: int | None = None) -> DataFrame:
         """Write the output and the marks it reaches, and publish both by one rename.
 
-        If a job fails before the rename nothing is visible, and the next run starts from the same marks.
+        If a job fails before the rename nothing is visible, and the next run starts from the same marks; after it,
+        the next run starts from the new ones. ``run``: the number got from ``start``; if another run has taken it meanwhile, which may have handled the
+        same changes, this one fails and leaves nothing.
         """
-        run = 0 if (last := self._last()) is None else last + 1
+        last = self._last()
+        if run is None:
+            run = 0 if last is None else last + 1
         staged, final = f"{self.path}/.staged-{uuid.uuid4().hex}", f"{self.path}/run-{run:012d}"
-        output.write.parquet(f"{staged}/output")
-        marks.write.parquet(f"{staged}/watermark")
         fs, jpath = hadoop_fs(self.spark, self.path)
-        if fs.exists(jpath(final)) or not fs.rename(jpath(staged), jpath(final)):
-            raise RuntimeError(f"another run has committed {final}")
+        try:
+            output.write.parquet(f"{staged}/output")
+            moved = marks.select("watch_id", "mark")
+            every = moved if run == 0 else self._marks(run - 1).unionByName(moved)
+            every.groupBy("watch_id").agg(F.max("mark").alias("mark")).write.parquet(f"{staged}/watermark")
+            if not rename_new(self.spark, staged, final):
+                raise RuntimeError(f"another run has committed {final}")
+        except BaseException:
+            fs.delete(jpath(staged), True)
+            raise
         return self.spark.read.schema(output.schema).parquet(f"{final}/output")
 
+    def _marks(self, run: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/run-{run:012d}/watermark")
+
     def _last(self) -> int | None:
         fs, jpath = hadoop_fs(self.spark, self.path)
         if not fs.exists(jpath(self.path)):
@@ -136,9 +161,18 @@ class IncrementalRun:
         return max((int(n[4:]) for n in names if n.startswith("run-")), default=None)
 
 
+def run_increment(change_log: DataFrame, bounds: DataFrame, path: str | None = None) -> DataFrame:
+    """One run over ``bounds`` (as of run_bounds): the changes between each watcher's committed watermark, or its low mark
+    where that is later, and the high limit, which was fixed with the bounds; committed together with the marks they reach.
+
+    Run again with the same bounds it gives nothing; with later ones, exactly what arrived since.
+    """
+    run = IncrementalRun(change_log.sparkSession, path)
+    open_bounds, number = run.start(bounds)
+    return run.commit(pending_changes(first_arrivals(change_log), open_bounds), open_bounds.select("watch_id", F.col("high").alias("mark")), number)
+
+
 def resume_watchers(change_log: DataFrame, watchers: DataFrame, watch_runs: DataFrame, path: str | None = None) -> DataFrame:
     """Do again what each watcher's unsuccessful latest run had to do: give its changes and
-    commit them together with the watermarks they reach."""
-    bounds = run_bounds(watchers, watch_runs)
-    output = pending_changes(first_arrivals(change_log), bounds)
-    return IncrementalRun(change_log.sparkSession, path).commit(output, bounds.select("watch_id", F.col("high").alias("mark")))
+    commit them together with the watermarks they reach. ``path`` keeps these between runs."""
+    return run_increment(change_log, run_bounds(watchers, watch_runs), path)

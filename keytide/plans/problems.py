@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.operators import cdc, incremental, intervals, references, skew
 from keytide.plans.registry import Registry
+from keytide.session import shared_path
 from keytide.sources.tables import table
 
 REGISTRY = Registry()
@@ -86,6 +89,24 @@ def p3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.select("watch_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("low", "high")))
 
 
+@REGISTRY.add(
+    "p3_second_run",
+    _BOUNDS
+    + """, halves AS (SELECT *, make_timestamp(epoch_us(low) + (epoch_us(high) - epoch_us(low)) // 2) AS middle FROM bounds),
+changes AS (SELECT mod_revision, seq, key, min(arrived_at) AS arrived_at FROM change_log WHERE key IS NOT NULL GROUP BY ALL)
+SELECT CASE WHEN arrived_at <= middle THEN 1 ELSE 2 END AS run, watch_id, mod_revision, seq FROM halves b JOIN changes c
+ON arrived_at > low AND arrived_at <= high AND mod_revision >= start_revision
+AND CASE WHEN coalesce(range_end, '') = '' THEN c.key = b.key ELSE c.key >= b.key AND c.key < range_end END""",
+)
+def p3_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in three runs: up to the middle of the time to handle, from there on, and once more, which finds nothing new."""
+    log, path = table(spark, sf_dir, "change_log"), shared_path(spark, "increments")
+    bounds = incremental.run_bounds(table(spark, sf_dir, "watchers"), table(spark, sf_dir, "watch_runs"))
+    half = F.floor((intervals.micros(F.col("high")) - intervals.micros(F.col("low"))) / 2)
+    middle = F.col("low") + F.make_dt_interval(secs=(half.cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+    return reduce(DataFrame.unionByName, [incremental.run_increment(log, b, path).select(F.lit(n).alias("run"), "*") for n, b in enumerate((bounds.withColumn("high", middle), bounds, bounds), 1)])
+
+
 _DISTINCT = f"WITH c AS (SELECT key, mod_revision, seq, max(CASE WHEN {_GONE} THEN 1 ELSE 0 END) AS gone FROM change_log WHERE key IS NOT NULL GROUP BY ALL)"
 
 

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -77,6 +78,38 @@ def read_text_file(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Put a file or folder in place by one rename, unless the target exists; whether it did.
+
+    Of several that try the same target one succeeds: the rename itself refuses, no test goes before it.
+    """
+    jvm = spark.sparkContext._jvm
+    _, jpath = hadoop_fs(spark, target)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jpath(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(jpath(source), jpath(target), options)
+    except Py4JJavaError as refused:
+        if "FileAlreadyExistsException" in str(refused.java_exception.toString()):
+            return False
+        raise
+    return True
+
+
+def write_new_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small control file that must not exist yet; whether it did, so that of several writers one succeeds."""
+    fs, jpath = hadoop_fs(spark, path)
+    side = f"{path}.{uuid.uuid4().hex}.tmp"
+    stream = fs.create(jpath(side), True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    done = rename_new(spark, side, path)
+    if not done:
+        fs.delete(jpath(side), False)
+    return done
+
+
 def write_text_file(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small control file: written beside it, then put in place by one rename."""
     jvm = spark.sparkContext._jvm

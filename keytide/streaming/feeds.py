@@ -50,14 +50,17 @@ def run_watch_feed(changes: DataFrame, watchers: DataFrame, path: str, checkpoin
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_apply_loop(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a published state up to date: each batch is applied and published as one version.
+def run_apply_loop(changes: DataFrame, path: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """Keep a published state up to date: each batch rewrites the buckets it touches and is published at once; of what
+    was published before, the last ``keep`` states stay readable.
 
     Applying a batch again changes nothing, as the state compares sequences, so that a restart needs no further care.
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        StateTable(batch.sparkSession, path).apply(batch)
+        state = StateTable(batch.sparkSession, path)
+        state.apply(batch)
+        state.vacuum(keep)
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

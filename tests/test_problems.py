@@ -122,6 +122,37 @@ def test_state_of_random_feed_in_pieces(spark, rows):
     assert rows(cdc.live_rows(table.read()), "key", "mod_revision") == replay(log)
 
 
+def test_state_rewrites_touched_buckets_only(spark, rows):
+    log = random_log(random.Random(5))
+    table = cdc.StateTable(spark, shared_path(spark, "state"))
+    table.apply(spark.createDataFrame(log, LOG), buckets=8)
+    before = table.manifest()[1]["folders"]
+    one = [change(90_001, 9_999, 0, "PUT", "a fresh key"), change(90_002, 9_999, 1, "PUT", "a fresh key"), change(90_003, 1, 0, None, None)]
+    table.apply(spark.createDataFrame(one, LOG), buckets=3)
+    number, held = table.manifest()
+    assert number == 1 and held["buckets"] == 8 and sum(before.get(b) != f for b, f in held["folders"].items()) == 1
+    assert rows(cdc.live_rows(table.read()), "key", "mod_revision") == replay([*log, *one])
+    table.apply(spark.createDataFrame(one, LOG).limit(0))
+    assert table.manifest()[1]["folders"] == held["folders"]
+    assert table.vacuum(keep=1) == 1 and table.vacuum(keep=1) == 0  # the bucket that was written again
+    assert table._manifests() == [2] and rows(cdc.live_rows(table.read()), "key", "mod_revision") == replay([*log, *one])
+
+
+def test_of_two_writers_one_is_told(spark, rows, monkeypatch):
+    log = random_log(random.Random(6))
+    first, second = (cdc.StateTable(spark, path) for path in [shared_path(spark, "state")] * 2)
+    first.apply(spark.createDataFrame(log[:300], LOG), buckets=4)
+    seen = second.manifest()
+    monkeypatch.setattr(second, "manifest", lambda: seen)
+    first.apply(spark.createDataFrame(log[300:450], LOG))
+    with pytest.raises(cdc.StaleState):
+        second.apply(spark.createDataFrame(log[450:], LOG))
+    assert rows(cdc.live_rows(first.read()), "key", "mod_revision") == replay(log[:450])
+    monkeypatch.undo()
+    second.apply(spark.createDataFrame(log[450:], LOG))
+    assert rows(cdc.live_rows(first.read()), "key", "mod_revision") == replay(log)
+
+
 def test_state_edges(spark, rows):
     feed = spark.createDataFrame([change(5, None, None, "PUT", "n", "old"), change(6, 1, None, "PUT", "n", "new"), change(3, 4, 0, "PUT", "t", "first"), change(9, 4, 0, "put", "t", "first"), change(1, 2, 0, "PUT", "d"), change(2, 2, 1, "1", "d", "left over"), change(7, 1, 0, None, "K"), change(8, 1, 0, None, "k "), change(10, 1, 0, None, "", "x" * 100_000)], LOG).withColumn("deleted", F.lit("clash"))
     state = cdc.apply_feed(feed)
@@ -209,6 +240,66 @@ def test_commit_holds_output_and_marks_together(spark, rows):
     assert rows(run.watermarks()) == [(1, at(5))]
 
 
+def feed_and_bounds(spark, seed=11):
+    rng = random.Random(seed)
+    log = random_log(rng, 500)
+    times = sorted(r[10] for r in log if r[10] is not None)
+    low, middle, high = times[20], times[len(times) // 2], times[-20]
+    watchers = [(1, "", "zzzz", 0), (2, "k", None, 0), (3, "a", "l", 3)]
+    bounds = lambda until: spark.createDataFrame([(*w, low, until) for w in watchers], "watch_id long, key string, range_end string, start_revision long, low timestamp_ntz, high timestamp_ntz")
+    return log, bounds(middle), bounds(high)
+
+
+def test_a_second_run_starts_where_the_first_ended(spark, rows):
+    log, half, full = feed_and_bounds(spark)
+    feed, path = spark.createDataFrame(log, LOG), shared_path(spark, "increments")
+    whole = rows(incremental.pending_changes(incremental.first_arrivals(feed), full))
+    first = rows(incremental.run_increment(feed, half, path))
+    assert rows(incremental.run_increment(feed, half, path)) == []  # nothing new
+    only_one = full.where("watch_id = 1")
+    second = rows(incremental.run_increment(feed, only_one, path))
+    marks = dict(rows(incremental.IncrementalRun(spark, path).watermarks()))
+    assert set(marks) == {1, 2, 3} and marks[1] > marks[2] == marks[3]  # those that did not run keep theirs
+    third = rows(incremental.run_increment(feed, full, path))
+    assert first and second and sorted(first + second + third, key=str) == whole and {r[0] for r in second} == {1} and 1 not in {r[0] for r in third}
+    assert rows(incremental.run_increment(feed, full, path)) == []
+
+
+def test_failures_before_and_after_the_commit(spark, rows, monkeypatch):
+    log, half, full = feed_and_bounds(spark, 12)
+    feed, path = spark.createDataFrame(log, LOG), shared_path(spark, "increments")
+    whole = rows(incremental.pending_changes(incremental.first_arrivals(feed), full))
+    first = rows(incremental.run_increment(feed, half, path))
+    real = incremental.rename_new
+
+    def lost(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(incremental, "rename_new", lost)
+    with pytest.raises(OSError, match="lost"):  # written, not published
+        incremental.run_increment(feed, full, path)
+    monkeypatch.setattr(incremental, "rename_new", lambda *a: real(*a) and lost())
+    with pytest.raises(OSError, match="lost"):  # published, then the driver is gone: the output stands, and is not given again
+        incremental.run_increment(feed, full, path)
+    monkeypatch.undo()
+    assert rows(incremental.run_increment(feed, full, path)) == []
+    kept = spark.read.parquet(f"{path}/run-{1:012d}/output")
+    assert sorted(first + rows(kept), key=str) == whole
+
+
+def test_of_two_runs_one_commits(spark, rows):
+    log, half, full = feed_and_bounds(spark, 13)
+    run = incremental.IncrementalRun(spark)
+    opened, number = run.start(half)
+    also, same = run.start(full)
+    marks = opened.select("watch_id", F.col("high").alias("mark"))
+    out = spark.createDataFrame([(1, 2, 3)], "watch_id long, mod_revision long, seq int")
+    run.commit(out, marks, number)
+    with pytest.raises(RuntimeError, match="another run"):
+        run.commit(out, also.select("watch_id", F.col("high").alias("mark")), same)
+    assert rows(run.watermarks()) == rows(marks)
+
+
 def test_bins_of_keys(spark):
     bounds = ["b", "d", "dd", "é"]
     bin_of = incremental.key_bins(bounds)
