@@ -49,8 +49,8 @@ def units_of(text: str | None) -> list[str]:
     return [u for u in (" ".join(" ".join(parts).split()) for parts in (units if body else [before])) if u]
 
 
-def sentences_of(unit: str, lang: str) -> list[str]:
-    """The sentences of a paragraph, each as its words of four letters and more in lower case, joined by blanks.
+def sentences_of(unit: str, lang: str) -> list[list[str]]:
+    """The sentences of a paragraph, each as its words of four letters and more in lower case.
 
     In English and French, words written large within a sentence are names of persons, firms and courts, and are left out
     (a sentence that is written large throughout keeps its words). Sentences without such words are left out.
@@ -64,7 +64,7 @@ def sentences_of(unit: str, lang: str) -> list[str]:
             sentence = low
         words = _WORD.findall(sentence)
         if words:
-            out.append(" ".join(words))
+            out.append(words)
     return out
 
 

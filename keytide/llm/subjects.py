@@ -13,7 +13,7 @@ occur, over the corpus, mostly in sentences that are not borne out. Sentences wi
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +27,51 @@ from keytide.llm.terms import SUBJECTS, inspected_terms
 from keytide.llm.topics import LANGUAGES, TopicModel, TopicSettings, filled, fit_topics, infer, topic_weights
 from keytide.session import materialize, shared_path
 
+PARAGRAPHS = "doc_id bigint, case_no string, lang string, units array<array<array<bigint>>>, met array<struct<id:bigint,word:string>>"
 ENCODED = "doc_id bigint, lang string, weight double, words array<int>, times array<int>, units array<array<array<int>>>, slice int"
 
 
+class _Words(dict):
+    """A 64-bit number for every word, the same in every task; those met first since the last call of ``met``."""
+
+    def __init__(self) -> None:
+        self.new: list[dict[str, object]] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+        self.new.append({"id": number, "word": word})
+        return number
+
+    def met(self) -> list[dict[str, object]]:
+        new, self.new = self.new, []
+        return new
+
+
 def corpus_paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc_id, case_no, lang, units): sentences of every paragraph as words joined by blanks; documents without
+    """(doc_id, case_no, lang, units, met): sentences of every paragraph as numbers of words; documents without
     paragraphs are listed with none. The language is told from the text, not from the column lang; case_no is null
-    where the documents have no such column."""
+    where the documents have no such column. ``met``: words and their numbers, each at least once in the column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            langs, units = [], []
+            langs, values, sentences, units, docs = [], [], [0], [0], [0]
             for text in batch.column(1).to_pylist():
                 langs.append(lang := language_of(text))
-                units.append([sentences_of(u, lang) for u in units_of(text)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(units, pa.list_(pa.list_(pa.string())))], names=["doc_id", "case_no", "lang", "units"])
+                for unit in units_of(text):
+                    for sentence in sentences_of(unit, lang):
+                        values.extend(map(words.__getitem__, sentence))
+                        sentences.append(len(values))
+                    units.append(len(sentences) - 1)
+                docs.append(len(units) - 1)
+            nested = pa.array(values, pa.int64())
+            for ends in (sentences, units, docs):
+                nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nested)
+            met = pa.array([words.met(), *[[]] * (batch.num_rows - 1)], pa.list_(pa.struct([("id", pa.int64()), ("word", pa.string())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), nested, met], names=["doc_id", "case_no", "lang", "units", "met"])
 
     case = F.col("case_no") if "case_no" in documents.columns else F.lit(None).cast("string").alias("case_no")
-    return documents.select("doc_id", "text", case).mapInArrow(run, "doc_id bigint, case_no string, lang string, units array<array<string>>")
+    return documents.select("doc_id", "text", case).mapInArrow(run, PARAGRAPHS)
 
 
 def weighted(paragraphs: DataFrame) -> DataFrame:
@@ -57,82 +84,83 @@ def weighted(paragraphs: DataFrame) -> DataFrame:
     several = named.where(F.size("units") > 0).groupBy("lang", "case_no").agg(F.count("*").alias("n")).where("n > 1")
     weights = materialize(several.select("lang", "case_no", (1 / F.col("n")).alias("weight")), "weights")
     joined = named.join(weights, ["lang", "case_no"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    return joined.unionByName(alone).drop("case_no")
+    return joined.unionByName(alone).drop("case_no", "met")
 
 
 def word_statistics(documents: DataFrame) -> DataFrame:
-    """(lang, word, in_units, in_documents) over all weighted documents; word '' counts the documents themselves."""
+    """(lang, word, in_units, in_documents) over all weighted documents; a null word counts the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: dict[str, dict[str, float]] = {lang: defaultdict(float) for lang in LANGUAGES}
-        docs: dict[str, dict[str, float]] = {lang: defaultdict(float) for lang in LANGUAGES}
         for batch in batches:
-            for lang, own, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not own:
-                    continue
-                in_units, in_docs = units[lang], docs[lang]
-                for word, n in Counter(w for unit in own for w in set(" ".join(unit).split())).items():
-                    in_units[word] += n * weight
-                    in_docs[word] += weight
-                in_docs[""] += weight
-            if sum(map(len, docs.values())) > 200_000:
-                yield give(units, docs)
-                for c in (*units.values(), *docs.values()):
-                    c.clear()
-        yield give(units, docs)
-
-    def give(units: dict[str, dict[str, float]], docs: dict[str, dict[str, float]]) -> pa.RecordBatch:
-        rows = [(lang, w, units[lang].get(w, 0.0), n) for lang in LANGUAGES for w, n in docs[lang].items()]
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["lang", "word", "in_units", "in_documents"])
-
-    parts = documents.select("lang", "units", "weight").mapInArrow(run, "lang string, word string, in_units double, in_documents double")
+            for lang in LANGUAGES:
+                b = _Batch(batch, lang)
+                weight = batch.column(2).to_numpy(zero_copy_only=False)[b.rows]
+                unit = b.sentence_unit[b.sentence]
+                known, code = np.unique(b.values, return_inverse=True)
+                n = max(1, len(known))
+                in_unit, in_doc = np.unique(unit * n + code), np.unique(b.unit_doc[unit] * n + code)
+                units = np.bincount(in_unit % n, weights=weight[b.unit_doc[in_unit // n]], minlength=len(known))
+                docs = np.bincount(in_doc % n, weights=weight[in_doc // n], minlength=len(known))
+                whole = float(weight[np.unique(b.unit_doc)].sum())
+                words = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(known)])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array([0.0, *units]), pa.array([whole, *docs])], names=["lang", "word", "in_units", "in_documents"])
+
+    parts = documents.select("doc_id", "lang", "weight", "units").mapInArrow(run, "lang string, word bigint, in_units double, in_documents double")
     # Rounded, as sums of fractions depend on their order in the last places.
     return parts.groupBy("lang", "word").agg(F.round(F.sum("in_units"), 6).alias("in_units"), F.round(F.sum("in_documents"), 6).alias("in_documents"))
 
 
-def vocabulary(documents: DataFrame, settings: TopicSettings) -> tuple[dict[str, tuple[list[str], list[str]]], float]:
+def vocabulary(paragraphs: DataFrame, documents: DataFrame, settings: TopicSettings) -> tuple[dict[str, tuple[list[str], list[str]]], float]:
     """Words of each language in alphabetical order: those that can make a topic, and those that frame them; and the number of documents.
 
     Topic words are neither rare nor common among rulings and come back within documents more than by chance; all others that are
     not rare are frames. At most (words of a document) / least_share of them reach the driver, however large the corpus.
     """
     stats = materialize(word_statistics(documents), "statistics")
-    sizes = stats.where("word = ''").select("lang", F.col("in_documents").alias("documents"))
+    sizes = stats.where("word IS NULL").select("lang", F.col("in_documents").alias("documents"))
     by_chance = (F.col("in_units") / F.col("documents")) / (1 - F.exp(-F.col("in_units") / F.col("documents")))
     topical = (F.col("in_documents") <= settings.most_share * F.col("documents")) & (F.col("in_units") / F.col("in_documents") >= settings.least_burst * by_chance)
     kept = (
-        stats.where("word <> ''")
+        stats.where("word IS NOT NULL")
         .join(F.broadcast(sizes), "lang")  # a row per language
         .where(F.col("in_documents") >= F.greatest(F.lit(2), settings.least_share * F.col("documents")))
-        .select("lang", "word", topical.alias("topical"))
+        .select("lang", F.col("word").alias("id"), topical.alias("topical"))
     )
+    spelt = paragraphs.where(F.size("met") > 0).select(F.inline("met")).groupBy("id").agg(F.first("word").alias("word"))
     out: dict[str, tuple[list[str], list[str]]] = {lang: ([], []) for lang in LANGUAGES}
-    for row in kept.collect():
+    for row in kept.join(spelt, "id").collect():
         out[row.lang][0 if row.topical else 1].append(row.word)
-    n = stats.where("word = ''").agg(F.sum("in_documents")).first()[0]
+    n = stats.where("word IS NULL").agg(F.sum("in_documents")).first()[0]
     return {lang: (sorted(topic), sorted(frame)) for lang, (topic, frame) in out.items()}, n or 0
 
 
 def encode(documents: DataFrame, words: dict[str, tuple[list[str], list[str]]], slices: int) -> DataFrame:
-    """Words as numbers, written in slices: topic words first, then frames, by units and sentences; and each document's topic words with their times."""
+    """Known words by their place in the vocabulary, written in slices: topic words first, then frames, by units and sentences; and each document's topic words with their times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {lang: {w: i for i, w in enumerate(topic + frame)} for lang, (topic, frame) in words.items()}
-        topical = {lang: len(topic) for lang, (topic, _) in words.items()}
-        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
-            numbers, own, times = [], [], []
-            for lang, units in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                at, limit = number[lang], topical[lang]
-                numbers.append(coded := [[[at[w] for w in s.split() if w in at] for s in unit] for unit in units])
-                bag = Counter(i for unit in coded for s in unit for i in s if i < limit)
-                own.append(list(bag))
-                times.append(list(bag.values()))
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(own, ints), pa.array(times, ints), pa.array(numbers, pa.list_(pa.list_(ints))), batch.column(4)],
-                names=["doc_id", "lang", "weight", "words", "times", "units", "slice"],
-            )
+        number, places = _Words(), {}
+        for lang, (topic, frame) in words.items():
+            ids = np.array([number[w] for w in topic + frame], dtype=np.int64)
+            order = np.argsort(ids, kind="stable")
+            places[lang] = (ids[order], order, len(topic))
+        for batch in batches:
+            for lang, (ids, order, limit) in places.items():
+                b = _Batch(batch, lang)
+                if not len(b.rows):
+                    continue
+                at = np.minimum(np.searchsorted(ids, b.values), max(0, len(ids) - 1))
+                known = ids[at] == b.values if len(ids) else np.zeros(len(b.values), dtype=bool)
+                sentence, value = b.sentence[known], order[at[known]] if len(ids) else np.zeros(0, dtype=np.int64)
+                nested = pa.array(value.astype(np.int32))
+                for of, n in ((sentence, b.sentences), (b.sentence_unit, b.units), (b.unit_doc, len(b.rows))):
+                    nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)), nested)
+                topical = value < limit
+                doc = b.unit_doc[b.sentence_unit[sentence[topical]]]
+                cell, times = np.unique(doc * max(1, limit) + value[topical], return_counts=True)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(cell // max(1, limit), minlength=len(b.rows)))]).astype(np.int32))
+                own, often = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (cell % max(1, limit), times))
+                part = batch.take(pa.array(b.rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), own, often, nested, part.column(4)], names=["doc_id", "lang", "weight", "words", "times", "units", "slice"])
 
     path = shared_path(documents.sparkSession, "encoded")
     rows = documents.select("doc_id", "lang", "weight", "units", F.pmod(F.xxhash64("doc_id", "units"), F.lit(slices)).cast("int").alias("slice"))
@@ -256,10 +284,11 @@ def document_subjects(documents: DataFrame, settings: TopicSettings | None = Non
     gives no subjects.
     """
     settings = settings or TopicSettings()
-    paragraphs = weighted(materialize(corpus_paragraphs(documents), "paragraphs"))
-    words, n = vocabulary(paragraphs, settings)
+    paragraphs = materialize(corpus_paragraphs(documents), "paragraphs")
+    whole = weighted(paragraphs)
+    words, n = vocabulary(paragraphs, whole, settings)
     slices = settings.slices(n)
-    encoded = encode(paragraphs, words, slices)
+    encoded = encode(whole, words, slices)
     topical, frames = ({lang: w[i] for lang, w in words.items()} for i in (0, 1))
     models = fit_topics(encoded.select("slice", "lang", "weight", "words", "times"), topical, slices, settings)
     mapped = {lang: [subject_matrix(m.subjects((terms or {}).get(lang) or inspected_terms(lang), settings)) for m in of] for lang, of in models.items()}

@@ -27,9 +27,9 @@ class TopicSettings:
     #: Models per language from different random starts; a paragraph's subject needs most of them.
     restarts: int = 3
     #: Updates of the topics, each by one slice of the corpus in turn; slices are of so many documents at least, and so many at most.
-    updates: int = 32
+    updates: int = 16
     slice_documents: int = 500
-    most_slices: int = 16
+    most_slices: int = 8
     inner_steps: int = 6
     #: Steps of update u are (1 + u) ** -forgetting.
     forgetting: float = 0.7
@@ -74,15 +74,15 @@ def infer(tokens: np.ndarray, times: np.ndarray, weights: np.ndarray, prior: flo
 
     ``tokens``: bags x words, filled up with the number after the last word, whose row in ``weights`` (words + 1
     x topics) is zero; ``times``: how often each is in its bag. Gives expected words per topic (bags x topics) and
-    what each word gives to each topic (bags x words x topics).
+    what each word gives to each topic, but for the word's own weight (bags x words x topics).
     """
     of_word = weights[tokens]
     expected = np.repeat(times.sum(axis=1, keepdims=True) / weights.shape[1], weights.shape[1], axis=1).astype(np.float32)
     for _ in range(steps):
         theta = exp_digamma(expected + np.float32(prior))
-        inverse = times / (np.matmul(of_word, theta[:, :, None])[:, :, 0] + np.float32(1e-30))
-        expected = theta * np.matmul(inverse[:, None, :], of_word)[:, 0, :]
-    return expected, of_word * theta[:, None, :] * inverse[:, :, None]
+        inverse = times / (np.einsum("nlk,nk->nl", of_word, theta) + np.float32(1e-30))
+        expected = theta * np.einsum("nlk,nl->nk", of_word, inverse)
+    return expected, theta[:, None, :] * inverse[:, :, None]
 
 
 def filled(values: np.ndarray, times: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fill: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -153,7 +153,7 @@ def _expected_counts(bags: DataFrame, weights: dict[tuple[str, int], np.ndarray]
     """(lang, restart, topic, word, n) expected over the given documents, each by its weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {model: np.zeros((w.shape[1], w.shape[0])) for model, w in weights.items()}
+        sums = {model: np.zeros(w.shape) for model, w in weights.items()}
         for batch in batches:
             for lang in {lang for lang, _ in weights}:
                 part = batch.filter(pa.compute.equal(batch.column(0), lang))
@@ -163,12 +163,14 @@ def _expected_counts(bags: DataFrame, weights: dict[tuple[str, int], np.ndarray]
                 models = {model: w for model, w in weights.items() if model[0] == lang}
                 fill = len(next(iter(models.values()))) - 1
                 for rows, tokens, n in filled(values, times, np.cumsum(lengths) - lengths, lengths, fill):
-                    flat, own = tokens.ravel(), weight[rows, None, None].astype(np.float32)
+                    order = np.argsort(tokens, axis=None, kind="stable")
+                    flat, own = tokens.ravel()[order], weight[rows, None, None].astype(np.float32)
+                    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
                     for model, w in models.items():
                         shares = infer(tokens, n, w, settings.topic_prior, settings.inner_steps)[1] * own
-                        for k in range(w.shape[1]):
-                            sums[model][k] += np.bincount(flat, weights=shares[:, :, k].ravel(), minlength=fill + 1)
+                        sums[model][flat[starts]] += np.add.reduceat(shares.reshape(-1, w.shape[1])[order], starts, axis=0)
         for (lang, restart), s in sums.items():
+            s = (s * weights[lang, restart]).T
             topic, word = np.nonzero(s[:, :-1] > 1e-4)
             cells = [pa.array(x.astype(np.int32)) for x in (np.full(len(topic), restart), topic, word)]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(topic), pa.string()), *cells, pa.array(s[topic, word])], names=["lang", "restart", "topic", "word", "n"])
