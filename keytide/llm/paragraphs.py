@@ -14,9 +14,9 @@ _MARK = re.compile(r"(?:(?:Rn\.?|§|¶|Para\.?) ?\d{1,3}\b|\[\d{1,3}\]|\(?\d{1,3
 #: Lines of page headers and footers within paragraphs: page counts, running court names, running case numbers.
 _PAGE_LINE = re.compile(r"[—–-]+ *\w+ \d+ \w+ \d+ *[—–-]+|\d+ ?[A-ZÀ-Ü' ]{8,}|\[\d{4}\] [A-Z]{2,4} \d+ [–—-] \d+|[^\n]+?(?: v\. | c/ | \./\. )[^\n]+?  +\d+|\d+")
 _SENTENCE = re.compile(r"(?<=[.;!?:])\s+(?=[^\W\d_a-zß-ÿ]|\[)")
-#: Words of four letters and more that start with a small letter, so that names are none of them but where every noun is
-#: written large.
-_WORD = re.compile(r"(?<![^\W\d_])[a-zß-öø-ÿœ]{4,}")
+_WORD = re.compile(r"[a-zß-öø-ÿœ]{4,}")
+#: The same where words written large, other than the first, are left out.
+_SMALL_WORD = re.compile(r"(?:^[^\W\d_]|(?<![^\W\d_])[a-zß-öø-ÿœ])[a-zß-öø-ÿœ]{3,}")
 #: Words by which the languages are told apart (fixed values).
 _TELLING = {"en": (" the ", " of ", " and "), "de": (" der ", " die ", " das ", " und "), "fr": (" la ", " le ", " les ", " et ")}
 
@@ -57,12 +57,12 @@ def sentences_of(unit: str, lang: str) -> list[list[str]]:
     """
     out = []
     for sentence in _SENTENCE.split(unit):
-        low = sentence.lower()
-        if lang != "de" and sentence != sentence.upper():
-            sentence = low[0] + sentence[1:] if sentence else ""
+        if lang == "de" or sentence.isupper():
+            words = _WORD.findall(sentence.lower())
         else:
-            sentence = low
-        words = _WORD.findall(sentence)
+            words = _SMALL_WORD.findall(sentence)
+            if words:
+                words[0] = words[0].lower()
         if words:
             out.append(words)
     return out

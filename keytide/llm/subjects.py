@@ -91,19 +91,21 @@ def word_statistics(documents: DataFrame) -> DataFrame:
     """(lang, word, in_units, in_documents) over all weighted documents; a null word counts the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             for lang in LANGUAGES:
                 b = _Batch(batch, lang)
                 weight = batch.column(2).to_numpy(zero_copy_only=False)[b.rows]
-                unit = b.sentence_unit[b.sentence]
-                known, code = np.unique(b.values, return_inverse=True)
-                n = max(1, len(known))
-                in_unit, in_doc = np.unique(unit * n + code), np.unique(b.unit_doc[unit] * n + code)
-                units = np.bincount(in_unit % n, weights=weight[b.unit_doc[in_unit // n]], minlength=len(known))
-                docs = np.bincount(in_doc % n, weights=weight[in_doc // n], minlength=len(known))
+                # In the order of words, and of units within a word, repeats in a unit or document are neighbours.
+                order = np.argsort(b.values, kind="stable")
+                word, unit = b.values[order], b.sentence_unit[b.sentence[order]]
+                doc = b.unit_doc[unit]
+                new_word = np.r_[True, word[1:] != word[:-1]][: len(word)]
+                new_unit, new_doc = (new_word | np.r_[True, x[1:] != x[:-1]][: len(word)] for x in (unit, doc))
+                known, code = word[new_word], np.cumsum(new_word) - 1
+                units, docs = (np.bincount(code[new], weights=weight[doc[new]], minlength=len(known)) for new in (new_unit, new_doc))
                 whole = float(weight[np.unique(b.unit_doc)].sum())
                 words = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(known)])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array([0.0, *units]), pa.array([whole, *docs])], names=["lang", "word", "in_units", "in_documents"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(np.r_[0.0, units]), pa.array(np.r_[whole, docs])], names=["lang", "word", "in_units", "in_documents"])
 
     parts = documents.select("doc_id", "lang", "weight", "units").mapInArrow(run, "lang string, word bigint, in_units double, in_documents double")
     # Rounded, as sums of fractions depend on their order in the last places.

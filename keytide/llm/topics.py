@@ -138,19 +138,31 @@ def fit_topics(bags: DataFrame, words: dict[str, list[str]], slices: int, settin
         now = {(lang, r): topic_weights(c) for (lang, r), c in counts.items() if size.get((lang, at))}
         if not now:
             continue
-        sums = _expected_counts(bags.where(F.col("slice") == at), now, settings).toArrow()
-        of_lang, of_restart = sums.column("lang").to_numpy(), sums.column("restart").to_numpy()
-        topic, word, n = (sums.column(c).to_numpy() for c in ("topic", "word", "n"))
-        for lang, r in now:
-            own = (of_lang == lang) & (of_restart == r)
-            seen = np.full(counts[lang, r].shape, settings.word_prior)
-            seen[topic[own], word[own]] += n[own] * (total[lang] / size[lang, at])
-            counts[lang, r] = (1 - step) * counts[lang, r] + step * seen
+        found = {(lang, r): np.full(counts[lang, r].shape, settings.word_prior) for lang, r in now}
+        for row in _expected_counts(bags.where(F.col("slice") == at), now, settings).toArrow().to_batches():
+            for lang, r, topic, n in zip(*(row.column(i).to_pylist() for i in range(3)), row.column(3), strict=True):
+                found[lang, r][topic] += n.values.to_numpy() * (total[lang] / size[lang, at])
+        for model, seen in found.items():
+            counts[model] = (1 - step) * counts[model] + step * seen
     return {lang: [TopicModel(known, counts[lang, r]) for r in range(settings.restarts)] for lang, known in words.items() if known}
 
 
+_SUMS = "lang string, restart int, topic int, counts array<double>"
+
+
+def _sum_batch(rows: dict[tuple[str, int, int], np.ndarray]) -> pa.RecordBatch:
+    """Counts per word of models' topics, as rows of _SUMS."""
+    lang, restart, topic = list(zip(*rows, strict=True)) or ((), (), ())
+    ends = np.concatenate([[0], np.cumsum([len(n) for n in rows.values()])]).astype(np.int32)
+    flat = pa.array(np.concatenate([*rows.values(), np.zeros(0)]))
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(restart, pa.int32()), pa.array(topic, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["lang", "restart", "topic", "counts"])
+
+
 def _expected_counts(bags: DataFrame, weights: dict[tuple[str, int], np.ndarray], settings: TopicSettings) -> DataFrame:
-    """(lang, restart, topic, word, n) expected over the given documents, each by its weight."""
+    """(lang, restart, topic, counts per word) expected over the given documents, each by its weight.
+
+    A row per topic leaves each task, and the rows of a topic are added in one place; a task holds as much as the topics take.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {model: np.zeros(w.shape) for model, w in weights.items()}
@@ -169,11 +181,16 @@ def _expected_counts(bags: DataFrame, weights: dict[tuple[str, int], np.ndarray]
                     for model, w in models.items():
                         shares = infer(tokens, n, w, settings.topic_prior, settings.inner_steps)[1] * own
                         sums[model][flat[starts]] += np.add.reduceat(shares.reshape(-1, w.shape[1])[order], starts, axis=0)
-        for (lang, restart), s in sums.items():
-            s = (s * weights[lang, restart]).T
-            topic, word = np.nonzero(s[:, :-1] > 1e-4)
-            cells = [pa.array(x.astype(np.int32)) for x in (np.full(len(topic), restart), topic, word)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(topic), pa.string()), *cells, pa.array(s[topic, word])], names=["lang", "restart", "topic", "word", "n"])
-
-    parts = bags.select("lang", "weight", "words", "times").mapInArrow(run, "lang string, restart int, topic int, word int, n double")
-    return parts.groupBy("lang", "restart", "topic", "word").agg(F.sum("n").alias("n"))
+        topics = {(*model, k): row for model, s in sums.items() for k, row in enumerate((s * weights[model]).T[:, :-1])}
+        yield _sum_batch(topics)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, restart, topic, n in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                at, n = (lang, restart, topic), n.values.to_numpy()
+                sums[at] = sums[at] + n if at in sums else n
+        yield _sum_batch(sums)
+
+    parts = bags.select("lang", "weight", "words", "times").mapInArrow(run, _SUMS)
+    return parts.repartition("lang", "restart", "topic").mapInArrow(add, _SUMS)
