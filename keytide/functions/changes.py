@@ -20,12 +20,3 @@ def is_delete(event_type: Column) -> Column:
     Absent, empty or any other spelling is the enum's zero value, a put. Never null.
     """
     return enum_name(event_type).isin("DELETE", "1")
-
-
-def time_bucket(ts: Column, per_day: int = 4) -> Column:
-    """Number of the slice of a day, counted from 1970, that holds ``ts``.
-
-    Rises with ``ts``, does not depend on the session's time zone for timestamps
-    without one, and is null for null. ``per_day`` must divide 24.
-    """
-    return (F.unix_date(ts.cast("date")) * per_day + F.floor(F.hour(ts) / (24 // per_day))).cast("int")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.functions.changes import time_bucket
-from keytide.operators.sliced import running_last
+from keytide.operators.sliced import even_slices, running_last, seconds_of
 
 
 def distinct_operations(ops: DataFrame) -> DataFrame:
@@ -14,14 +13,15 @@ def distinct_operations(ops: DataFrame) -> DataFrame:
     return ops.groupBy("op_id").agg(F.min_by(F.struct("history_id", "op_type", "key", "value", "start_time", "end_time", "result"), "recorded_at").alias("r")).select("op_id", "r.*")
 
 
-def stale_reads(ops: DataFrame, per_day: int = 24) -> DataFrame:
+def stale_reads(ops: DataFrame, slices: int | None = None) -> DataFrame:
     """Successful reads that give another value than the newest successful write of their key that ended before:
     history_id, op_id, key, value, expected.
 
     Order: end_time, then op_id. Reads of keys without an earlier write pass, as do operations that did not end
     or have a null key; null values are equal to each other.
     """
-    done = ops.where((F.col("result") == "Ok") & F.col("key").isNotNull() & F.col("end_time").isNotNull()).select("history_id", "op_id", "op_type", "key", "value", "end_time").withColumn("slice", time_bucket(F.col("end_time"), per_day))
+    done = ops.where((F.col("result") == "Ok") & F.col("key").isNotNull() & F.col("end_time").isNotNull()).select("history_id", "op_id", "op_type", "key", "value", "end_time").withColumn("at", seconds_of(F.col("end_time")))
+    done = done.withColumn("slice", even_slices(done, F.col("at"), slices)(F.col("at"))).drop("at")
     written = F.when(F.col("op_type") == "Write", F.struct(F.col("value").alias("value")))
     seen = running_last(done, ["history_id", "key"], "slice", ["end_time", "op_id"], written, "last_write", inclusive=False)
     return seen.where((F.col("op_type") == "Read") & F.col("last_write").isNotNull() & ~F.col("value").eqNullSafe(F.col("last_write.value"))).select("history_id", "op_id", "key", "value", F.col("last_write.value").alias("expected"))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.functions.changes import time_bucket
+from keytide.operators.sliced import bins_between, even_slices, seconds_of
 from keytide.session import hadoop_fs, rename_new, shared_path
 
 
@@ -54,42 +54,26 @@ def first_arrivals(change_log: DataFrame) -> DataFrame:
     return change_log.where(F.col("key").isNotNull()).groupBy("mod_revision", "seq", "key").agg(F.min("arrived_at").alias("arrived_at"))
 
 
-def key_bins(bounds: list[str]) -> Callable[[Column], Column]:
-    """A function that gives the number of the bin a key column lies in: how many of the
-    sorted ``bounds`` are no greater than it, by binary search."""
-    padded = F.array(*(F.lit(b) for b in bounds)) if bounds else F.array().cast("array<string>")
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-
-    def of(key: Column) -> Column:
-        if not bounds:
-            return F.lit(0)
-        return F.aggregate(
-            F.array(*(F.lit(s) for s in steps)),
-            F.lit(0),
-            lambda at, step: F.when((at + step <= len(bounds)) & (F.get(padded, at + step - 1) <= key), at + step).otherwise(at),
-        )
-
-    return of
-
-
-def pending_changes(changes: DataFrame, bounds: DataFrame, bins: int = 512, per_day: int = 4) -> DataFrame:
+def pending_changes(changes: DataFrame, bounds: DataFrame, bins: int = 512, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """(watch_id, mod_revision, seq) of each change in low < arrived_at <= high of a watcher
     that covers its key, with mod_revision >= start_revision.
 
     A watcher covers key exactly where range_end is null or empty, else key <= k <
     range_end; a null key covers nothing, and a null bound admits nothing. ``bins``: number of key ranges, cut at range
-    ends chosen by hash, of which so many at most come to the driver; it decides only about balance.
+    ends chosen by hash, of which so many at most come to the driver; it decides only about balance, as does ``slice_of``, slices of the seconds of arrival
+    (even ones of ``changes`` unless given).
     """
     exact = F.coalesce(F.col("range_end"), F.lit("")) == ""
     wanted = bounds.where(F.col("key").isNotNull() & (exact | (F.col("key") < F.col("range_end"))) & (F.col("low") < F.col("high")))
     cuts = wanted.select(F.explode(F.array("key", F.when(~exact, F.col("range_end")))).alias("cut")).where("cut is not null").distinct()
-    bin_of = key_bins(sorted(r.cut for r in cuts.orderBy(F.xxhash64("cut"), "cut").limit(bins - 1).collect()))
+    bin_of = bins_between(sorted(r.cut for r in cuts.orderBy(F.xxhash64("cut"), "cut").limit(bins - 1).collect()))
+    slice_of = slice_of or even_slices(changes, seconds_of(F.col("arrived_at")))
     grid = (
-        wanted.select("watch_id", F.col("key").alias("from_key"), F.when(exact, F.lit(None)).otherwise(F.col("range_end")).alias("to_key"), "start_revision", "low", "high")
+        wanted.select("watch_id", F.col("key").alias("from_key"), F.when(exact, F.lit(None)).otherwise(F.col("range_end")).alias("to_key"), "start_revision", "low", "high", seconds_of(F.col("low")).alias("low_at"), seconds_of(F.col("high")).alias("high_at"))
         .withColumn("bin", F.explode(F.sequence(bin_of(F.col("from_key")), bin_of(F.coalesce("to_key", "from_key")))))
-        .withColumn("slice", F.explode(F.sequence(time_bucket(F.col("low"), per_day), time_bucket(F.col("high"), per_day))))
+        .withColumn("slice", F.explode(F.sequence(slice_of(F.col("low_at")), slice_of(F.col("high_at")))))
     )
-    placed = changes.where(F.col("arrived_at").isNotNull()).withColumn("bin", bin_of(F.col("key"))).withColumn("slice", time_bucket(F.col("arrived_at"), per_day))
+    placed = changes.where(F.col("arrived_at").isNotNull()).withColumn("bin", bin_of(F.col("key"))).withColumn("at", seconds_of(F.col("arrived_at"))).withColumn("slice", slice_of(F.col("at")))
     return (
         placed.join(grid, ["bin", "slice"])
         .where(
@@ -169,7 +153,8 @@ def run_increment(change_log: DataFrame, bounds: DataFrame, path: str | None = N
     """
     run = IncrementalRun(change_log.sparkSession, path)
     open_bounds, number = run.start(bounds)
-    return run.commit(pending_changes(first_arrivals(change_log), open_bounds), open_bounds.select("watch_id", F.col("high").alias("mark")), number)
+    slice_of = even_slices(change_log.where(F.col("key").isNotNull()), seconds_of(F.col("arrived_at")))
+    return run.commit(pending_changes(first_arrivals(change_log), open_bounds, slice_of=slice_of), open_bounds.select("watch_id", F.col("high").alias("mark")), number)
 
 
 def resume_watchers(change_log: DataFrame, watchers: DataFrame, watch_runs: DataFrame, path: str | None = None) -> DataFrame:

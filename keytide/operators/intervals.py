@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.functions.changes import time_bucket
+from keytide.operators.sliced import even_slices
 from keytide.session import materialize
 
 _EPOCH = "1970-01-01 00:00:00"
@@ -37,7 +37,7 @@ def text_of(micros_col: Column) -> Column:
     )
 
 
-def periods_and_gaps(rows: DataFrame, entity: list[str], start: str, end: str, per_day: int = 4) -> tuple[DataFrame, DataFrame]:
+def periods_and_gaps(rows: DataFrame, entity: list[str], start: str, end: str, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Periods (entity, period_start, period_end) and gaps (entity, gap_start, gap_end).
 
     Times of the results are microseconds from 1970. Intervals are closed: touching
@@ -48,7 +48,8 @@ def periods_and_gaps(rows: DataFrame, entity: list[str], start: str, end: str, p
     valid = F.col(end) >= F.col(start)
     for c in entity:
         valid = valid & F.col(c).isNotNull()
-    covered = rows.where(valid).select(*(F.col(c).alias(n) for c, n in zip(entity, names, strict=True)), F.col(start).alias("s_ts"), F.col(end).alias("e_ts")).select(*names, micros(F.col("s_ts")).alias("s"), micros(F.col("e_ts")).alias("e"), time_bucket(F.col("s_ts"), per_day).alias("slice"))
+    covered = rows.where(valid).select(*(F.col(c).alias(n) for c, n in zip(entity, names, strict=True)), F.col(start).alias("s_ts"), F.col(end).alias("e_ts")).select(*names, micros(F.col("s_ts")).alias("s"), micros(F.col("e_ts")).alias("e"))
+    covered = covered.withColumn("slice", even_slices(covered, F.col("s"), slices)(F.col("s")))
     length = F.make_interval(secs=(((F.col("e") - F.col("s")) * 2 + 1).cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
     merged = (
         covered.withColumn("at", F.timestamp_micros(F.col("s") * 2))

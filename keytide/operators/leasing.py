@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytide.operators.sliced import even_slices, running_last, seconds_of
+
 STATE = "lease_id bigint, granted_ttl bigint, last_renewed timestamp, keys array<string>, alive boolean, errors bigint"
 EVENTS = "lease_id bigint, op_id bigint, outcome string, keys array<string>"
 
@@ -82,14 +84,17 @@ def lease_outcomes(requests: DataFrame) -> DataFrame:
     return whole.mapInPandas(over, EVENTS)
 
 
-def liveness_gaps(requests: DataFrame) -> DataFrame:
+def liveness_gaps(requests: DataFrame, slices: int | None = None) -> DataFrame:
     """Consecutive signs of life of a lease that lie its ttl or more apart: lease_id, from_ts, to_ts, seconds, ttl.
 
-    Signs of life are grants and keepalives; the ttl is that of the last grant before.
+    Signs of life are grants and keepalives; the ttl is that of the last grant before. Leases are cut into slices of time.
     """
-    by = Window.partitionBy("lease_id").orderBy("ts", "op_id")
-    signs = requests.where(F.lower(F.trim("op")).isin("grant", "keepalive"))
-    timed = signs.withColumn("lasts", F.last(F.when(F.lower(F.trim("op")) == "grant", F.col("ttl")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn("from_ts", F.lag("ts").over(by))
+    op = F.lower(F.trim("op"))
+    signs = requests.where(op.isin("grant", "keepalive")).select("lease_id", "op_id", "ts", F.when(op == "grant", F.col("ttl")).alias("granted"), seconds_of(F.col("ts")).alias("at"))
+    signs = signs.withColumn("slice", even_slices(signs, F.col("at"), slices)(F.col("at"))).drop("at")
+    order = ["ts", "op_id"]
+    timed = running_last(signs, ["lease_id"], "slice", order, F.col("granted"), "lasts", inclusive=False)
+    timed = running_last(timed, ["lease_id"], "slice", order, F.col("ts"), "from_ts", inclusive=False)
     seconds = F.floor(F.col("ts").cast("timestamp").cast("double") - F.col("from_ts").cast("timestamp").cast("double")).cast("long")
     return timed.withColumn("seconds", seconds).where((F.col("lasts") > 0) & (F.col("seconds") >= F.col("lasts"))).select("lease_id", "from_ts", F.col("ts").alias("to_ts"), "seconds", F.col("lasts").alias("ttl"))
 

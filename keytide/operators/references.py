@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.functions.changes import time_bucket
+from keytide.operators.sliced import even_slices, seconds_of
 
 
 def standing_grants(leases: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def standing_grants(leases: DataFrame) -> DataFrame:
     )
 
 
-def orphan_references(children: DataFrame, parents: DataFrame, per_day: int = 4) -> DataFrame:
+def orphan_references(children: DataFrame, parents: DataFrame, slices: int | None = None) -> DataFrame:
     """Children (ref_table, ref_id) of which no parent is in force at ts.
 
     ``children``: ref_table, ref_id, parent_key, ts. ``parents``: parent_key, opened,
@@ -53,8 +53,10 @@ def orphan_references(children: DataFrame, parents: DataFrame, per_day: int = 4)
     long = (
         edges.select("parent_key", "ts", F.col("delta").cast("long").alias("delta"), F.lit(1).alias("kind"), none.cast("string").alias("ref_table"), none.cast("long").alias("ref_id"))
         .unionByName(kept.select("parent_key", "ts", F.lit(0).cast("long").alias("delta"), F.lit(2).alias("kind"), "ref_table", F.col("ref_id").cast("long").alias("ref_id")))
-        .withColumn("slice", time_bucket(F.col("ts"), per_day))
+        .withColumn("at", seconds_of(F.col("ts")))
     )
+    # Cut where references lie close; of the edges no instant has more than its grants.
+    long = long.withColumn("slice", even_slices(kept, seconds_of(F.col("ts")), slices)(F.col("at"))).drop("at")
     before = Window.partitionBy("parent_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         long.where(F.col("slice").isNotNull())

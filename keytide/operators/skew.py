@@ -37,17 +37,19 @@ def per_key_results(change_log: DataFrame, share: float = 0.001) -> DataFrame:
     """key, changes, deletes, first_revision, last_revision of every non-null key.
 
     A change (mod_revision, seq) counts once, however often it was delivered; null parts
-    of it are equal to each other. ``share``: part of all rows from which a key is salted.
+    of it are equal to each other. ``share``: part of all rows from which a key is salted in any case; with many tasks
+    smaller ones are too, from half a task's mean.
     An empty feed gives an empty result.
     """
     spark = change_log.sparkSession
     rows = change_log.where(F.col("key").isNotNull()).select("key", "mod_revision", "seq", is_delete(F.col("event_type")).alias("gone"))
-    heavy, total = heavy_keys(rows, "key", share)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A key is heavy from half of what a task gets on average: at most 2 x tasks, or 1/share, keys are.
+    heavy, total = heavy_keys(rows, "key", min(share, 1 / (2 * parts)))
     target = max(1, ceil(total / (2 * parts)))
     salts = heavy.select("heavy_key", F.ceil(F.col("n") / target).alias("salts"))
     return (
-        rows.join(F.broadcast(salts), rows["key"] == salts["heavy_key"], "left")  # at most 1/share rows
+        rows.join(F.broadcast(salts), rows["key"] == salts["heavy_key"], "left")  # at most the greater of 1/share and 2 x tasks rows
         .withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("mod_revision", "seq"), F.col("salts"))).otherwise(0))
         .repartition("key", "salt")
         .groupBy("key", "salt", "mod_revision", "seq")

@@ -35,7 +35,7 @@ def in_range(rows: DataFrame, start: str | None = None, end: str | None = None,
     return rows.where(F.col("key").startswith(prefix)) if prefix is not None else rows
 
 
-def history(log: DataFrame, slices: int = 64) -> DataFrame:
+def history(log: DataFrame, slices: int | None = None) -> DataFrame:
     """Every version with what its place in the key's history gives.
 
     create_revision: revision of the first put since the key's last delete, 0 for deletes; version_no: number of the put
@@ -43,7 +43,7 @@ def history(log: DataFrame, slices: int = 64) -> DataFrame:
     Histories are cut into slices of revisions, so that a hot key is spread.
     """
     put = F.col("op") == "put"
-    slice_of, _ = revision_slice(log, slices=slices)
+    slice_of = revision_slice(log, slices=slices)
     rows = log.where(F.col("key").isNotNull()).withColumn("slice", slice_of)
     inside = Window.partitionBy("key", "slice").orderBy(*_ORDER)
     earlier, later = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -122,14 +122,14 @@ def range_page(log: DataFrame, start: str, end: str, limit: int = 0, at: int | N
     return rows.limit(limit) if limit > 0 else rows
 
 
-def as_of(probes: DataFrame, log: DataFrame, slices: int = 64) -> DataFrame:
+def as_of(probes: DataFrame, log: DataFrame, slices: int | None = None) -> DataFrame:
     """For each probe (pid, key, revision) the newest version of its key with a revision no greater: pid,
     key, value, mod_revision; null where there is none or it is a delete.
 
     Probes and versions are put in order together in ranges of revisions, so that a hot key is
     spread; what a range starts with comes from the newest version of each range before it.
     """
-    slice_of, _ = revision_slice(log, slices=slices)
+    slice_of = revision_slice(log, slices=slices)
     none = F.lit(None)
     versions = log.where(F.col("key").isNotNull()).select("key", *_ORDER, "op", "value", F.lit(0).alias("kind"), none.cast("long").alias("pid"))
     asked = probes.where(F.col("key").isNotNull()).select("key", F.col("revision").cast("long").alias("revision"), F.lit(2147483647).alias("seq"), none.cast("string").alias("op"), none.cast("string").alias("value"), F.lit(1).alias("kind"), F.col("pid").cast("long").alias("pid"))

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.operators.incremental import key_bins
+from keytide.operators.sliced import bins_between
 from keytide.operators.versions import history
 
 
-def match_watchers(changes: DataFrame, watchers: DataFrame, bins: int = 512) -> DataFrame:
+def match_watchers(changes: DataFrame, watchers: DataFrame, bins: int = 512, salts: int = 8) -> DataFrame:
     """(watch_id, revision, seq, key) of each change a watcher covers: revision >= start_revision
     (null: 0), and key exactly where range_end is null or empty, else key <= k < range_end.
 
-    Matched through bins of keys, cut at range ends chosen by hash; a watcher with an inverted range or a null key has no rows.
+    Matched through bins of keys, cut at range ends chosen by hash, each spread over ``salts``, so that the bin of a hot key is not one task's; a watcher with an inverted range or a null key has no rows.
     """
     exact = F.coalesce(F.col("range_end"), F.lit("")) == ""
     wanted = watchers.where(F.col("key").isNotNull() & (exact | (F.col("key") < F.col("range_end"))))
     cuts = wanted.select(F.explode(F.array("key", F.when(~exact, F.col("range_end")))).alias("cut")).where("cut is not null").distinct()
-    bin_of = key_bins(sorted(r.cut for r in cuts.orderBy(F.xxhash64("cut"), "cut").limit(bins - 1).collect()))
-    grid = wanted.select("watch_id", F.col("key").alias("from_key"), F.when(~exact, F.col("range_end")).alias("to_key"), F.coalesce("start_revision", F.lit(0)).alias("start_revision")).withColumn("bin", F.explode(F.sequence(bin_of(F.col("from_key")), bin_of(F.coalesce("to_key", "from_key")))))
+    bin_of = bins_between(sorted(r.cut for r in cuts.orderBy(F.xxhash64("cut"), "cut").limit(bins - 1).collect()))
+    grid = wanted.select("watch_id", F.col("key").alias("from_key"), F.when(~exact, F.col("range_end")).alias("to_key"), F.coalesce("start_revision", F.lit(0)).alias("start_revision")).withColumn("bin", F.explode(F.sequence(bin_of(F.col("from_key")), bin_of(F.coalesce("to_key", "from_key"))))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     covers = (F.col("key") == F.col("from_key")) | (F.col("to_key").isNotNull() & (F.col("key") >= F.col("from_key")) & (F.col("key") < F.col("to_key")))
-    return changes.where(F.col("key").isNotNull()).select("revision", "seq", "key", bin_of(F.col("key")).alias("bin")).join(grid, "bin").where(covers & (F.col("revision") >= F.col("start_revision"))).select("watch_id", "revision", "seq", "key")
+    return changes.where(F.col("key").isNotNull()).select("revision", "seq", "key", bin_of(F.col("key")).alias("bin"), F.pmod(F.hash("revision", "seq"), F.lit(salts)).alias("salt")).join(grid, ["bin", "salt"]).where(covers & (F.col("revision") >= F.col("start_revision"))).select("watch_id", "revision", "seq", "key")
 
 
 def watch_events(log: DataFrame) -> DataFrame:

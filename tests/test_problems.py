@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keytide.operators import cdc, incremental, intervals, references, skew
+from keytide.operators import cdc, incremental, intervals, references, skew, sliced
 from keytide.session import shared_path
 
 T0 = dt.datetime(2024, 1, 1)
@@ -300,9 +300,23 @@ def test_of_two_runs_one_commits(spark, rows):
     assert rows(run.watermarks()) == rows(marks)
 
 
+def test_slices_hold_like_many_rows_of_a_hot_key_in_one_hour(spark):
+    """Half of all rows are one key's, within an hour of a year: none of its slices holds more than the bound."""
+    hour, year = 3_600, 365 * 86_400
+    rows = spark.range(64_000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id % 1000)) AS key", f"if(id % 2 = 0, 100 * 86400 + (id * 7919) % {hour}, (id * 104729) % {year}) AS at", "id")
+    slice_of = sliced.even_slices(rows, F.col("at"), slices := 32)
+    most = rows.withColumn("slice", slice_of(F.col("at"))).groupBy("key", "slice").count().agg(F.max("count")).first()[0]
+    assert most <= 64_000 / slices * 1.2
+    nulls = rows.limit(3).select(slice_of(F.lit(None).cast("long")).alias("s"), slice_of(F.lit(-5)).alias("low"), slice_of(F.lit(10**12)).alias("high")).distinct().collect()
+    assert [tuple(r) for r in nulls] == [(None, 0, slices - 1)]
+    assert rows.limit(1).select(sliced.even_slices(rows.limit(0), F.col("at"))(F.col("at")).alias("s")).first().s == 0
+    same = rows.select(F.lit(5).alias("at"))
+    assert same.select(sliced.even_slices(same, F.col("at"))(F.col("at")).alias("s")).distinct().count() == 1
+
+
 def test_bins_of_keys(spark):
     bounds = ["b", "d", "dd", "é"]
-    bin_of = incremental.key_bins(bounds)
+    bin_of = sliced.bins_between(bounds)
     keys = ["", "a", "b", "c", "d", "da", "dd", "e", "z", "é", "日"]
     got = {r.k: r.n for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", bin_of(F.col("k")).alias("n")).collect()}
     assert got == {k: sum(b.encode() <= k.encode() for b in bounds) for k in keys}
