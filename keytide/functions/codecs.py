@@ -151,9 +151,52 @@ def read_block(data: bytes) -> list[tuple[str, str | None]]:
 
 
 COMMAND = "type string, key string, value string, lease_id bigint, id bigint, ttl bigint"
+#: The same with the type as the tag around its parts, and keys and values as arrays of bytes.
+TAGGED_COMMAND = "Put struct<key:array<int>,value:array<int>,lease_id:bigint,ttl_seconds:bigint>, Delete struct<key:array<int>>, LeaseGrant struct<lease_id:bigint,ttl:bigint>, LeaseRevoke struct<lease_id:bigint>"
 JOINT = "old array<struct<id:bigint,address:string>>, new array<struct<id:bigint,address:string>>"
 
 
+def text_of_bytes(values: Column) -> Column:
+    """The UTF-8 text of an array of byte values; null for null."""
+    return F.decode(F.unhex(F.array_join(F.transform(values, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "utf-8")
+
+
+def bytes_of_text(text: Column) -> Column:
+    """A text's UTF-8 bytes as a JSON array of numbers."""
+    digits = F.hex(F.encode(text, "utf-8"))
+    values = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10))
+    return F.concat(F.lit("["), F.when(F.octet_length(text) > 0, F.array_join(values, ",")).otherwise(""), F.lit("]"))
+
+
+def decode_command(data: Column) -> Column:
+    """struct(type, key, value, lease_id, ttl) of a command in JSON, in either shape; null if it cannot be read or lacks what its type needs.
+
+    A put without lease_id or ttl has 0.
+    """
+    flat, tagged = F.from_json(data, COMMAND + ", ttl_seconds bigint"), F.from_json(data, TAGGED_COMMAND)
+    zero = F.lit(0).cast("long")
+
+    def of(kind: str, key: Column, value: Column, lease: Column, ttl: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), key.cast("string").alias("key"), value.cast("string").alias("value"), lease.cast("long").alias("lease_id"), ttl.cast("long").alias("ttl"))
+
+    def read(both: Column) -> Column:
+        f, t, none = both["f"], both["t"], F.lit(None)
+        lease = F.coalesce(f["lease_id"], f["id"])
+        put, delete, grant, revoke = t["Put"], t["Delete"], t["LeaseGrant"], t["LeaseRevoke"]
+        return (
+            F.when(put["key"].isNotNull() & put["value"].isNotNull(), of("Put", text_of_bytes(put["key"]), text_of_bytes(put["value"]), F.coalesce(put["lease_id"], zero), F.coalesce(put["ttl_seconds"], zero)))
+            .when(delete["key"].isNotNull(), of("Delete", text_of_bytes(delete["key"]), none, none, none))
+            .when(grant["lease_id"].isNotNull() & grant["ttl"].isNotNull(), of("LeaseGrant", none, none, grant["lease_id"], grant["ttl"]))
+            .when(revoke["lease_id"].isNotNull(), of("LeaseRevoke", none, none, revoke["lease_id"], none))
+            .when((f["type"] == "Put") & f["key"].isNotNull() & f["value"].isNotNull(), of("Put", f["key"], f["value"], F.coalesce(lease, zero), F.coalesce(f["ttl_seconds"], f["ttl"], zero)))
+            .when((f["type"] == "Delete") & f["key"].isNotNull(), of("Delete", f["key"], none, none, none))
+            .when((f["type"] == "LeaseGrant") & lease.isNotNull() & f["ttl"].isNotNull(), of("LeaseGrant", none, none, lease, f["ttl"]))
+            .when((f["type"] == "LeaseRevoke") & lease.isNotNull(), of("LeaseRevoke", none, none, lease, none))
+        )
+
+    return let(F.struct(flat.alias("f"), tagged.alias("t")), read)
+
+
 def leader_hint(message: Column) -> Column:
     """The node a refusal names as leader, or null."""
     found = F.regexp_extract(message, r"Some\((\d+)\)", 1)

@@ -140,15 +140,3 @@ def members_after(changes: DataFrame, initial: DataFrame) -> DataFrame:
 def log_after_snapshot(log: DataFrame, snapshot_index: int) -> DataFrame:
     """Entries that compaction up to a snapshot leaves."""
     return log.where(F.col("log_index") > snapshot_index)
-
-
-def apply_commands(log: DataFrame, committed: int) -> tuple[DataFrame, DataFrame]:
-    """Change rows of committed entries, and the entries that cannot be read (log_index, data).
-
-    Normal entries hold commands as JSON; no-ops, configuration changes and empty data give nothing. Changes: log_index, type, key, value, lease_id, ttl.
-    """
-    normal = log.where((F.col("log_index") <= committed) & (F.col("entry_type") == "Normal") & (F.coalesce(F.length("data"), F.lit(0)) > 0))
-    read = normal.withColumn("c", F.from_json("data", "type string, key string, value string, lease_id bigint, id bigint, ttl bigint"))
-    known = F.coalesce(F.col("c.type").isin("Put", "Delete", "LeaseGrant", "LeaseRevoke"), F.lit(False))
-    changes = read.where(known).select("log_index", "c.type", "c.key", "c.value", F.coalesce("c.lease_id", "c.id").alias("lease_id"), "c.ttl")
-    return changes, read.where(~known).select("log_index", "data")

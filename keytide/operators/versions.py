@@ -123,7 +123,7 @@ def range_page(log: DataFrame, start: str, end: str, limit: int = 0, at: int | N
 
 
 def as_of(probes: DataFrame, log: DataFrame, slices: int | None = None) -> DataFrame:
-    """For each probe (pid, key, revision) the newest version of its key with a revision no greater: pid,
+    """For each probe (pid, key, revision) the newest version of its key with a revision no greater: pid (of any type),
     key, value, mod_revision; null where there is none or it is a delete.
 
     Probes and versions are put in order together in ranges of revisions, so that a hot key is
@@ -131,8 +131,8 @@ def as_of(probes: DataFrame, log: DataFrame, slices: int | None = None) -> DataF
     """
     slice_of = revision_slice(log, slices=slices)
     none = F.lit(None)
-    versions = log.where(F.col("key").isNotNull()).select("key", *_ORDER, "op", "value", F.lit(0).alias("kind"), none.cast("long").alias("pid"))
-    asked = probes.where(F.col("key").isNotNull()).select("key", F.col("revision").cast("long").alias("revision"), F.lit(2147483647).alias("seq"), none.cast("string").alias("op"), none.cast("string").alias("value"), F.lit(1).alias("kind"), F.col("pid").cast("long").alias("pid"))
+    versions = log.where(F.col("key").isNotNull()).select("key", *_ORDER, "op", "value", F.lit(0).alias("kind"), none.cast(probes.schema["pid"].dataType).alias("pid"))
+    asked = probes.where(F.col("key").isNotNull()).select("key", F.col("revision").cast("long").alias("revision"), F.lit(2147483647).alias("seq"), none.cast("string").alias("op"), none.cast("string").alias("value"), F.lit(1).alias("kind"), "pid")
     both = versions.unionByName(asked).withColumn("slice", slice_of)
     version = F.when(F.col("kind") == 0, F.struct("revision", "op", "value"))
     found = running_last(both, ["key"], "slice", ["revision", "seq", "kind"], version, "found", inclusive=True).where("kind = 1")

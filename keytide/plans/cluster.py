@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions import codecs
-from keytide.operators import audit, consensus, runs
+from keytide.operators import applying, audit, consensus, runs
 from keytide.plans.kv import _sql
 from keytide.plans.registry import Registry
-from keytide.sources.fixtures import REPLICATED_LOG_SQL, STORE_LOG_SQL, event_sizes, replicated_log, store_log
+from keytide.session import materialize
+from keytide.sources.fixtures import COMMAND_LOG_SQL, REPLICATED_LOG_SQL, STORE_LOG_SQL, command_log, event_sizes, replicated_log, store_log
 from keytide.sources.tables import table
 
 REGISTRY = Registry()
@@ -164,18 +165,66 @@ _NORMAL = "normal AS (SELECT * FROM replog, (SELECT n * 9 // 10 AS committed FRO
 
 
 @REGISTRY.add("apply_commands", _sql(REPLICATED_LOG_SQL, _NORMAL, select="""SELECT log_index, CASE event_type WHEN 'error' THEN 'Delete' WHEN 'signup' THEN 'LeaseGrant' ELSE 'Put' END AS type, CASE WHEN event_type <> 'signup' THEN CAST(user_id AS VARCHAR) END AS key, CASE WHEN event_type NOT IN ('signup', 'error') THEN event_type END AS value,
- CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN user_id WHEN 'purchase' THEN user_id ELSE 0 END AS lease_id, CASE WHEN event_type = 'signup' THEN 60 + event_id % 60 END AS ttl FROM normal WHERE event_id % 101 <> 100"""))
+ CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN user_id WHEN 'purchase' THEN user_id ELSE 0 END AS lease_id, CASE event_type WHEN 'signup' THEN 60 + event_id % 60 WHEN 'error' THEN NULL ELSE 0 END AS ttl FROM normal WHERE event_id % 101 <> 100"""))
 def apply_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of the committed commands."""
     n, _ = event_sizes(spark, sf_dir)
-    return consensus.apply_commands(replicated_log(spark, sf_dir), n * 9 // 10)[0]
+    return applying.read_commands(replicated_log(spark, sf_dir), n * 9 // 10)[0]
 
 
 @REGISTRY.add("apply_quarantine", _sql(REPLICATED_LOG_SQL, _NORMAL, select="SELECT log_index, '{broken' AS data FROM normal WHERE event_id % 101 = 100"))
 def apply_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Committed commands that cannot be read."""
     n, _ = event_sizes(spark, sf_dir)
-    return consensus.apply_commands(replicated_log(spark, sf_dir), n * 9 // 10)[1]
+    return applying.read_commands(replicated_log(spark, sf_dir), n * 9 // 10)[1]
+
+
+#: What revokes delete, as a fold over the commands that can matter to each key: its puts and deletes, and revokes of leases it was put with.
+_REVOKED = """turns AS (SELECT * FROM (SELECT lease_id, log_index, type, lag(type) OVER (PARTITION BY lease_id ORDER BY log_index) AS before FROM cmds WHERE type = 'LeaseRevoke' OR (type = 'LeaseGrant' AND ttl > 0)) WHERE type <> coalesce(before, 'LeaseRevoke')),
+lives AS (SELECT lease_id, log_index AS born, lead(log_index, 1, 9000000000) OVER (PARTITION BY lease_id ORDER BY log_index) AS ended, type FROM turns),
+pairs AS (SELECT DISTINCT key, lease_id FROM cmds WHERE type = 'Put' AND lease_id > 0),
+steps AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY log_index) AS n FROM (
+  SELECT c.key, c.log_index, c.type, c.lease_id, l.born IS NOT NULL AS alive FROM cmds c LEFT JOIN lives l ON l.type = 'LeaseGrant' AND l.lease_id = c.lease_id AND c.log_index BETWEEN l.born AND l.ended WHERE c.type IN ('Put', 'Delete')
+  UNION ALL SELECT p.key, l.ended, 'LeaseRevoke', p.lease_id, true FROM lives l JOIN pairs p ON p.lease_id = l.lease_id WHERE l.type = 'LeaseGrant' AND l.ended < 9000000000)),
+fold AS (
+  SELECT key, 0::BIGINT AS n, 0::BIGINT AS log_index, '' AS type, 0::BIGINT AS lease_id, 0::BIGINT AS holds, []::BIGINT[] AS hangs, false AS cut FROM (SELECT DISTINCT key FROM steps)
+  UNION ALL
+  SELECT s.key, s.n, s.log_index, s.type, s.lease_id,
+    CASE WHEN s.type = 'Put' THEN s.lease_id WHEN s.type = 'Delete' OR list_contains(f.hangs, s.lease_id) THEN 0 ELSE f.holds END,
+    CASE WHEN s.type = 'Put' THEN CASE WHEN s.alive AND s.lease_id > 0 AND NOT list_contains(f.hangs, s.lease_id) THEN list_append(f.hangs, s.lease_id) ELSE f.hangs END
+      WHEN s.type = 'Delete' THEN list_filter(f.hangs, lambda x: x <> f.holds) ELSE list_filter(f.hangs, lambda x: x <> s.lease_id) END,
+    s.type = 'LeaseRevoke' AND list_contains(f.hangs, s.lease_id)
+  FROM fold f JOIN steps s ON s.key = f.key AND s.n = f.n + 1),
+revoked AS (SELECT log_index, lease_id, key FROM fold WHERE cut)"""
+
+
+def _recursive(*parts: str, select: str) -> str:
+    return _sql(*parts, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@REGISTRY.add("apply_revoke", _recursive(COMMAND_LOG_SQL, _REVOKED, select="SELECT log_index, lease_id, key FROM revoked"))
+def apply_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that the revokes among the committed commands delete."""
+    n, _ = event_sizes(spark, sf_dir)
+    return applying.revoked_keys(materialize(applying.read_commands(command_log(spark, sf_dir), n * 9 // 10)[0], "commands"))
+
+
+@REGISTRY.add(
+    "apply_events",
+    _recursive(COMMAND_LOG_SQL, _REVOKED, """told AS (SELECT log_index, CASE WHEN type = 'Put' THEN 0 ELSE 1 END AS event_type, key, CASE WHEN type = 'Put' THEN value END AS value, CASE WHEN type = 'Put' THEN lease_id ELSE 0 END AS lease_id, CASE WHEN type = 'Put' THEN ttl ELSE 0 END AS ttl_seconds, true AS own FROM cmds WHERE type IN ('Put', 'Delete')
+ UNION ALL SELECT log_index, 1, key, NULL, 0, 0, false FROM revoked)""", select="SELECT log_index, event_type, key, coalesce(value, '') AS value, lease_id, ttl_seconds, CASE WHEN own THEN lag(value) OVER (PARTITION BY key ORDER BY log_index) END AS prev_value FROM told"),
+)
+def apply_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of applying the committed commands."""
+    n, _ = event_sizes(spark, sf_dir)
+    return applying.applied_events(command_log(spark, sf_dir), n * 9 // 10)
+
+
+@REGISTRY.add("apply_count", "SELECT count(*) AS applied FROM events, (SELECT count(*) AS n FROM events) WHERE event_id + 1 <= n * 9 // 10 AND ((event_id + 1) % 997 = 0 OR event_id % 101 <> 100)")
+def apply_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many committed entries count as applied."""
+    n, _ = event_sizes(spark, sf_dir)
+    return applying.applied_count(command_log(spark, sf_dir), n * 9 // 10)
 
 
 @REGISTRY.add("status_row", _sql(_N, _ACKS, REPLICATED_LOG_SQL, select="SELECT max(log_index) AS last_index, max(term) AS term, arg_max(term, log_index) AS last_term, count(*) FILTER (entry_type = 'Noop') AS elections, count(*) AS entries FROM replog"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keytide.operators import leasing, transactions, versions, watching
 from keytide.plans.kv import _NEWEST, _sql
 from keytide.plans.registry import Registry
-from keytide.sources.fixtures import EVENT_LOG_SQL, STORE_LOG_SQL, TXNS_SQL, event_log, store_log, txn_reads, txn_writes
+from keytide.sources.fixtures import EVENT_LOG_SQL, OPERATIONS_SQL, SERIAL_SQL, STORE_LOG_SQL, TXNS_SQL, event_log, event_sizes, serial_reads, serial_writes, store_log, txn_operations, txn_reads, txn_writes
 from keytide.sources.tables import table
 
 REGISTRY = Registry()
@@ -21,8 +21,14 @@ outcome AS (SELECT s.txn_id, CASE WHEN m0 <> m1 AND w.txn_id IS NOT NULL THEN 'c
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txn_id, key ORDER BY seq DESC) AS rn FROM writes) WHERE rn = 1)"""
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions.validate(txn_reads(spark, sf_dir), txn_writes(spark, sf_dir), event_log(spark, sf_dir))
+def _outcomes(spark: SparkSession, sf_dir: str, sizes: tuple[int, int] | None = None) -> DataFrame:
+    sizes = sizes or event_sizes(spark, sf_dir)
+    return transactions.validate(txn_reads(spark, sf_dir, sizes), txn_writes(spark, sf_dir, sizes), event_log(spark, sf_dir))
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = event_sizes(spark, sf_dir)
+    return transactions.written_once(_outcomes(spark, sf_dir, sizes), txn_writes(spark, sf_dir, sizes))
 
 
 @REGISTRY.add("txn_outcome", _sql(EVENT_LOG_SQL, TXNS_SQL, _OUTCOME, select="SELECT txn_id, status, conflicts, revision FROM outcome"))
@@ -40,7 +46,44 @@ def txn_write_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("txn_committed_changes", _sql(EVENT_LOG_SQL, TXNS_SQL, _OUTCOME, select="SELECT l.txn_id, revision, row_number() OVER (PARTITION BY l.txn_id ORDER BY seq) - 1 AS seq, key, op, value FROM last l JOIN outcome o ON o.txn_id = l.txn_id AND status = 'committed'"))
 def txn_committed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change rows of the transactions that commit."""
-    return transactions.written_once(_outcomes(spark, sf_dir), txn_writes(spark, sf_dir))
+    return _committed(spark, sf_dir)
+
+
+@REGISTRY.add(
+    "txn_create_revisions",
+    _sql(EVENT_LOG_SQL, TXNS_SQL, _OUTCOME, """epochs AS (SELECT *, sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY revision) AS epoch FROM log),
+lived AS (SELECT key, revision, op, min(revision) FILTER (op = 'put') OVER (PARTITION BY key, epoch) AS created FROM epochs)""",
+         select="""SELECT l.txn_id, o.revision, row_number() OVER (PARTITION BY l.txn_id ORDER BY seq) - 1 AS seq, l.key, l.op, value, CASE WHEN l.op = 'delete' THEN 0 WHEN a.op = 'put' THEN a.created ELSE o.revision END AS create_revision
+ FROM last l JOIN outcome o ON o.txn_id = l.txn_id AND status = 'committed' ASOF LEFT JOIN lived a ON a.key = l.key AND o.revision - 1 >= a.revision"""),
+)
+def txn_create_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the revision that created each key."""
+    return transactions.created_by(_committed(spark, sf_dir), event_log(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "txn_serial",
+    "WITH RECURSIVE " + SERIAL_SQL + """, fold AS (
+  SELECT DISTINCT component, 0::BIGINT AS n, 0::BIGINT AS txn_id, false AS conflict, list_transform(range(20), lambda x: -1000000::BIGINT) AS last FROM sall
+  UNION ALL
+  SELECT component, n, txn_id, conflict, list_transform(last, lambda x, i: CASE WHEN NOT conflict AND list_contains(wrote, i - 1) THEN txn_id ELSE x END) FROM (
+    SELECT s.component, s.n, s.txn_id, s.wrote, f.last, len(s.wrote) > 0 AND f.last[s.key + 1] > s.start_revision AS conflict FROM fold f JOIN sall s ON s.component = f.component AND s.n = f.n + 1))
+SELECT txn_id, CASE WHEN conflict THEN 'conflict' ELSE 'committed' END AS status FROM fold WHERE n > 0""",
+)
+def txn_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which transactions of a batch that only meet each other commit, in their order."""
+    return transactions.serial_outcomes(serial_reads(spark, sf_dir), serial_writes(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "txn_own_reads",
+    _sql(EVENT_LOG_SQL, OPERATIONS_SQL, """placed AS (SELECT *, last_value(CASE WHEN kind <> 'read' THEN {'kind': kind, 'value': value} END IGNORE NULLS) OVER (PARTITION BY txn_id, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wrote FROM tops)""",
+         select="""SELECT p.txn_id, p.seq, p.key, CASE WHEN p.wrote IS NOT NULL THEN p.wrote.value WHEN a.op = 'put' THEN a.value END AS value, p.wrote IS NOT NULL AS own, CASE WHEN p.wrote IS NULL THEN CASE WHEN a.op = 'put' THEN a.revision ELSE 0 END END AS mod_revision
+ FROM (SELECT * FROM placed WHERE kind = 'read') p ASOF LEFT JOIN log a ON a.key = p.key AND p.start_revision >= a.revision"""),
+)
+def txn_own_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads of transactions see, their own writes first."""
+    return transactions.reads_within(txn_operations(spark, sf_dir), event_log(spark, sf_dir))
 
 
 @REGISTRY.add(
@@ -59,6 +102,20 @@ def txn_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions.compare_and_choose(compares, latest)
 
 
+@REGISTRY.add(
+    "txn_branch",
+    _sql(EVENT_LOG_SQL, TXNS_SQL, _NEWEST.format(where=""), "chosen AS (SELECT txn_id, coalesce(n.revision, 0) = start_revision OR coalesce(n.revision, 0) > start_revision AS succeeded FROM reads r LEFT JOIN newest n ON n.key = r.key AND n.op = 'put')",
+         select="SELECT w.txn_id, seq, w.key, w.op, w.value, succeeded FROM writes w JOIN chosen c ON c.txn_id = w.txn_id WHERE (seq % 2 = 1) = succeeded"),
+)
+def txn_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations transactions run, by whether their comparison holds."""
+    sizes = event_sizes(spark, sf_dir)
+    compares = txn_reads(spark, sf_dir, sizes).select("txn_id", "key", F.lit("VERSION").alias("target"), F.lit("LESS").alias("result"), F.col("start_revision").alias("version"), F.lit("").alias("value"))
+    latest = versions.newest(event_log(spark, sf_dir)).where("op = 'put'").select("key", F.col("revision").alias("version"), "value")
+    chosen = transactions.compare_and_choose(compares, latest).withColumn("succeeded", ~F.col("succeeded"))
+    return transactions.chosen_operations(chosen, txn_writes(spark, sf_dir, sizes).withColumn("on_success", F.col("seq") % 2 == 1))
+
+
 _MATCH = "m AS (SELECT watch_id, revision, seq, l.key FROM log l JOIN watchers w ON revision >= coalesce(start_revision, 0) AND CASE WHEN coalesce(range_end, '') = '' THEN l.key = w.key ELSE l.key >= w.key AND l.key < range_end END)"
 
 

@@ -1,12 +1,13 @@
 """Reads, history, runs, transactions, watchers, leases, rules of replication: literal cases and replays."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from keytide.operators import audit, consensus, leasing, runs, transactions, versions, watching
+from keytide.operators import applying, audit, consensus, leasing, runs, transactions, versions, watching
 from keytide.session import shared_path
 from keytide.sources import snapshots
 
@@ -168,10 +169,85 @@ def test_replication_rules(spark, rows):
     assert rows(consensus.membership_changes(changes, initial), "log_index", "status") == [(1, "applied"), (2, "AlreadyMember"), (3, "NotAMember"), (4, "applied")]
     assert rows(consensus.members_after(changes, initial)) == [(1,), (4,)]
     data = spark.createDataFrame([(1, 1, "Normal", '{"type":"Put","key":"k","value":"v"}'), (2, 1, "Noop", ""), (3, 1, "Normal", "{broken"), (4, 1, "Normal", None), (5, 1, "Normal", '{"type":"Odd"}')], "log_index long, term long, entry_type string, data string")
-    good, bad = consensus.apply_commands(data, 9)
+    good, bad = applying.read_commands(data, 9)
     assert rows(good, "log_index", "type", "key") == [(1, "Put", "k")] and rows(bad, "log_index") == [(3,), (5,)]
 
 
+def commands_of(spark, entries):
+    return spark.createDataFrame([(i, 1, kind, data) for i, (kind, data) in enumerate(entries, 1)], "log_index long, term long, entry_type string, data string")
+
+
+def tagged(kind, **parts):
+    return "Normal", json.dumps({kind: {k: list(v.encode()) if isinstance(v, str) else v for k, v in parts.items()}})
+
+
+def test_commands_in_both_shapes(spark, rows):
+    log = commands_of(spark, [tagged("Put", key="ké", value="", lease_id=2, ttl_seconds=9), tagged("Delete", key="k"), tagged("LeaseGrant", lease_id=2, ttl=5), tagged("LeaseRevoke", lease_id=2), ("Normal", '{"type":"Put","key":"a","value":"b","lease_id":3,"ttl_seconds":4}'), ("Normal", '{"Put":{"key":[1]}}'), ("Normal", '{"type":"Delete"}'), ("ConfigChange", "x"), ("Noop", "")])
+    good, bad = applying.read_commands(log, 9)
+    assert rows(good) == [(1, "Put", "ké", "", 2, 9), (2, "Delete", "k", None, None, None), (3, "LeaseGrant", None, None, 2, 5), (4, "LeaseRevoke", None, None, 2, None), (5, "Put", "a", "b", 3, 4)]
+    assert rows(bad, "log_index") == [(6,), (7,)] and applying.applied_count(log, 9).first()[0] == 6 and applying.applied_count(log.limit(0), 9).first()[0] == 0
+
+
+def fold_commands(commands):
+    """What applying tells, one command after another."""
+    store, leases, out = {}, {}, []
+    for i, (_, data) in enumerate(commands, 1):
+        ((kind, c),) = json.loads(data).items()
+        key = bytes(c["key"]).decode() if "key" in c else None
+        if kind == "Put":
+            value = bytes(c["value"]).decode()
+            out.append((i, 0, key, value, c["lease_id"], c["ttl_seconds"], store[key][0] if key in store else None))
+            store[key] = (value, c["lease_id"])
+            if c["lease_id"] in leases and c["lease_id"] > 0:
+                leases[c["lease_id"]].add(key)
+        elif kind == "Delete":
+            value, lease = store.pop(key, (None, 0))
+            out.append((i, 1, key, "", 0, 0, value))
+            leases.get(lease, set()).discard(key)
+        elif kind == "LeaseGrant":
+            if c["ttl"] > 0:
+                leases.setdefault(c["lease_id"], set())
+        else:
+            for key in leases.pop(c["lease_id"], set()):
+                store.pop(key, None)
+                out.append((i, 1, key, "", 0, 0, None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_applying_commands_like_one_after_another(spark, rows, seed):
+    rng, commands = random.Random(seed), []
+    for i in range(500):
+        key, lease = rng.choice("abc"), rng.randrange(1, 4)
+        commands.append(rng.choice([tagged("Put", key=key, value=f"v{i}", lease_id=rng.choice([0, lease, lease]), ttl_seconds=i % 3), tagged("Delete", key=key), tagged("LeaseGrant", lease_id=lease, ttl=rng.choice([0, 5, 5])), tagged("LeaseRevoke", lease_id=lease)]))
+    want = fold_commands(commands)
+    log = commands_of(spark, commands)
+    assert rows(applying.applied_events(log, 500)) == want
+    assert sum(w[1] == 1 and w[6] is None for w in want) > 20  # revoked, or not there
+    assert applying.applied_events(log.limit(0), 9).count() == 0
+
+
+def test_a_key_hangs_on_where_another_lease_took_its_value(spark, rows):
+    put = lambda lease: tagged("Put", key="k", value="v", lease_id=lease, ttl_seconds=0)
+    grant, revoke = (lambda kind: lambda lease: tagged(kind, lease_id=lease, **({"ttl": 5} if kind == "LeaseGrant" else {})))("LeaseGrant"), lambda lease: tagged("LeaseRevoke", lease_id=lease)
+    # Lease 2 deletes k, so the delete after it finds nothing to take off lease 1, and the revoke of 1 deletes k again.
+    log = commands_of(spark, [grant(1), grant(2), put(1), put(2), put(1), revoke(2), tagged("Delete", key="k"), revoke(1)])
+    assert rows(applying.revoked_keys(applying.read_commands(log, 9)[0])) == [(6, 2, "k"), (8, 1, "k")]
+    without = commands_of(spark, [grant(1), put(1), tagged("Delete", key="k"), revoke(1)])
+    assert applying.revoked_keys(applying.read_commands(without, 9)[0]).count() == 0
+
+
+def test_transactions_among_themselves(spark, rows):
+    log = spark.createDataFrame([(1, 0, "a", "put", "1"), (3, 0, "a", "put", "3"), (4, 0, "b", "delete", None)], "revision long, seq int, key string, op string, value string")
+    ops = spark.createDataFrame([(1, 2, 1, "read", "a", None), (1, 2, 2, "put", "a", "mine"), (1, 2, 3, "read", "a", None), (1, 2, 4, "delete", "a", None), (1, 2, 5, "read", "a", None), (2, 9, 1, "read", "b", None), (2, 9, 2, "read", "a", None), (2, 9, 3, "read", None, None)], "txn_id long, start_revision long, seq int, kind string, key string, value string")
+    assert rows(transactions.reads_within(ops, log)) == [(1, 1, "a", "1", False, 1), (1, 3, "a", "mine", True, None), (1, 5, "a", None, True, None), (2, 1, "b", None, False, 0), (2, 2, "a", "3", False, 3)]
+    changes = spark.createDataFrame([(1, 5, 0, "a", "put", "x"), (1, 5, 1, "b", "put", "y"), (2, 6, 0, "a", "delete", None)], "txn_id long, revision long, seq int, key string, op string, value string")
+    assert rows(transactions.created_by(changes, log), "txn_id", "key", "create_revision") == [(1, "a", 1), (1, "b", 5), (2, "a", 0)]
+    chosen = spark.createDataFrame([(1, True), (2, False)], "txn_id long, succeeded boolean")
+    branches = spark.createDataFrame([(1, True, 1, "put"), (1, False, 2, "get"), (2, True, 1, "put"), (3, True, 1, "put")], "txn_id long, on_success boolean, seq int, op string")
+    assert rows(transactions.chosen_operations(chosen, branches)) == [(1, 1, "put", True)]
+
+
 def test_audits(spark, rows):
     t0 = dt.datetime(2024, 1, 1)
     ops = [(i, 1, kind, key, value, t0, t0 + dt.timedelta(hours=h), result) for i, (kind, key, value, h, result) in enumerate([("Read", "k", "z", 0, "Ok"), ("Write", "k", "1", 1, "Ok"), ("Read", "k", "1", 2, "Ok"), ("Write", "k", "2", 3, "Error(x)"), ("Read", "k", "2", 4, "Ok"), ("Read", "k", None, 50, "Ok"), ("Write", "k", None, 60, "Ok"), ("Read", "k", None, 70, "Ok"), ("Read", None, "q", 71, "Ok"), ("Read", "k", "1", 72, None)])]
