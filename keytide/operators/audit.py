@@ -120,3 +120,38 @@ def exposition(metrics: DataFrame) -> DataFrame:
     """Text lines of metrics (name, label, label_value, value): name{label="value"} n."""
     labels = F.when(F.col("label").isNotNull(), F.format_string('{%s="%s"}', "label", "label_value")).otherwise("")
     return metrics.select(F.concat("name", labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def delivered(messages: DataFrame, actions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Whether a simulated network delivers each message (message_id, at, from_id, to_id), by the actions before it: message_id, delivered.
+
+    ``actions``: at, action, a, b; ``nodes``: node_id. cut stops what goes from a to b, split what goes either way, isolate all to and from a; heal undoes both
+    ways between a and b, heal_all everything. The last action on a direction counts; a direction without any delivers. Actions come
+    before messages of the same instant.
+    """
+    pair = lambda x, y: F.struct(F.col(x).alias("from_id"), F.col(y).alias("to_id"))
+    direct = actions.where(F.col("action").isin("cut", "split", "heal")).select("at", (F.col("action") == "heal").alias("opens"), F.explode(F.when(F.col("action") == "cut", F.array(pair("a", "b"))).otherwise(F.array(pair("a", "b"), pair("b", "a")))).alias("e"))
+    others = actions.where("action = 'isolate'").join(F.broadcast(nodes), F.col("node_id") != F.col("a"))  # nodes of one network
+    around = others.select("at", F.lit(False).alias("opens"), F.explode(F.array(pair("a", "node_id"), pair("node_id", "a"))).alias("e"))
+    edges = direct.unionByName(around).select(F.col("at"), "opens", "e.from_id", "e.to_id", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("message_id"))
+    asked = messages.select("at", F.lit(None).cast("boolean").alias("opens"), "from_id", "to_id", F.lit(1).alias("kind"), F.col("message_id").cast("long").alias("message_id"))
+    both = edges.unionByName(asked)
+    slice_of = even_slices(both, F.col("at"))
+    last = running_last(both.withColumn("slice", slice_of(F.col("at"))), ["from_id", "to_id"], "slice", ["at", "kind", "message_id"], F.when(F.col("kind") == 0, F.struct("opens", F.col("at").alias("on"))), "last", inclusive=False).where("kind = 1")
+    # Only the last healing of everything before a message matters; it is the same for all directions.
+    healed = actions.where("action = 'heal_all'").select(F.lit(0).alias("all"), "at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("message_id")).unionByName(messages.select(F.lit(0).alias("all"), "at", F.lit(1).alias("kind"), F.col("message_id").cast("long").alias("message_id")))
+    when = running_last(healed.withColumn("slice", slice_of(F.col("at"))), ["all"], "slice", ["at", "kind", "message_id"], F.when(F.col("kind") == 0, F.col("at")), "healed_at", inclusive=False).where("kind = 1").select("message_id", "healed_at")
+    open_again = F.coalesce(F.col("healed_at") >= F.col("last.on"), F.lit(False))
+    return last.join(when, "message_id").select("message_id", (F.col("last").isNull() | F.col("last.opens") | open_again).alias("delivered"))
+
+
+def disk_verdicts(operations: DataFrame) -> DataFrame:
+    """Whether a simulated disk carries out each read and write (disk_id, at, action: read, write), by the switches before it (fail_reads,
+    restore_reads, fail_writes, restore_writes): disk_id, at, action, ok. A disk without switches carries out all."""
+    placed = operations.withColumn("slice", even_slices(operations, F.col("at"))(F.col("at")))
+    for kind in ("reads", "writes"):
+        switch = F.when(F.col("action") == f"fail_{kind}", True).when(F.col("action") == f"restore_{kind}", False)
+        placed = running_last(placed, ["disk_id"], "slice", ["at"], switch, f"{kind}_fail", inclusive=False)
+    asked = placed.where(F.col("action").isin("read", "write"))
+    fails = F.when(F.col("action") == "read", F.col("reads_fail")).otherwise(F.col("writes_fail"))
+    return asked.select("disk_id", "at", "action", (~F.coalesce(fails, F.lit(False))).alias("ok"))

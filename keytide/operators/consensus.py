@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytide.operators.versions import numbered
+
 
 def majority(n: Column) -> Column:
     """The least number of votes that is more than half."""
@@ -120,23 +122,141 @@ def transfer_checks(requests: DataFrame, acks: DataFrame, leader_id: int, last_i
     return requests.join(at, "target_id", "left").select("request_id", verdict.alias("verdict"))
 
 
-def membership_changes(changes: DataFrame, initial: DataFrame) -> DataFrame:
-    """Each change (log_index, change, node_id) with its status: applied, AlreadyMember, NotAMember.
+def log_after_snapshot(log: DataFrame, snapshot_index: int) -> DataFrame:
+    """Entries that compaction up to a snapshot leaves."""
+    return log.where(F.col("log_index") > snapshot_index)
+
+
+def append_outcomes(requests: DataFrame, log: DataFrame, my_term: int, committed: int) -> DataFrame:
+    """A follower's answer to each append request, each from the same state: request_id, term, success, match_index, commit_index, truncated_at.
 
-    A node's presence before a change follows from its change before, or from ``initial`` (node_id).
+    ``requests``: request_id, term, prev_index, prev_term, leader_commit, entries (array of struct<log_index, term>); ``log``: log_index, term, the
+    follower's. An older term is refused with match_index 0; a log that lacks the entry before, or has it in another term, refuses with its last
+    index. Else entries from the first of another term on replace the follower's own; the commit index becomes the least of the
+    leader's and the last index, if the leader's is greater.
     """
-    by = Window.partitionBy("node_id").orderBy("log_index")
-    present = F.coalesce(F.lag("change").over(by) == "add", F.col("initially"), F.lit(False))
-    joined = changes.join(F.broadcast(initial.select("node_id", F.lit(True).alias("initially"))), "node_id", "left")  # members of one cluster
-    return joined.withColumn("present", present).select("log_index", "change", "node_id", F.when((F.col("change") == "add") & F.col("present"), "AlreadyMember").when((F.col("change") == "remove") & ~F.col("present"), "NotAMember").otherwise("applied").alias("status"))
+    own = log.select(F.col("log_index").alias("at"), F.col("term").alias("own_term"))
+    last = log.agg(F.coalesce(F.max("log_index"), F.lit(0)).alias("last"))  # one row
+    new = requests.select("request_id", F.explode("entries").alias("e")).select("request_id", F.col("e.log_index").alias("at"), "e.term")
+    per = new.join(own, "at", "left").groupBy("request_id").agg(F.max("at").alias("upto"), F.min(F.when(F.col("own_term") != F.col("term"), F.col("at"))).alias("conflict"))
+    joined = requests.withColumn("at", F.col("prev_index")).join(own, "at", "left").join(per, "request_id", "left").join(F.broadcast(last))
+    stale = F.col("term") < my_term
+    fits = (F.col("prev_index") == 0) | F.coalesce(F.col("own_term") == F.col("prev_term"), F.lit(False))
+    good = ~stale & fits
+    end = F.when(F.col("conflict").isNotNull(), F.col("upto")).otherwise(F.greatest("last", F.coalesce("upto", F.lit(0))))
+    commit = F.when(good & (F.col("leader_commit") > committed), F.least("leader_commit", end)).otherwise(committed)
+    return joined.select("request_id", F.greatest("term", F.lit(my_term)).cast("long").alias("term"), good.alias("success"), F.when(stale, 0).when(good, end).otherwise(F.col("last")).cast("long").alias("match_index"), commit.cast("long").alias("commit_index"), F.when(good, F.col("conflict")).alias("truncated_at"))
+
+
+def append_requests(peers: DataFrame, log: DataFrame, term: int, committed: int) -> DataFrame:
+    """What a leader sends each peer (node_id, next_index): node_id, term, prev_index, prev_term (0: none), first_index and last_index
+    of the entries (null: a heartbeat), entries, leader_commit. The log's indexes follow each other."""
+    ends = log.agg(F.coalesce(F.max("log_index"), F.lit(0)).alias("last"), F.coalesce(F.min("log_index"), F.lit(1)).alias("first"))  # one row
+    terms = log.select(F.col("log_index").alias("prev_index"), F.col("term").alias("prev_term"))
+    placed = peers.withColumn("prev_index", F.greatest(F.col("next_index") - 1, F.lit(0))).join(terms, "prev_index", "left").join(F.broadcast(ends))
+    first = F.greatest("next_index", "first")
+    n = F.greatest(F.col("last") - first + 1, F.lit(0))
+    return placed.select("node_id", F.lit(term).cast("long").alias("term"), "prev_index", F.coalesce("prev_term", F.lit(0)).cast("long").alias("prev_term"), F.when(n > 0, first).alias("first_index"), F.when(n > 0, F.col("last")).alias("last_index"), n.cast("long").alias("entries"), F.lit(committed).cast("long").alias("leader_commit"))
+
+
+def proposals(requests: DataFrame, last_index: int) -> DataFrame:
+    """Verdict on each proposal in the order of ``at``: at, verdict (NotLeader, TransferInProgress, accepted), log_index.
+
+    ``requests``: at, role, transferring. Accepted ones take the indexes after ``last_index`` in order; others take none.
+    """
+    verdict = F.when(F.coalesce(F.col("role") != "leader", F.lit(True)), "NotLeader").when(F.col("transferring"), "TransferInProgress").otherwise("accepted")
+    judged = requests.select("at", verdict.alias("verdict"))
+    taken = numbered(judged.where("verdict = 'accepted'"), ["at"], "log_index", last_index + 1)
+    return taken.select("at", "verdict", "log_index").unionByName(judged.where("verdict <> 'accepted'").withColumn("log_index", F.lit(None).cast("long")))
 
 
-def members_after(changes: DataFrame, initial: DataFrame) -> DataFrame:
-    """(node_id) of the configuration after all changes: what a node's last change says, else ``initial``."""
-    last = changes.groupBy("node_id").agg(F.max_by("change", "log_index").alias("change"))
-    return initial.select("node_id").join(last, "node_id", "left_anti").unionByName(last.where("change = 'add'").select("node_id"))
+def stepped_down(states: DataFrame) -> DataFrame:
+    """Nodes after they saw a term (node_id, role, term, voted_for, leader_id, seen_term): one above their own makes a node a follower of that term
+    without vote, leader, or transfer and change in progress; any other leaves it as it is."""
+    newer = F.col("seen_term") > F.col("term")
+    return states.select("node_id", F.when(newer, "follower").otherwise(F.col("role")).alias("role"), F.when(newer, F.col("seen_term")).otherwise(F.col("term")).alias("term"), F.when(~newer, F.col("voted_for")).alias("voted_for"), F.when(~newer, F.col("leader_id")).alias("leader_id"), newer.alias("stepped_down"))
 
 
-def log_after_snapshot(log: DataFrame, snapshot_index: int) -> DataFrame:
-    """Entries that compaction up to a snapshot leaves."""
-    return log.where(F.col("log_index") > snapshot_index)
+def transfer_outcomes(transfers: DataFrame, progress: DataFrame, timeout_ms: int) -> DataFrame:
+    """Each hand-over (transfer_id, started_ms, last_index) after what was seen of its target (transfer_id, at_ms, match_index): transfer_id, sent_ms,
+    outcome.
+
+    The target is told once, when first seen with the whole log while the transfer lasts (sent_ms). A transfer is given up when seen longer than the
+    timeout after its start: TimedOut; else TimeoutNow if the target was told, Waiting if not.
+    """
+    seen = progress.join(transfers, "transfer_id").withColumn("expired", F.col("at_ms") - F.col("started_ms") > timeout_ms)
+    per = seen.groupBy("transfer_id").agg(F.min(F.when(~F.col("expired") & (F.col("match_index") >= F.col("last_index")), F.col("at_ms"))).alias("sent_ms"), F.bool_or("expired").alias("expired"))
+    outcome = F.when(F.col("expired"), "TimedOut").when(F.col("sent_ms").isNotNull(), "TimeoutNow").otherwise("Waiting")
+    return transfers.select("transfer_id").join(per, "transfer_id", "left").select("transfer_id", "sent_ms", outcome.alias("outcome"))
+
+
+def snapshot_verdicts(offers: DataFrame) -> DataFrame:
+    """A follower's answer to each offered snapshot (offer_id, leader_term, included_index, my_term, snapshot_index, commit_index, applied_index): offer_id, verdict, term,
+    commit_index, applied_index.
+
+    An older term: stale. One no newer than its own snapshot: ignored, but the term is taken over. Else installed: what is committed and
+    applied is at least the snapshot's.
+    """
+    stale, old = F.col("leader_term") < F.col("my_term"), F.col("included_index") <= F.col("snapshot_index")
+    raised = lambda c: F.when(stale | old, F.col(c)).otherwise(F.greatest(c, "included_index")).alias(c)
+    return offers.select("offer_id", F.when(stale, "stale").when(old, "ignored").otherwise("installed").alias("verdict"), F.greatest("leader_term", "my_term").alias("term"), raised("commit_index"), raised("applied_index"))
+
+
+def drain_targets(nodes: DataFrame, peers: DataFrame) -> DataFrame:
+    """Draining nodes (node_id, role): the peer leadership goes to (node_id, at, peer_id: the first in order), null where
+    the node does not lead or is alone."""
+    first = peers.where(F.col("node_id") != F.col("peer_id")).groupBy("node_id").agg(F.min_by("peer_id", "at").alias("peer_id"))
+    return nodes.join(first, "node_id", "left").select("node_id", F.when(F.col("role") == "leader", F.col("peer_id")).alias("transfer_to"))
+
+
+MEMBERSHIP_STEPS = "cluster_id long, at long, status string, members array<long>, pending array<long>"
+
+
+def membership_steps(changes: DataFrame, initial: DataFrame) -> DataFrame:
+    """Each step of clusters' changes of members, with its status and the members, and those of a pending change, after it.
+
+    ``changes``: cluster_id, at, action (add, remove, finalize, abort), node_id; ``initial``: cluster_id, members (array). add and remove
+    begin a joint phase (status joint) unless one lasts (ChangeInProgress), the node is there (NodeAlreadyExists), is not (NodeNotFound) or is the last
+    (CannotRemoveLastNode). finalize moves to the pending members (finalized) or has none (nothing); abort drops them. A change depends on all
+    before it, so a cluster's changes stream through one task in order; what is held is its members.
+    """
+    ordered = changes.join(initial, "cluster_id", "left").repartition("cluster_id").sortWithinPartitions("cluster_id", "at")
+
+    def fold(batches):
+        import pandas as pd
+
+        cluster, members, pending = None, [], None
+        for frame in batches:
+            out = []
+            for of, at, action, node, first in zip(*(frame[c] for c in ("cluster_id", "at", "action", "node_id", "members")), strict=True):
+                if of != cluster:
+                    cluster, members, pending = of, sorted(set(first)) if first is not None else [], None
+                status = "unknown"
+                if action in ("add", "remove"):
+                    there = node in members
+                    if pending is not None:
+                        status = "ChangeInProgress"
+                    elif action == "add" and there:
+                        status = "NodeAlreadyExists"
+                    elif action == "remove" and not there:
+                        status = "NodeNotFound"
+                    elif action == "remove" and len(members) == 1:
+                        status = "CannotRemoveLastNode"
+                    else:
+                        status = "joint"
+                        pending = sorted({*members, node}) if action == "add" else [m for m in members if m != node]
+                elif action == "finalize":
+                    status = "nothing" if pending is None else "finalized"
+                    members, pending = members if pending is None else pending, None
+                elif action == "abort":
+                    status, pending = "aborted", None
+                out.append((of, at, status, members, pending))
+            yield pd.DataFrame(out, columns=["cluster_id", "at", "status", "members", "pending"])
+
+    return ordered.select("cluster_id", "at", "action", "node_id", "members").mapInPandas(fold, MEMBERSHIP_STEPS)
+
+
+def members_after(steps: DataFrame, initial: DataFrame) -> DataFrame:
+    """(cluster_id, node_id) of every cluster after its last step."""
+    last = steps.groupBy("cluster_id").agg(F.max_by("members", "at").alias("now"))
+    return initial.join(last, "cluster_id", "left").select("cluster_id", F.explode(F.coalesce("now", "members")).alias("node_id"))

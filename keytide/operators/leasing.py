@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.operators.sliced import even_slices, running_last, seconds_of
+from keytide.operators.sliced import even_slices, revision_slice, running_last, seconds_of
 
 STATE = "lease_id bigint, granted_ttl bigint, last_renewed timestamp, keys array<string>, alive boolean, errors bigint"
 EVENTS = "lease_id bigint, op_id bigint, outcome string, keys array<string>"
@@ -114,3 +114,27 @@ def expired_at(leases: DataFrame, now: Column) -> DataFrame:
 def cascade(expired: DataFrame, live: DataFrame) -> DataFrame:
     """Live keys that the end of their leases deletes: id, key, mod_revision. A key of two leases goes with each."""
     return expired.select("id", F.explode("keys").alias("key")).join(live.select("key", "mod_revision"), "key").select("id", "key", "mod_revision")
+
+
+def allocated_ids(grants: DataFrame) -> DataFrame:
+    """The id each grant asks for or gets, in the order of ``at``: at, lease_id (null for a ttl that is not positive).
+
+    ``grants``: at, lease_id, ttl. Id 0 or null takes the next id, from 1 on; an id that is asked for moves the next one past it. After j ids
+    were given, the next is j + the greatest of 1 and (id + 1 - ids given before it) of those asked for: two running results, made
+    in slices and carried over by a row per slice.
+    """
+    valid = grants.where(F.col("ttl") > 0).select("at", F.coalesce("lease_id", F.lit(0)).cast("long").alias("asked"))
+    placed = valid.withColumn("slice", revision_slice(valid, "at"))
+    auto = (F.col("asked") == 0).cast("long")
+    inside = Window.partitionBy("slice").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    over_slices = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    given = placed.withColumn("given_here", F.coalesce(F.sum(auto).over(inside), F.lit(0)))
+    floor_here = F.when(F.col("asked") > 0, F.col("asked") + 1 - F.col("given_here"))
+    sums = given.groupBy("slice").agg(F.sum(auto).alias("given"), F.max(floor_here).alias("floor"))
+    sums = sums.withColumn("given_before", F.coalesce(F.sum("given").over(over_slices), F.lit(0)))
+    carried = sums.select("slice", "given_before", F.max(F.col("floor") - F.col("given_before")).over(over_slices).alias("floor_before"))
+    joined = given.withColumn("floor_here", F.max(floor_here).over(inside)).join(F.broadcast(carried), "slice")  # at most MOST_SLICES rows
+    before = F.col("given_before") + F.col("given_here")
+    least = F.greatest(F.lit(1), F.coalesce("floor_before", F.lit(1)), F.coalesce(F.col("floor_here") - F.col("given_before"), F.lit(1)))
+    found = joined.select("at", F.when(F.col("asked") == 0, before + least).otherwise(F.col("asked")).alias("lease_id"))
+    return grants.select("at").join(found, "at", "left")

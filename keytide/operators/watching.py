@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.operators.sliced import bins_between
-from keytide.operators.versions import history
+from keytide.operators.versions import history, numbered
 
 
 def match_watchers(changes: DataFrame, watchers: DataFrame, bins: int = 512, salts: int = 8) -> DataFrame:
@@ -29,3 +29,22 @@ def watch_events(log: DataFrame) -> DataFrame:
     mod_revision, seq, prev_value (null if the key was not there)."""
     put = F.col("op") == "put"
     return history(log).select(F.when(put, 0).otherwise(1).alias("event_type"), "key", F.coalesce("value", F.lit("")).alias("value"), "create_revision", F.col("revision").alias("mod_revision"), "seq", "prev_value")
+
+
+def registry_acks(requests: DataFrame) -> DataFrame:
+    """Answers to requests to create and cancel watchers in the order of ``at``: at, kind, watch_id, ack.
+
+    ``requests``: at, kind (create, cancel), watch_id. Creates take the ids 1, 2, ... in order and are always acknowledged; a cancel is
+    if its watcher was created before and not cancelled yet. What a watcher that was cancelled had before stays valid.
+    """
+    made = numbered(requests.where("kind = 'create'").select("at"), ["at"], "watch_id")
+    cancels = requests.where("kind = 'cancel'").select("at", "watch_id")
+    known = cancels.join(made.select("watch_id", F.col("at").alias("made_at")), "watch_id", "left").withColumn("known", F.coalesce(F.col("made_at") < F.col("at"), F.lit(False)))
+    first = known.where("known").groupBy("watch_id").agg(F.min("at").alias("first_at"))
+    answered = known.join(first, "watch_id", "left").select("at", F.lit("cancel").alias("kind"), "watch_id", F.coalesce(F.col("known") & (F.col("at") == F.col("first_at")), F.lit(False)).alias("ack"))
+    return made.select("at", F.lit("create").alias("kind"), "watch_id", F.lit(True).alias("ack")).unionByName(answered)
+
+
+def active_watchers(acks: DataFrame) -> DataFrame:
+    """(watch_id) created and not cancelled."""
+    return acks.where("kind = 'create'").select("watch_id").join(acks.where("kind = 'cancel' AND ack").select("watch_id"), "watch_id", "left_anti")

@@ -135,25 +135,6 @@ def transfer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.transfer_checks(asked, acks, 0, n * 15 // 16)
 
 
-_CHANGES = "changes AS (SELECT log_index, CASE WHEN log_index // 97 % 3 > 0 THEN 'add' ELSE 'remove' END AS change, 2 + log_index // 97 % 4 AS node_id FROM replog WHERE log_index % 97 = 0)"
-
-
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicated_log(spark, sf_dir).where("log_index % 97 = 0").selectExpr("log_index", "if(log_index div 97 % 3 > 0, 'add', 'remove') AS change", "2 + log_index div 97 % 4 AS node_id")
-
-
-@REGISTRY.add("membership_changes", _sql(REPLICATED_LOG_SQL, _CHANGES, select="SELECT log_index, change, node_id, CASE WHEN change = 'add' AND was THEN 'AlreadyMember' WHEN change = 'remove' AND NOT was THEN 'NotAMember' ELSE 'applied' END AS status FROM (SELECT *, coalesce(lag(change) OVER (PARTITION BY node_id ORDER BY log_index) = 'add', node_id < 3) AS was FROM changes)"))
-def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether changes of members are valid."""
-    return consensus.membership_changes(_changes(spark, sf_dir), _members(spark, now=range(3)))
-
-
-@REGISTRY.add("members_after", _sql(REPLICATED_LOG_SQL, _CHANGES, select="SELECT node_id FROM (SELECT unnest([0, 1, 2])::BIGINT AS node_id) WHERE node_id NOT IN (SELECT node_id FROM changes) UNION ALL SELECT node_id FROM changes GROUP BY node_id HAVING arg_max(change, log_index) = 'add'"))
-def members_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The members after all changes."""
-    return consensus.members_after(_changes(spark, sf_dir), _members(spark, now=range(3)))
-
-
 @REGISTRY.add("log_compacted", _sql(REPLICATED_LOG_SQL, select="SELECT term, count(*) AS entries, min(log_index) AS first_index, max(log_index) AS last_index FROM replog, rn WHERE log_index > n * 4 // 5 GROUP BY term"))
 def log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the log is left after a snapshot, by term."""

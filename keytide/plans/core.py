@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from keytide.plans import cluster, kv, problems, stateful, streams
+from keytide.plans import cluster, kv, problems, rules, stateful, streams
 from keytide.plans.registry import Registry, Run
 
 REGISTRY = Registry()
-for _part in (problems.REGISTRY, kv.REGISTRY, stateful.REGISTRY, cluster.REGISTRY, streams.REGISTRY):
+for _part in (problems.REGISTRY, kv.REGISTRY, stateful.REGISTRY, cluster.REGISTRY, rules.REGISTRY, streams.REGISTRY):
     REGISTRY.queries.update(_part.queries)
     REGISTRY.oracles.update(_part.oracles)
 

@@ -164,10 +164,6 @@ def test_replication_rules(spark, rows):
     assert rows(consensus.appended(log, follower)) == rows(log)
     longer = spark.createDataFrame([(i, 1 if i < 5 else 2) for i in range(1, 13)], "log_index long, term long")
     assert consensus.appended(log, longer).count() == 12 and rows(consensus.first_conflict(log, longer)) == [(None, 12, 9)]
-    changes = spark.createDataFrame([(1, "add", 4), (2, "add", 4), (3, "remove", 9), (4, "remove", 0)], "log_index long, change string, node_id long")
-    initial = spark.createDataFrame([(0,), (1,)], "node_id long")
-    assert rows(consensus.membership_changes(changes, initial), "log_index", "status") == [(1, "applied"), (2, "AlreadyMember"), (3, "NotAMember"), (4, "applied")]
-    assert rows(consensus.members_after(changes, initial)) == [(1,), (4,)]
     data = spark.createDataFrame([(1, 1, "Normal", '{"type":"Put","key":"k","value":"v"}'), (2, 1, "Noop", ""), (3, 1, "Normal", "{broken"), (4, 1, "Normal", None), (5, 1, "Normal", '{"type":"Odd"}')], "log_index long, term long, entry_type string, data string")
     good, bad = applying.read_commands(data, 9)
     assert rows(good, "log_index", "type", "key") == [(1, "Put", "k")] and rows(bad, "log_index") == [(3,), (5,)]
@@ -248,6 +244,62 @@ def test_transactions_among_themselves(spark, rows):
     assert rows(transactions.chosen_operations(chosen, branches)) == [(1, 1, "put", True)]
 
 
+def test_changes_of_members(spark, rows):
+    initial = spark.createDataFrame([(1, [0, 1]), (2, [7]), (3, [5])], "cluster_id long, members array<long>")
+    steps = [("add", 1, "NodeAlreadyExists"), ("remove", 9, "NodeNotFound"), ("add", 4, "joint"), ("add", 5, "ChangeInProgress"), ("finalize", None, "finalized"), ("finalize", None, "nothing"), ("remove", 0, "joint"), ("abort", None, "aborted"), ("remove", 0, "joint"), ("finalize", None, "finalized"), ("odd", 1, "unknown")]
+    lone = [("remove", 7, "CannotRemoveLastNode"), ("add", 8, "joint")]
+    changes = spark.createDataFrame([(c, i, a, n) for c, own in ((1, steps), (2, lone)) for i, (a, n, _) in enumerate(own)], "cluster_id long, at long, action string, node_id long")
+    got = consensus.membership_steps(changes, initial)
+    assert rows(got, "cluster_id", "at", "status") == sorted(((c, i, s) for c, own in ((1, steps), (2, lone)) for i, (_, _, s) in enumerate(own)), key=str)
+    assert rows(consensus.members_after(got, initial)) == [(1, 1), (1, 4), (2, 7), (3, 5)]  # a pending change is no member yet
+    assert consensus.membership_steps(changes.limit(0), initial).count() == 0
+
+
+def test_followers_answers(spark, rows):
+    log = spark.createDataFrame([(i, 1 if i < 5 else 2) for i in range(1, 8)], "log_index long, term long")
+    cases = [
+        (1, 1, 7, 2, 9, []),  # an older term
+        (2, 2, 9, 2, 9, []),  # lacks the entry before
+        (3, 2, 6, 1, 9, []),  # has it in another term
+        (4, 3, 7, 2, 9, [(8, 3), (9, 3)]),  # new entries
+        (5, 2, 4, 1, 6, [(5, 2), (6, 3)]),  # conflict at 6
+        (6, 2, 3, 1, 9, [(4, 1)]),  # already there: what is beyond stays
+        (7, 2, 0, 0, 2, []),
+    ]
+    requests = spark.createDataFrame(cases, "request_id long, term long, prev_index long, prev_term long, leader_commit long, entries array<struct<log_index:long,term:long>>")
+    assert rows(consensus.append_outcomes(requests, log, 2, 3)) == [(1, 2, False, 0, 3, None), (2, 2, False, 7, 3, None), (3, 2, False, 7, 3, None), (4, 3, True, 9, 9, None), (5, 2, True, 6, 6, 6), (6, 2, True, 7, 7, None), (7, 2, True, 7, 3, None)]
+    peers = spark.createDataFrame([(1, 8), (2, 5), (3, 1)], "node_id long, next_index long")
+    assert rows(consensus.append_requests(peers, log, 2, 4), "node_id", "prev_index", "prev_term", "first_index", "entries") == [(1, 7, 2, None, 0), (2, 4, 1, 5, 3), (3, 0, 0, 1, 7)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lease_ids_like_one_after_another(spark, rows, seed):
+    rng, next_id, want, grants = random.Random(seed), 1, [], []
+    for i in range(400):
+        asked, ttl = rng.choice([0, 0, None, rng.randrange(1, 90)]), rng.choice([0, 5, 5, 5, None])
+        got = None
+        if ttl:
+            got = asked or next_id
+            next_id = max(next_id, got + 1)
+        want.append((i, got))
+        grants.append((i, asked, ttl))
+    assert rows(leasing.allocated_ids(spark.createDataFrame(grants, "at long, lease_id long, ttl long"))) == sorted(want, key=str)
+
+
+def test_watcher_registry_and_faults(spark, rows):
+    asked = spark.createDataFrame([(1, "create", None), (2, "cancel", 1), (3, "cancel", 1), (4, "cancel", 2), (5, "create", None), (6, "cancel", None)], "at long, kind string, watch_id long")
+    acks = watching.registry_acks(asked)
+    assert rows(acks, "at", "watch_id", "ack") == [(1, 1, True), (2, 1, True), (3, 1, False), (4, 2, False), (5, 2, True), (6, None, False)]
+    assert rows(watching.active_watchers(acks)) == [(2,)]
+    nodes = spark.createDataFrame([(0,), (1,), (2,)], "node_id long")
+    acts = spark.createDataFrame([(10, "cut", 0, 1), (20, "heal", 1, 0), (30, "split", 0, 1), (40, "heal_all", None, None), (50, "isolate", 2, None)], "at long, action string, a long, b long")
+    sent = [(t, f, to) for t in (5, 15, 25, 35, 45, 55) for f, to in ((0, 1), (1, 0), (2, 0), (0, 2))]
+    messages = spark.createDataFrame([(i, *m) for i, m in enumerate(sent)], "message_id long, at long, from_id long, to_id long")
+    lost = {(15, 0, 1), (35, 0, 1), (35, 1, 0), (55, 2, 0), (55, 0, 2)}
+    assert rows(audit.delivered(messages, acts, nodes)) == sorted(((i, m not in lost) for i, m in enumerate(sent)), key=str)
+    assert rows(audit.delivered(messages, acts.limit(0), nodes)) == sorted(((i, True) for i in range(len(sent))), key=str)
+
+
 def test_audits(spark, rows):
     t0 = dt.datetime(2024, 1, 1)
     ops = [(i, 1, kind, key, value, t0, t0 + dt.timedelta(hours=h), result) for i, (kind, key, value, h, result) in enumerate([("Read", "k", "z", 0, "Ok"), ("Write", "k", "1", 1, "Ok"), ("Read", "k", "1", 2, "Ok"), ("Write", "k", "2", 3, "Error(x)"), ("Read", "k", "2", 4, "Ok"), ("Read", "k", None, 50, "Ok"), ("Write", "k", None, 60, "Ok"), ("Read", "k", None, 70, "Ok"), ("Read", None, "q", 71, "Ok"), ("Read", "k", "1", 72, None)])]
