@@ -221,6 +221,7 @@ def snapshot_name(index: Column) -> Column:
     return F.concat(F.lit("snapshot-"), F.lpad(index.cast("string"), 20, "0"))
 
 
-def election_timeout(low: int, high: int, seed: int) -> Column:
-    """A draw from [low, high], the same for the same seed and row order."""
-    return (F.lit(low) + F.floor(F.rand(seed) * (high - low + 1))).cast("long")
+def election_timeout(low: int, high: int, seed: int, *cols: str) -> Column:
+    """A whole number in [low, high] from a hash of columns, as of a node and its term: the same for the same row."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *cols)), 1, 8)
+    return F.lit(low) + F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(high - low + 1))

@@ -187,10 +187,27 @@ def lease_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.select("lease_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("from_ts", "to_ts")), "seconds", "ttl")
 
 
-@REGISTRY.add("lease_outcomes")
+#: Requests on each lease folded one after another.
+FOLDED = """steps AS (SELECT lease_id, op_id, ts, lower(trim(op)) AS op, ttl, key, row_number() OVER (PARTITION BY lease_id ORDER BY ts, op_id) AS n FROM requests),
+folded AS (
+  SELECT lease_id, 0::BIGINT AS n, 0::BIGINT AS op_id, '' AS outcome, []::VARCHAR[] AS freed, NULL::BIGINT AS ttl, NULL::TIMESTAMP AS renewed, []::VARCHAR[] AS held FROM (SELECT DISTINCT lease_id FROM steps)
+  UNION ALL
+  SELECT lease_id, n, op_id, outcome, CASE WHEN outcome = 'revoked' THEN list_sort(held) ELSE [] END,
+    CASE outcome WHEN 'granted' THEN asked WHEN 'revoked' THEN NULL ELSE ttl END, CASE WHEN outcome IN ('granted', 'renewed') THEN ts WHEN outcome = 'revoked' THEN NULL ELSE renewed END,
+    CASE outcome WHEN 'granted' THEN [] WHEN 'revoked' THEN [] WHEN 'attached' THEN list_append(held, key) WHEN 'detached' THEN list_filter(held, lambda k: k <> key) ELSE held END
+  FROM (SELECT s.lease_id, s.n, s.op_id, s.ts, s.key, s.ttl AS asked, f.ttl, f.renewed, f.held, CASE
+      WHEN s.op = 'grant' THEN CASE WHEN f.ttl IS NOT NULL THEN 'exists' WHEN coalesce(s.ttl, 0) <= 0 THEN 'invalid' ELSE 'granted' END WHEN f.ttl IS NULL THEN 'not found'
+      WHEN s.op = 'keepalive' THEN CASE WHEN date_diff('microsecond', f.renewed, s.ts) >= f.ttl * 1000000 THEN 'expired' ELSE 'renewed' END
+      WHEN s.op = 'attach' THEN CASE WHEN s.key IS NULL OR list_contains(f.held, s.key) THEN 'ignored' ELSE 'attached' END
+      WHEN s.op = 'detach' THEN CASE WHEN coalesce(list_contains(f.held, s.key), false) THEN 'detached' ELSE 'ignored' END WHEN s.op = 'revoke' THEN 'revoked' ELSE 'ignored' END AS outcome
+    FROM folded f JOIN steps s ON s.lease_id = f.lease_id AND s.n = f.n + 1))"""
+
+
+@REGISTRY.add("lease_outcomes", "WITH RECURSIVE " + _REQUESTS + ",\n" + FOLDED + "\nSELECT lease_id, op_id, outcome, array_to_string(freed, ',') AS freed FROM folded WHERE n > 0")
 def lease_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of every lease request, folded in order."""
-    return leasing.lease_outcomes(leasing.distinct_requests(table(spark, sf_dir, "lease_ops")))
+    """Outcome of every lease request, folded in order, and the keys it sets free."""
+    found = leasing.lease_outcomes(leasing.distinct_requests(table(spark, sf_dir, "lease_ops")))
+    return found.select("lease_id", "op_id", "outcome", F.array_join("keys", ",").alias("freed"))
 
 
 @REGISTRY.add("lease_attachments", _sql(_REQUESTS, select="SELECT lease_id, key FROM (SELECT lease_id, key, arg_max(op, (ts, op_id)) AS last FROM requests WHERE op IN ('attach', 'detach') AND key IS NOT NULL GROUP BY ALL) WHERE last = 'attach'"))

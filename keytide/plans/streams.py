@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.operators.cdc import StateTable
 from keytide.plans.kv import _NEWEST, _sql
 from keytide.plans.registry import Registry
-from keytide.plans.stateful import _MATCH
+from keytide.plans.stateful import _MATCH, _REQUESTS, FOLDED
 from keytide.session import shared_path
 from keytide.sources import snapshots
 from keytide.sources.fixtures import STORE_LOG_SQL, store_log
@@ -43,22 +41,27 @@ def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return StateTable(spark, path).read().where(~F.col("deleted")).select("key", "mod_revision", "seq")
 
 
-@REGISTRY.add("stream_leases")
+@REGISTRY.add(
+    "stream_leases",
+    "WITH RECURSIVE " + _REQUESTS + ",\n" + FOLDED + """,
+ended AS (SELECT lease_id, arg_max(coalesce(ttl, -1), n) AS ttl, arg_max(coalesce(renewed, TIMESTAMP '1970-01-01'), n) AS renewed, arg_max(held, n) AS held FROM folded GROUP BY lease_id)
+SELECT lease_id, op_id, outcome, array_to_string(freed, ',') AS freed FROM folded WHERE n > 0
+UNION ALL SELECT lease_id, -1, 'collected', array_to_string(list_sort(held), ',') FROM ended, (SELECT max(ts) - INTERVAL 4 DAY AS mark FROM lease_ops WHERE lease_id <> 0) WHERE ttl > 0 AND renewed + to_seconds(ttl) <= mark""",
+)
 def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of lease requests as a stream, with timers."""
+    """Outcomes of lease requests as a stream, with timers; its SQL is for a table in one file, so one batch and a last watermark."""
     out = shared_path(spark, "leases")
     rows = feeds.lease_stream(feeds.feed_stream(spark, sf_dir, "lease_ops"))
     _finish(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("lease_id", "op_id", "outcome", F.array_join("keys", ",").alias("freed"))
 
 
 @REGISTRY.add("stream_windows", "SELECT strftime(date_trunc('hour', arrived_at), '%Y-%m-%d %H') AS from_hour, count(*) AS changes FROM change_log GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries by hour of arrival, as a stream."""
-    name = f"windows_{uuid.uuid4().hex}"
-    rows = feeds.changes_per_window(feeds.feed_stream(spark, sf_dir))
-    _finish(rows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start())
-    return spark.table(name).select(F.date_format("from_ts", "yyyy-MM-dd HH").alias("from_hour"), "changes")
+    out = shared_path(spark, "windows")
+    _finish(feeds.run_windows(feeds.changes_per_window(feeds.feed_stream(spark, sf_dir)), out, shared_path(spark, "checkpoint")))
+    return feeds.windows(spark, out).select(F.date_format("from_ts", "yyyy-MM-dd HH").alias("from_hour"), "changes")
 
 
 @REGISTRY.add("snapshot_restore", _sql(STORE_LOG_SQL, _NEWEST.format(where=""), select="SELECT key, value, revision AS mod_revision, lease_id FROM newest WHERE op = 'put'"))

@@ -92,9 +92,13 @@ def _fold_group(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Gro
     yield pd.DataFrame(out, columns=["lease_id", "op_id", "outcome", "keys"])
 
 
-def lease_stream(requests: DataFrame, late: str = "1 day") -> DataFrame:
+def lease_stream(requests: DataFrame, late: str = "4 days") -> DataFrame:
     """Outcomes of lease requests in a stream (lease_id, op_id, outcome, keys), with a row 'collected'
-    (op_id -1) and the keys it sets free when the watermark passes a lease's end."""
+    (op_id -1) and the keys it sets free when the watermark passes a lease's end.
+
+    ``late`` must be more than requests take to arrive, as later ones are dropped. A lease that has run out stays, as in the batch fold, until
+    it is revoked or the watermark collects it, so that what a request on it gives depends on which came first.
+    """
     named = requests.where(F.col("lease_id").isNotNull() & (F.col("lease_id") != 0) & F.col("ts").isNotNull()).withWatermark("ts", late).dropDuplicatesWithinWatermark(["op_id"])
     rows = named.select("lease_id", "op_id", "op", "ts", F.col("ts").cast("double").alias("at"), "ttl", "key")
     return rows.groupBy("lease_id").applyInPandasWithState(_fold_group, _LEASE_OUT, _LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -103,3 +107,19 @@ def lease_stream(requests: DataFrame, late: str = "1 day") -> DataFrame:
 def changes_per_window(changes: DataFrame, width: str = "1 hour", late: str = "8 days") -> DataFrame:
     """Changes and distinct keys, roughly, per window of arrival; late rows count while the watermark lets them."""
     return changes.withWatermark("arrived_at", late).groupBy(F.window("arrived_at", width)).agg(F.count("*").alias("changes"), F.approx_count_distinct("key").alias("keys")).select(F.col("window.start").alias("from_ts"), "changes", "keys")
+
+
+def run_windows(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write windows' counts (from_ts and more) as they change, batch by batch; a repeated batch replaces its own output."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def windows(spark: SparkSession, path: str) -> DataFrame:
+    """Each window's last counts, as run_windows wrote them."""
+    rows = spark.read.parquet(path)
+    last = F.max_by(F.struct(*(c for c in rows.columns if c not in ("from_ts", "batch"))), "batch").alias("last")
+    return rows.groupBy("from_ts").agg(last).select("from_ts", "last.*")

@@ -45,17 +45,17 @@ def test_every_delete_is_told(spark, rows, by_sql):
             there.discard(key)
         else:
             there.add(key)
-    got = entry.queries()["delete_existed_all"](spark, SF)
-    assert rows(got) == sorted(want, key=str) == by_sql("delete_existed_all", got.columns)
+    got = entry.queries()["delete_existed"](spark, SF)
+    assert rows(got) == sorted(want, key=str) == by_sql("delete_existed", got.columns)
     assert any(not "t" <= r[2] < "v" for r in want) and {r[3] for r in want} == {True, False}
 
 
 def test_blocks_hold_the_whole_log(spark, rows, by_sql):
     import __spark_entry__ as entry
 
-    got = entry.queries()["block_codec_all"](spark, SF)
+    got = entry.queries()["block_codec"](spark, SF)
     whole = rows(got)
-    assert whole == by_sql("block_codec_all", got.columns) == rows(store_log(spark, SF), *got.columns)
+    assert whole == by_sql("block_codec", got.columns) == rows(store_log(spark, SF), *got.columns)
     assert any(r[2] >= "c" for r in whole) and any(r[3] is None for r in whole)
     size = lambda e: 8 + len(e[0].encode()) + len((e[1] or "").encode())
     read = [(len(r.places), read_block(bytes(r.data))) for r in runs.blocks(store_log(spark, SF), 1000).collect()]
