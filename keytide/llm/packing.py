@@ -138,3 +138,18 @@ def fill_report(packed: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("bins"), F.sum("used").alias("tokens"))
         .select("container_id", "capacity_tokens", "bins", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("bins_at_least"), "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("filled"))
     )
+
+
+def pack_faults(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What must hold of a packing, per container_id: documents placed, and how many bins overflow, documents hold other tokens
+    than their size, are split though they fit, or have pieces that do not follow each other."""
+    overflows = packed.groupBy("container_id", "capacity_tokens", "bin_id").agg(F.sum("n_tokens").alias("used")).groupBy("container_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overflows"))
+    placed = packed.groupBy("container_id", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    known = placed.join(sizes.groupBy("doc_id").agg(F.max(F.coalesce("n_tokens", F.lit(0))).alias("size")), "doc_id")
+    faults = known.groupBy("container_id").agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("held") != F.col("size")).alias("other_tokens"),
+        F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("split_needlessly"),
+        F.count_if((F.col("last") + 1 != F.col("pieces")) | (F.col("end") != F.col("size"))).alias("out_of_order"),
+    )
+    return faults.join(overflows, "container_id")

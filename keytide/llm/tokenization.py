@@ -9,6 +9,7 @@ for Arrow.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,6 +29,10 @@ _PLAIN = re.compile(r"[!-&(-~\r\n]*[!-&(-~]")
 _RUNS = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-/:-@\[-`{-~]+)|[\r\n]+(?=[\r\n])|[\r\n]")
 
 
+#: Where byte-pair vocabularies given as ranks cut a text (fixed value).
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=8)
 def load_tokenizer(name: str, directory: str = TOKENIZER_DIR):
     """A tokenizer of the tokenizers library; strings of special tokens are ordinary text."""
@@ -41,9 +46,31 @@ def load_tokenizer(name: str, directory: str = TOKENIZER_DIR):
     return tokenizer
 
 
+def encode_whole(name: str, directory: str = TOKENIZER_DIR) -> Callable[[str], list[int]]:
+    """A function that gives a text's ids, without special tokens, by the file of that name: ``.json`` of the tokenizers library, else
+    ``.tiktoken`` ranks, else a ``.model`` of sentencepiece."""
+    if Path(directory, f"{name}.json").exists():
+        tokenizer = load_tokenizer(name, directory)
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if (path := Path(directory, f"{name}.tiktoken")).exists():
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding(name, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return encoding.encode_ordinary
+    if (path := Path(directory, f"{name}.model")).exists():
+        import sentencepiece
+
+        processor = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        return lambda text: processor.encode(text, num_threads=1)
+    raise ValueError(f"no tokenizer {name} in {directory}: it does not exist")
+
+
 def is_byte_level(tokenizer) -> bool:
-    """Whether ids stand for bytes of the unchanged text."""
-    return type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.normalizer is None
+    """Whether ids stand for bytes of the unchanged text, cut by the pattern that pieces rely on."""
+    pre = tokenizer.pre_tokenizer
+    return type(pre).__name__ == "ByteLevel" and tokenizer.normalizer is None and pre.use_regex and not pre.add_prefix_space
 
 
 class _Pieces(dict):
@@ -71,8 +98,9 @@ class Encoder:
     """Text to ids, as bytes of 32-bit integers; null and empty texts have none."""
 
     def __init__(self, name: str, directory: str = TOKENIZER_DIR):
-        self.tokenizer = load_tokenizer(name, directory)
-        self.by_piece = is_byte_level(self.tokenizer)
+        self.whole = encode_whole(name, directory)
+        self.tokenizer = load_tokenizer(name, directory) if Path(directory, f"{name}.json").exists() else None
+        self.by_piece = self.tokenizer is not None and is_byte_level(self.tokenizer)
         self.first = _Pieces(self.tokenizer, "")
         self.rest = _Pieces(self.tokenizer, " ", self.first)
 
@@ -80,7 +108,7 @@ class Encoder:
         if not text:
             return b""
         if not self.by_piece:
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+            return np.asarray(self.whole(text), dtype="<i4").tobytes()
         head, *tail = _CUT.split(text)
         return self.first[head] + b"".join(map(self.rest.__getitem__, tail)) if tail else self.first[head]
 

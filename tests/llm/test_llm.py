@@ -1,11 +1,14 @@
 """Problems 6 to 8: exact round trips, brute force, held-out accuracy, and edge cases."""
 
+import os
 import random
 from math import exp, lgamma
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from keytide.llm import packing, subjects, tokenization
 from keytide.llm.paragraphs import language_of, sentences_of, units_of
@@ -57,6 +60,32 @@ def test_encode_corpus(spark):
         tokenization.load_tokenizer("none")
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_multi_50k", "piece_bpe_32k"])
+def test_tokenizers_of_other_libraries(spark, name):
+    texts = ["The Müller case, 日本 \n\n 12", None, "", "a " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = tokenization.encode_whole(name)
+    got = {r.doc_id: r.ids for r in tokenization.encode_corpus(docs, name).collect()}
+    assert got == {i: whole(t) if t else [] for i, t in enumerate(texts)} and len(got[3]) > 1000
+
+
+def test_ranks_give_the_ids_of_the_same_vocabulary(tmp_path):
+    os.symlink(f"{tokenization.TOKENIZER_DIR}/{NAME}.tiktoken", tmp_path / f"{NAME}.tiktoken")
+    ranks, own = tokenization.encode_whole(NAME, str(tmp_path)), tokenization.encode_whole(NAME)
+    rng = random.Random(9)
+    for _ in range(500):
+        text = "".join(rng.choice(PARTS) for _ in range(12))
+        assert ranks(text) == own(text)
+
+
+def test_pieces_only_where_the_tokenizer_cuts_at_blanks():
+    tokenizer = Tokenizer.from_file(f"{tokenization.TOKENIZER_DIR}/{NAME}.json")
+    assert tokenization.is_byte_level(tokenizer)
+    for options in ({"add_prefix_space": True}, {"add_prefix_space": False, "use_regex": False}):
+        tokenizer.pre_tokenizer = ByteLevel(**options)
+        assert not tokenization.is_byte_level(tokenizer)
+
+
 def check_bins(sizes, capacity, bins):
     used = {}
     for size, at in zip(sizes, bins, strict=True):
@@ -97,6 +126,9 @@ def test_pack_documents(spark):
         assert sorted((r.doc_id, r.piece, r.n_tokens) for r in own) == want
     report = {r.container_id: r for r in packing.fill_report(packing.pack_documents(frame, containers)).collect()}
     assert report[1].bins >= report[1].bins_at_least and report[1].filled > 0.9
+    once = frame.dropDuplicates(["doc_id"])
+    faults = {r.container_id: r for r in packing.pack_faults(packing.pack_documents(once, containers, share=64), once).collect()}
+    assert {c: tuple(r)[1:] for c, r in faults.items()} == {1: (400, 0, 0, 0, 0), 2: (400, 0, 0, 0, 0)}
     assert packing.pack_documents(frame.limit(0), containers).count() == 0 and packing.pack_documents(frame, containers.limit(0)).count() == 0
 
 
