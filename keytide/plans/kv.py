@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from keytide.operators import runs, versions
 from keytide.plans.registry import Registry
-from keytide.session import materialize
+from keytide.session import materialize, shared_path
+from keytide.sources import files
 from keytide.sources.fixtures import EVENT_LOG_SQL, PROBES_SQL, STORE_LOG_SQL, event_log, probes, store_log
 from keytide.sources.tables import table
 
@@ -242,6 +243,33 @@ def engine_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("state", F.when(F.col("value").isNull(), "tombstone").otherwise("value"))
 
 
+@REGISTRY.add("run_file_scan", _sql(STORE_LOG_SQL, _RUNS, select=f"SELECT * FROM ({_MERGED}) WHERE value IS NOT NULL AND key >= '{START}' AND key < '{END}'"))
+def run_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scan over runs in their binary files."""
+    catalogue = files.write_run_files(runs.cut_runs(store_log(spark, sf_dir)), shared_path(spark, "runs"))
+    return runs.merged(files.scan_run_files(catalogue, START, END))
+
+
+@REGISTRY.add(
+    "run_file_get",
+    _sql(STORE_LOG_SQL, _RUNS, "asked AS (SELECT DISTINCT key FROM log UNION ALL SELECT DISTINCT key || '!' FROM log), newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level, sst_id DESC) AS rn FROM entries) WHERE rn = 1)",
+         select="SELECT a.key, CASE WHEN n.key IS NULL THEN 'missing' WHEN value IS NULL THEN 'tombstone' ELSE 'value' END AS state, value FROM asked a LEFT JOIN newest n ON n.key = a.key"),
+)
+def run_file_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point reads of every key, and of as many that are nowhere, from runs in their binary files."""
+    log = store_log(spark, sf_dir)
+    catalogue = files.write_run_files(runs.cut_runs(log), shared_path(spark, "runs"))
+    keys = log.select("key").distinct()
+    return files.get_from_run_files(catalogue, keys.unionByName(keys.select(F.concat("key", F.lit("!")).alias("key"))))
+
+
+@REGISTRY.add("run_file_catalogue", _sql(STORE_LOG_SQL, _RUNS, select="SELECT sst_id, level, min_key, max_key, entries, tombstones FROM stats"))
+def run_file_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of each run hold together."""
+    catalogue = files.write_run_files(runs.cut_runs(store_log(spark, sf_dir)), shared_path(spark, "runs"))
+    return catalogue.groupBy("sst_id", "level").agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"), F.sum("entries").alias("entries"), F.sum("tombstones").alias("tombstones"))
+
+
 @REGISTRY.add("manifest_names", _sql(STORE_LOG_SQL, _RUNS, select="SELECT level, sst_id, lpad(CAST(sst_id AS VARCHAR), 8, '0') || '.sst' AS file_name, (SELECT max(sst_id) + 1 FROM stats) AS next_id FROM stats"))
 def manifest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue of the runs' file names and the next number."""

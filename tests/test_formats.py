@@ -1,5 +1,6 @@
 """Binary files, codecs and the streams' equality with batch."""
 
+import random
 import struct
 import zlib
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keytide.functions import codecs
+from keytide.session import shared_path
 from keytide.sources import files
 
 
@@ -68,6 +70,45 @@ def test_files(spark, tmp_path):
             list(files.run_entries(damaged))
 
 
+def test_runs_are_read_where_it_is_needed():
+    entries = [(f"k{i:05d}", None if i % 9 == 0 else "v" * (i % 50)) for i in range(0, 4000, 2)]
+    blob = files.run_blob(entries, 1000)
+    read = []
+
+    def read_at(at, n):
+        read.append(n)
+        return blob[at : at + n]
+
+    run = files.RunFile(len(blob), read_at)
+    assert all(run.get(k) == (True, v) for k, v in entries)
+    before = run.blocks_read
+    missing = [f"k{i:05d}" for i in range(1, 4000, 2)] + ["", "a", "z"]
+    assert not any(run.get(k)[0] for k in missing) and run.blocks_read - before < 0.03 * len(missing)  # what the filter lets through
+    before = run.blocks_read
+    assert list(run.scan("k00100", "k00120")) == [e for e in entries if "k00100" <= e[0] < "k00120"] and run.blocks_read - before <= 2
+    assert list(run.scan()) == entries and list(run.scan("x")) == [] and list(run.scan(None, "a")) == [] and list(run.scan("k00002", "k00002")) == []
+
+
+def test_run_files_written_in_tasks(spark, rows):
+    rng = random.Random(4)
+    entries = {(s, f"k{rng.randrange(900):03d}"): rng.choice([None, "", "x" * rng.randrange(80)]) for s in range(3) for _ in range(600)}
+    frame = spark.createDataFrame([(s, 0, k, v) for (s, k), v in entries.items()], "sst_id long, level int, key string, value string")
+    catalogue = files.write_run_files(frame, path := shared_path(spark, "runs"), target_bytes=1500, block_size=300)
+    assert catalogue.count() > 10 and catalogue.agg(F.sum("entries")).first()[0] == len(entries)
+    assert rows(files.scan_run_files(catalogue)) == sorted(((s, 0, k, v) for (s, k), v in entries.items()), key=str)
+    assert rows(files.scan_run_files(catalogue, "k100", "k200"), "sst_id", "key") == sorted(((s, k) for s, k in entries if "k100" <= k < "k200"), key=str)
+    newest = {}
+    for (s, k), v in sorted(entries.items()):
+        newest[k] = v
+    keys = [f"k{i:03d}" for i in range(950)] + ["", "zz", "k001"]
+    got = files.get_from_run_files(catalogue, spark.createDataFrame([(k,) for k in keys] + [(None,)], "key string"), bins=5)
+    want = [(k, "missing" if k not in newest else "tombstone" if newest[k] is None else "value", newest.get(k)) for k in {*keys, None}]
+    assert rows(got) == sorted(want, key=str)
+    empty = files.write_run_files(frame.limit(0), shared_path(spark, "runs"))
+    assert empty.count() == 0 and files.scan_run_files(empty).count() == 0 and files.get_from_run_files(empty, spark.createDataFrame([("a",)], "key string")).first().state == "missing"
+    assert path
+
+
 @pytest.mark.parametrize("name", ["p1_by_day", "p2_state", "kv_latest", "stream_apply", "stream_watch_feed", "stream_windows", "snapshot_restore", "commit_index", "stale_reads", "corrupt_reads"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
