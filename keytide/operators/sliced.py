@@ -47,13 +47,21 @@ def even_slices(rows: DataFrame, value: Column, most: int | None = None) -> Call
     """
     if most == 1:
         return bins_between([])
-    points = [i / MOST_SLICES for i in range(1, MOST_SLICES)] if most is None else [i / most for i in range(1, most)]
-    row = rows.select(value.cast("long").alias("v")).agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*(F.lit(x) for x in points)), F.lit(32_768)).alias("q")).first()
-    if not row.n:
-        return bins_between([])
-    slices = most or min(MOST_SLICES, max(LEAST_SLICES, 1 << (-(-row.n // ROWS_PER_SLICE) - 1).bit_length()))
-    every = (len(points) + 1) // slices
-    return bins_between(sorted(set(row.q[every - 1 :: every])))
+    number = value.cast("long")
+    least = most or LEAST_SLICES
+    n, cuts = _quantiles(rows, number, least)
+    # A power of two, as many as the rows ask for; a second look where that is more than the first one gave.
+    slices = most or min(MOST_SLICES, max(LEAST_SLICES, 1 << max(0, -(-n // ROWS_PER_SLICE) - 1).bit_length()))
+    if slices > least:
+        n, cuts = _quantiles(rows, number, slices)
+    return bins_between(sorted(set(cuts)))
+
+
+def _quantiles(rows: DataFrame, number: Column, slices: int) -> tuple[int, list[int]]:
+    """How many rows have a number, and the values that cut them into so many slices."""
+    points = F.array(*(F.lit(i / slices) for i in range(1, slices)))
+    row = rows.select(number.alias("v")).agg(F.count("v").alias("n"), F.percentile_approx("v", points, F.lit(max(256, 8 * slices))).alias("q")).first()
+    return row.n, list(row.q or [])
 
 
 def seconds_of(ts: Column) -> Column:

@@ -35,25 +35,26 @@ def in_range(rows: DataFrame, start: str | None = None, end: str | None = None,
     return rows.where(F.col("key").startswith(prefix)) if prefix is not None else rows
 
 
-def history(log: DataFrame, slices: int | None = None) -> DataFrame:
+def history(log: DataFrame, slices: int | None = None, spread_like: DataFrame | None = None) -> DataFrame:
     """Every version with what its place in the key's history gives.
 
     create_revision: revision of the first put since the key's last delete, 0 for deletes; version_no: number of the put
     since then; prev_value, existed: of the version before, if it was a put; next_revision: where the version ends; rank_newest.
-    Histories are cut into slices of revisions, so that a hot key is spread.
+    Histories are cut into slices of revisions, so that a hot key is spread; ``spread_like`` (revision) has the revisions that say where to cut, where
+    they are cheaper to read than the log's own.
     """
     put = F.col("op") == "put"
-    slice_of = revision_slice(log, slices=slices)
+    slice_of = revision_slice(log if spread_like is None else spread_like, slices=slices)
     rows = log.where(F.col("key").isNotNull()).withColumn("slice", slice_of)
     inside = Window.partitionBy("key", "slice").orderBy(*_ORDER)
-    earlier, later = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("key", "slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     epoch = Window.partitionBy("key", "slice", "epoch")
     placed = (
         rows.withColumn("epoch", F.coalesce(F.sum((~put).cast("int")).over(earlier), F.lit(0)))
         .withColumn("prev", F.lag(F.struct("op", "value")).over(inside))
         .withColumn("next_here", F.lead("revision").over(inside))
-        .withColumn("later_here", F.count("*").over(later))
+        .withColumn("later_here", F.count("*").over(whole) - F.row_number().over(inside) + 1)
         .withColumn("first_here", F.min(F.when(put, F.col("revision"))).over(epoch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("puts_here", F.count(F.when(put, 1)).over(epoch.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("deletes", F.count(F.when(~put, 1)).over(whole))
@@ -73,7 +74,7 @@ def history(log: DataFrame, slices: int | None = None) -> DataFrame:
             "slice",
             F.lag(F.struct("last.op", "last.value")).over(by).alias("prev_in"),
             F.lead("first_revision").over(by).alias("next_in"),
-            F.coalesce(F.sum("n").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("later_in"),
+            (F.sum("n").over(Window.partitionBy("key")) - F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))).alias("later_in"),
             F.lag("open_first").over(by).alias("first_in"),
             F.coalesce(F.lag("open_puts").over(by), F.lit(0)).alias("puts_in"),
         )

@@ -24,11 +24,11 @@ def match_watchers(changes: DataFrame, watchers: DataFrame, bins: int = 512, sal
     return changes.where(F.col("key").isNotNull()).select("revision", "seq", "key", bin_of(F.col("key")).alias("bin"), F.pmod(F.hash("revision", "seq"), F.lit(salts)).alias("salt")).join(grid, ["bin", "salt"]).where(covers & (F.col("revision") >= F.col("start_revision"))).select("watch_id", "revision", "seq", "key")
 
 
-def watch_events(log: DataFrame) -> DataFrame:
+def watch_events(log: DataFrame, spread_like: DataFrame | None = None) -> DataFrame:
     """Each change as an event: event_type (0 put, 1 delete), key, value ('' on delete), create_revision (0 on delete),
-    mod_revision, seq, prev_value (null if the key was not there)."""
+    mod_revision, seq, prev_value (null if the key was not there). ``spread_like``: as of history."""
     put = F.col("op") == "put"
-    return history(log).select(F.when(put, 0).otherwise(1).alias("event_type"), "key", F.coalesce("value", F.lit("")).alias("value"), "create_revision", F.col("revision").alias("mod_revision"), "seq", "prev_value")
+    return history(log, spread_like=spread_like).select(F.when(put, 0).otherwise(1).alias("event_type"), "key", F.coalesce("value", F.lit("")).alias("value"), "create_revision", F.col("revision").alias("mod_revision"), "seq", "prev_value")
 
 
 def registry_acks(requests: DataFrame) -> DataFrame:

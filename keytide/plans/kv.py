@@ -9,7 +9,7 @@ from keytide.operators import runs, versions
 from keytide.plans.registry import Registry
 from keytide.session import materialize, shared_path
 from keytide.sources import files
-from keytide.sources.fixtures import EVENT_LOG_SQL, PROBES_SQL, STORE_LOG_SQL, event_log, probes, store_log
+from keytide.sources.fixtures import EVENT_LOG_SQL, PROBES_SQL, STORE_LOG_SQL, delivered_revisions, event_log, probes, store_log
 from keytide.sources.tables import table
 
 REGISTRY = Registry()
@@ -118,13 +118,13 @@ FROM epochs e LEFT JOIN (SELECT key, epoch, min(revision) AS first_put FROM epoc
 )
 def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version with its place in its key's history."""
-    return versions.history(store_log(spark, sf_dir)).select("revision", "seq", "key", "op", "create_revision", "version_no", "prev_value", "existed", "next_revision", "rank_newest")
+    return versions.history(store_log(spark, sf_dir), spread_like=delivered_revisions(spark, sf_dir)).select("revision", "seq", "key", "op", "create_revision", "version_no", "prev_value", "existed", "next_revision", "rank_newest")
 
 
 @REGISTRY.add("delete_existed", _sql(STORE_LOG_SQL, select="SELECT revision, seq, key, existed FROM (SELECT *, coalesce(lag(op) OVER (PARTITION BY key ORDER BY revision, seq) = 'put', false) AS existed FROM log) WHERE op = 'delete'"))
 def delete_existed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every delete of the log, and whether the key was there."""
-    return versions.history(store_log(spark, sf_dir)).where("op = 'delete'").select("revision", "seq", "key", "existed")
+    return versions.history(store_log(spark, sf_dir), spread_like=delivered_revisions(spark, sf_dir)).where("op = 'delete'").select("revision", "seq", "key", "existed")
 
 
 _GC = "gc AS (SELECT l.*, (SELECT top - top // 100 FROM top) AS m FROM log l), marked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY revision DESC, seq DESC) AS rank, row_number() OVER (PARTITION BY key, revision <= m ORDER BY revision DESC, seq DESC) AS visible FROM gc)"

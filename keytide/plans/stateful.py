@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keytide.operators import leasing, transactions, versions, watching
 from keytide.plans.kv import _NEWEST, _sql
 from keytide.plans.registry import Registry
-from keytide.sources.fixtures import EVENT_LOG_SQL, OPERATIONS_SQL, SERIAL_SQL, STORE_LOG_SQL, TXNS_SQL, event_log, event_sizes, serial_reads, serial_writes, store_log, txn_operations, txn_reads, txn_writes
+from keytide.sources.fixtures import EVENT_LOG_SQL, OPERATIONS_SQL, SERIAL_SQL, STORE_LOG_SQL, TXNS_SQL, delivered_revisions, event_log, event_sizes, serial_reads, serial_writes, store_log, txn_operations, txn_reads, txn_writes
 from keytide.sources.tables import table
 
 REGISTRY = Registry()
@@ -138,7 +138,7 @@ def watch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def watch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes as events, with what they replace."""
-    return watching.watch_events(store_log(spark, sf_dir))
+    return watching.watch_events(store_log(spark, sf_dir), delivered_revisions(spark, sf_dir))
 
 
 _STANDING = "standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, granted_at ORDER BY recorded_at DESC) AS rn FROM leases WHERE id IS NOT NULL AND granted_at IS NOT NULL) WHERE rn = 1), cut AS (SELECT max(recorded_at) AS cut FROM leases)"

@@ -42,6 +42,11 @@ def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_changes(table(spark, sf_dir, "change_log"))
 
 
+def delivered_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(revision) of every delivered change, repeated ones too: where the log's revisions lie, from one column."""
+    return table(spark, sf_dir, "change_log").where(F.col("key").isNotNull()).select(F.col("mod_revision").alias("revision"))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of one change per event, keyed by user; errors delete."""
     return table(spark, sf_dir, "events").selectExpr(
