@@ -138,3 +138,13 @@ def allocated_ids(grants: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(1), F.coalesce("floor_before", F.lit(1)), F.coalesce(F.col("floor_here") - F.col("given_before"), F.lit(1)))
     found = joined.select("at", F.when(F.col("asked") == 0, before + least).otherwise(F.col("asked")).alias("lease_id"))
     return grants.select("at").join(found, "at", "left")
+
+
+def attachments_left(outcomes: DataFrame, requests: DataFrame) -> DataFrame:
+    """(lease_id, key) attached after all requests, by their outcomes: attached, not detached since, and the lease not revoked since."""
+    placed = outcomes.select("op_id", "outcome").join(requests.select("op_id", "lease_id", "ts", "key"), "op_id").withColumn("place", F.struct("ts", "op_id"))
+    when = lambda outcome: F.max(F.when(F.col("outcome") == outcome, F.col("place")))
+    keys = placed.where(F.col("outcome").isin("attached", "detached")).groupBy("lease_id", "key").agg(when("attached").alias("on"), when("detached").alias("off"))
+    ends = placed.where("outcome = 'revoked'").groupBy("lease_id").agg(F.max("place").alias("ended"))
+    left = keys.join(ends, "lease_id", "left")
+    return left.where(F.col("on").isNotNull() & (F.col("off").isNull() | (F.col("on") > F.col("off"))) & (F.col("ended").isNull() | (F.col("on") > F.col("ended")))).select("lease_id", "key")

@@ -152,3 +152,13 @@ def may_contain(probes: DataFrame, key: str, bloom: DataFrame, bits: int, hashes
     asked = probes.withColumn("at", F.explode(bloom_positions(key, bits, hashes))).withColumn("word", F.floor(F.col("at") / 32))
     hit = F.coalesce(F.expr("shiftright(mask, cast(at % 32 AS int)) & 1") == 1, F.lit(False))
     return asked.join(bloom, "word", "left").withColumn("hit", hit).groupBy(*probes.columns).agg(F.bool_and("hit").alias("may"))
+
+
+def manifest_after(edits: DataFrame) -> DataFrame:
+    """The runs of a store after edits of its manifest in the order of ``at`` (at, action: add, remove; sst_id, level): sst_id, level, next_id.
+
+    A run counts if its last edit adds it, at the level that edit gives; next_id is above every id that was ever added.
+    """
+    last = edits.groupBy("sst_id").agg(F.max_by(F.struct("action", "level"), "at").alias("e"))
+    next_id = edits.where("action = 'add'").agg((F.coalesce(F.max("sst_id"), F.lit(0)) + 1).alias("next_id"))  # one row
+    return last.where("e.action = 'add'").select("sst_id", "e.level").join(F.broadcast(next_id))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.functions import codecs
-from keytide.operators import applying, audit, consensus, runs
-from keytide.plans.kv import _sql
+from keytide.operators import applying, audit, consensus, leasing, runs
+from keytide.plans.kv import _RUNS, _sql
 from keytide.plans.registry import Registry
 from keytide.session import materialize
 from keytide.sources.fixtures import COMMAND_LOG_SQL, REPLICATED_LOG_SQL, STORE_LOG_SQL, command_log, event_sizes, replicated_log, store_log
@@ -314,6 +316,34 @@ def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.exposition(op_counts(spark, sf_dir).select(F.lit("kv_ops_total").alias("name"), F.lit("op").alias("label"), F.col("op").alias("label_value"), F.col("n").alias("value")))
 
 
+_GAUGES = """standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, granted_at ORDER BY recorded_at DESC) AS rn FROM leases WHERE id IS NOT NULL AND granted_at IS NOT NULL) WHERE rn = 1)"""
+
+
+@REGISTRY.add(
+    "store_metrics",
+    _sql(STORE_LOG_SQL, REPLICATED_LOG_SQL, _RUNS, _GAUGES, select="""SELECT name || ' ' || value AS line FROM (
+ SELECT 'log_term' AS name, max(term)::BIGINT AS value FROM replog UNION ALL SELECT 'log_last_index', max(log_index)::BIGINT FROM replog UNION ALL SELECT 'log_elections_total', count(*) FROM replog WHERE entry_type = 'Noop'
+ UNION ALL SELECT 'log_proposals_total', count(*) FROM replog WHERE entry_type = 'Normal' UNION ALL SELECT 'log_config_changes_total', count(*) FROM replog WHERE entry_type = 'ConfigChange'
+ UNION ALL SELECT 'storage_sstable_count', count(*) FROM stats UNION ALL SELECT 'storage_entries', sum(entries)::BIGINT FROM stats UNION ALL SELECT 'storage_bytes', sum(bytes)::BIGINT FROM stats UNION ALL SELECT 'storage_compaction_pending', (count(*) >= 4)::INT::BIGINT FROM stats WHERE level = 0
+ UNION ALL SELECT 'lease_active', count(*) FROM standing WHERE revoked_at IS NULL UNION ALL SELECT 'lease_grants_total', count(*) FROM standing UNION ALL SELECT 'lease_revokes_total', count(*) FROM standing WHERE revoked_at IS NOT NULL
+ UNION ALL SELECT 'watch_active', count(*) FROM watchers UNION ALL SELECT 'watch_events_published', count(*) FROM log UNION ALL SELECT 'kv_puts_total', count(*) FROM log WHERE op = 'put' UNION ALL SELECT 'kv_deletes_total', count(*) FROM log WHERE op = 'delete')"""),
+)
+def store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauges and counters of the log, the runs, leases and watchers, as lines of text."""
+    log, replicated = store_log(spark, sf_dir), replicated_log(spark, sf_dir)
+    kind = lambda k: F.count_if(F.col("entry_type") == k)
+    standing = leasing.standing_leases(table(spark, sf_dir, "leases"))
+    rows = [
+        replicated.agg(F.max("term").alias("log_term"), F.max("log_index").alias("log_last_index"), kind("Noop").alias("log_elections_total"), kind("Normal").alias("log_proposals_total"), kind("ConfigChange").alias("log_config_changes_total")),
+        runs.run_statistics(runs.cut_runs(log)).agg(F.count("*").alias("storage_sstable_count"), F.sum("entries").alias("storage_entries"), F.sum("bytes").alias("storage_bytes"), (F.count_if(F.col("level") == 0) >= 4).cast("int").alias("storage_compaction_pending")),
+        standing.agg(F.count_if(F.col("revoked_at").isNull()).alias("lease_active"), F.count("*").alias("lease_grants_total"), F.count_if(F.col("revoked_at").isNotNull()).alias("lease_revokes_total")),
+        table(spark, sf_dir, "watchers").agg(F.count("*").alias("watch_active")),
+        log.agg(F.count("*").alias("watch_events_published"), F.count_if(F.col("op") == "put").alias("kv_puts_total"), F.count_if(F.col("op") == "delete").alias("kv_deletes_total")),
+    ]
+    lines = [row.select(F.explode(F.array(*(F.concat(F.lit(c + " "), F.col(c).cast("string")) for c in row.columns))).alias("line")) for row in rows]
+    return reduce(DataFrame.unionByName, lines)
+
+
 @REGISTRY.add("key_codec", _sql(STORE_LOG_SQL, select="SELECT key, revision, seq, hex(encode(key) || unhex(lpad(to_hex(18446744073709551615::UBIGINT - revision::UBIGINT), 16, '0'))) AS encoded, key AS back_key, revision AS back_revision FROM log"))
 def key_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded keys, and back."""

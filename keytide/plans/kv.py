@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keytide.functions import codecs
 from keytide.operators import runs, versions
 from keytide.plans.registry import Registry
 from keytide.session import materialize, shared_path
@@ -243,6 +244,23 @@ def engine_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("state", F.when(F.col("value").isNull(), "tombstone").otherwise("value"))
 
 
+@REGISTRY.add("manifest_after", "SELECT sst_id, level, (SELECT max(user_id) + 1 FROM events WHERE event_type <> 'error') AS next_id FROM (SELECT user_id AS sst_id, arg_max(event_type, event_id) AS last, arg_max(event_id % 4, event_id) AS level FROM events GROUP BY user_id) WHERE last <> 'error'")
+def manifest_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that edits of a manifest leave."""
+    edits = table(spark, sf_dir, "events").selectExpr("event_id AS at", "if(event_type = 'error', 'remove', 'add') AS action", "user_id AS sst_id", "event_id % 4 AS level")
+    return runs.manifest_after(edits)
+
+
+@REGISTRY.add("wal_files", _sql(STORE_LOG_SQL, select="SELECT op, key, value, count(*) AS records FROM (SELECT op, key, CASE WHEN op = 'put' THEN coalesce(value, '') END AS value FROM log) GROUP BY ALL"))
+def wal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's writes, appended to log files and read from them."""
+    log = store_log(spark, sf_dir)
+    data = codecs.encode_wal_op(F.col("op"), F.col("key"), F.coalesce("value", F.lit("")))
+    catalogue = files.write_wal_files(log.select(F.col("revision").alias("seq"), data.alias("data")), shared_path(spark, "wal"))
+    read = files.read_wal_files(catalogue).select(codecs.decode_wal_op(F.col("data")).alias("w")).select("w.op", "w.key", "w.value")
+    return read.groupBy("op", "key", "value").agg(F.count("*").alias("records"))
+
+
 @REGISTRY.add("run_file_scan", _sql(STORE_LOG_SQL, _RUNS, select=f"SELECT * FROM ({_MERGED}) WHERE value IS NOT NULL AND key >= '{START}' AND key < '{END}'"))
 def run_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scan over runs in their binary files."""

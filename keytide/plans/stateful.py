@@ -210,11 +210,11 @@ def lease_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lease_id", "op_id", "outcome", F.array_join("keys", ",").alias("freed"))
 
 
-@REGISTRY.add("lease_attachments", _sql(_REQUESTS, select="SELECT lease_id, key FROM (SELECT lease_id, key, arg_max(op, (ts, op_id)) AS last FROM requests WHERE op IN ('attach', 'detach') AND key IS NOT NULL GROUP BY ALL) WHERE last = 'attach'"))
+@REGISTRY.add("lease_attachments", "WITH RECURSIVE " + _REQUESTS + ",\n" + FOLDED + "\nSELECT lease_id, unnest(held) AS key FROM (SELECT lease_id, arg_max(held, n) AS held FROM folded GROUP BY lease_id)")
 def lease_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys last attached, and not detached since."""
-    asked = leasing.distinct_requests(table(spark, sf_dir, "lease_ops")).where(F.col("op").isin("attach", "detach") & F.col("key").isNotNull())
-    return asked.groupBy("lease_id", "key").agg(F.max(F.struct("ts", "op_id", "op")).alias("last")).where("last.op = 'attach'").select("lease_id", "key")
+    """Keys attached to leases after all requests."""
+    requests = leasing.distinct_requests(table(spark, sf_dir, "lease_ops"))
+    return leasing.attachments_left(leasing.lease_outcomes(requests), requests)
 
 
 @REGISTRY.add("active_counts", _sql(_STANDING, select="SELECT (SELECT count(*) FROM standing WHERE revoked_at IS NULL) AS leases, (SELECT count(*) FROM watchers) AS watchers, (SELECT count(DISTINCT history_id) FROM ops) AS histories"))

@@ -62,6 +62,55 @@ def read_wal(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, seq long, data binary")
 
 
+SEGMENTS = "file string, first_seq bigint, last_seq bigint, records bigint, bytes bigint"
+
+
+def write_wal_files(records: DataFrame, path: str) -> DataFrame:
+    """Write records (seq, data) as segments of a log, in tasks, and give their catalogue (as of SEGMENTS), which is written last and once.
+
+    A segment holds a range of seq in order. Names are new in every attempt; segments that the catalogue does not name do not count. Null data is no record.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        name, first, last, count, size = f"{uuid.uuid4().hex}.wal", None, None, 0, 0
+        out = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            out = out or system.open_output_stream(f"{root}/{name}")
+            blob = wal_blob([bytes(d) for d in frame["data"]])
+            out.write(blob)
+            first, last = int(frame["seq"].iloc[0]) if first is None else first, int(frame["seq"].iloc[-1])
+            count, size = count + len(frame), size + len(blob)
+        if out:
+            out.close()
+            yield pd.DataFrame([(f"{path}/{name}", first, last, count, size)], columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+
+    rows = records.where(F.col("data").isNotNull()).select(F.col("seq").cast("long").alias("seq"), "data").repartitionByRange("seq").sortWithinPartitions("seq")
+    rows.mapInPandas(write, SEGMENTS).write.parquet(f"{path}/catalogue")
+    return records.sparkSession.read.schema(SEGMENTS).parquet(f"{path}/catalogue")
+
+
+def read_wal_files(catalogue: DataFrame, strict: bool = True) -> DataFrame:
+    """(first_seq, at, data) of the records of a catalogue's segments, by their place in the segment; ``strict`` as of wal_records."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for uri, first in zip(frame["file"], frame["first_seq"], strict=True):
+                system, name = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(name) as source:
+                    records = list(wal_records(source.read(), strict))
+                yield pd.DataFrame({"first_seq": first, "at": range(len(records)), "data": records})
+
+    return catalogue.select("file", "first_seq").repartition("file").mapInPandas(run, "first_seq bigint, at bigint, data binary")
+
+
 def _positions(key: bytes, bits: int, hashes: int) -> list[int]:
     """Bits of a key in a run's filter, from two halves of one hash."""
     digest = hashlib.blake2b(key, digest_size=16).digest()

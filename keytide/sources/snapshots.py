@@ -25,7 +25,9 @@ def create_snapshot(log: DataFrame, path: str, revision: int, term: int = 0, kee
     A snapshot counts once its description is in place, which is written last.
     """
     spark = log.sparkSession
-    target = f"{path}/snapshot-{revision:020d}-{uuid.uuid4().hex}"
+    # Of snapshots of one revision the one made last is the newest.
+    number = max((int(n.split("-")[2]) for n in _published(spark, path)), default=0) + 1
+    target = f"{path}/snapshot-{revision:020d}-{number:012d}-{uuid.uuid4().hex}"
     live(log, revision).write.parquet(f"{target}/data")
     meta = {"last_included_index": revision, "last_included_term": term, **_fingerprint(spark.read.parquet(f"{target}/data"))}
     write_text_file(spark, f"{target}/meta.json", json.dumps(meta))

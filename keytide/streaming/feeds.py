@@ -34,20 +34,16 @@ def run_watch_feed(changes: DataFrame, watchers: DataFrame, path: str, checkpoin
     """Write (watch_id, revision, seq, key) of what each watcher sees, batch by batch; a batch that is
     repeated after a failure replaces its own output, so that nothing comes twice.
 
-    Changes may come in any order and any time late: repeated deliveries are told by (mod_revision, seq) within a batch and
-    from what earlier batches wrote, and progress marks are left out. A change that no watcher sees is written in no batch.
+    Changes may come in any order and any time late: repeated deliveries are told by (mod_revision, seq), kept in the stream's state
+    without a watermark, so that no change is dropped for being late and a batch costs as much as it brings; the state grows with the distinct changes (use the
+    session's RocksDB state store for many). Progress marks are left out.
     """
+    seen = changes.where(F.col("key").isNotNull()).select(F.col("mod_revision").alias("revision"), "seq", "key").dropDuplicates(["revision", "seq"])
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.where(F.col("key").isNotNull()).select(F.col("mod_revision").alias("revision"), "seq", "key").dropDuplicates(["revision", "seq"])
-        fs, jpath = hadoop_fs(spark, path)
-        if fs.exists(jpath(path)):
-            told = spark.read.schema("revision long, seq int, batch long").parquet(path).where(F.col("batch") < number)
-            seen = seen.join(told.select("revision", "seq").distinct(), ["revision", "seq"], "left_anti")
-        match_watchers(seen, watchers).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        match_watchers(batch, watchers).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return seen.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_apply_loop(changes: DataFrame, path: str, checkpoint: str, keep: int = 2) -> StreamingQuery:

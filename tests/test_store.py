@@ -332,6 +332,10 @@ def test_snapshots(spark, rows):
     meta, kept = snapshots.load_snapshot(spark, path)
     assert meta["last_included_index"] == 40 and rows(kept, "key", "mod_revision") == rows(versions.live(log, 40), "key", "mod_revision")
     assert rows(snapshots.open_store(spark, path, log), "key", "mod_revision") == rows(versions.live(log), "key", "mod_revision")
+    other = spark.createDataFrame([(40, 0, "only", "put", "later", 0, 0, None)], log.schema)
+    snapshots.create_snapshot(other, path, 40)
+    assert rows(snapshots.load_snapshot(spark, path)[1], "key") == [("only",)]  # of two of one revision, the later
+    snapshots.create_snapshot(log, path, 40)
     snapshots.backup(spark, path, target, node_id=3)
     assert snapshots.restore(spark, target)[0]["node_id"] == 3
     kept.limit(1).write.mode("append").parquet(f"{target}/data")
