@@ -109,6 +109,23 @@ def test_run_files_written_in_tasks(spark, rows):
     assert path
 
 
+def test_segments_of_a_log(spark, rows):
+    records = spark.createDataFrame([(i, bytes([i % 256]) * (i % 70)) for i in range(1000)] + [(5000, None)], "seq long, data binary")
+    catalogue = files.write_wal_files(records, shared_path(spark, "wal"))
+    parts = catalogue.orderBy("first_seq").collect()
+    assert sum(p.records for p in parts) == 1000 and all(a.last_seq < b.first_seq for a, b in zip(parts, parts[1:], strict=False))
+    read = [bytes(r.data) for r in files.read_wal_files(catalogue).orderBy("first_seq", "at").collect()]
+    assert read == [bytes([i % 256]) * (i % 70) for i in range(1000)]
+    with open(parts[0].file.removeprefix("file://"), "r+b") as damaged:
+        damaged.seek(20)
+        damaged.write(b"xxxx")
+    with pytest.raises(Exception, match="damaged"):
+        files.read_wal_files(catalogue).count()
+    assert files.read_wal_files(catalogue, strict=False).count() < 1000
+    empty = files.write_wal_files(records.limit(0), shared_path(spark, "wal"))
+    assert empty.count() == 0 and files.read_wal_files(empty).count() == 0
+
+
 @pytest.mark.parametrize("name", ["p1_by_day", "p2_state", "kv_latest", "stream_apply", "stream_watch_feed", "stream_windows", "snapshot_restore", "commit_index", "stale_reads", "corrupt_reads"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb

@@ -300,6 +300,30 @@ def test_watcher_registry_and_faults(spark, rows):
     assert rows(audit.delivered(messages, acts.limit(0), nodes)) == sorted(((i, True) for i in range(len(sent))), key=str)
 
 
+def test_rules_at_their_edges(spark, rows):
+    make = spark.createDataFrame
+    asked = make([(3, "leader", False), (1, "leader", False), (2, "leader", True), (4, None, False), (5, "follower", True)], "at long, role string, transferring boolean")
+    assert rows(consensus.proposals(asked, 7)) == [(1, "accepted", 8), (2, "TransferInProgress", None), (3, "accepted", 9), (4, "NotLeader", None), (5, "NotLeader", None)]
+    states = make([(1, "leader", 3, 1, 1, 3), (2, "candidate", 3, 2, None, 4)], "node_id long, role string, term long, voted_for long, leader_id long, seen_term long")
+    assert rows(consensus.stepped_down(states)) == [(1, "leader", 3, 1, 1, False), (2, "follower", 4, None, None, True)]
+    transfers = make([(1, 0, 5), (2, 0, 5), (3, 0, 5), (4, 0, 5)], "transfer_id long, started_ms long, last_index long")
+    seen = make([(1, 100, 4), (1, 101, 5), (1, 150, 9), (2, 100, 4), (2, 101, 5), (3, 50, 4)], "transfer_id long, at_ms long, match_index long")
+    assert rows(consensus.transfer_outcomes(transfers, seen.where("at_ms <> 150"), 100)) == [(1, None, "TimedOut"), (2, None, "TimedOut"), (3, None, "Waiting"), (4, None, "Waiting")]
+    assert rows(consensus.transfer_outcomes(transfers, seen, 140).where("transfer_id < 3")) == [(1, 101, "TimedOut"), (2, 101, "TimeoutNow")]
+    offers = make([(1, 2, 9, 3, 0, 0, 0), (2, 3, 5, 3, 5, 6, 4), (3, 4, 9, 3, 5, 6, 10)], "offer_id long, leader_term long, included_index long, my_term long, snapshot_index long, commit_index long, applied_index long")
+    assert rows(consensus.snapshot_verdicts(offers)) == [(1, "stale", 3, 0, 0), (2, "ignored", 3, 6, 4), (3, "installed", 4, 9, 10)]
+    nodes, peers = make([(1, "leader"), (2, "follower"), (3, "leader")], "node_id long, role string"), make([(1, 0, 1), (1, 1, 4), (1, 2, 2), (2, 0, 1)], "node_id long, at long, peer_id long")
+    assert rows(consensus.drain_targets(nodes, peers)) == [(1, 4), (2, None), (3, None)]
+    switches = make([(1, 1, "read"), (1, 2, "fail_reads"), (1, 3, "read"), (1, 4, "write"), (1, 5, "restore_reads"), (1, 6, "read"), (2, 3, "write")], "disk_id long, at long, action string")
+    assert rows(audit.disk_verdicts(switches), "disk_id", "at", "ok") == [(1, 1, True), (1, 3, False), (1, 4, True), (1, 6, True), (2, 3, True)]
+    edits = make([(1, "add", 1, 0), (2, "add", 2, 0), (3, "remove", 1, None), (4, "add", 9, 1), (5, "remove", 9, None)], "at long, action string, sst_id long, level int")
+    assert rows(runs.manifest_after(edits)) == [(2, 0, 10)] and runs.manifest_after(edits.limit(0)).count() == 0
+    t = lambda n: dt.datetime(2024, 1, 1, 0, n)
+    requests = [(1, "grant", None), (2, "attach", "a"), (3, "attach", "b"), (4, "detach", "a"), (5, "revoke", None), (6, "grant", None), (7, "attach", "c"), (8, "attach", "a"), (9, "detach", "a"), (10, "attach", "a")]
+    frame = make([(i, t(i), op, 1, 3_600, key) for i, op, key in requests], "op_id long, ts timestamp_ntz, op string, lease_id long, ttl long, key string")
+    assert rows(leasing.attachments_left(leasing.lease_outcomes(frame), frame)) == [(1, "a"), (1, "c")]
+
+
 def test_audits(spark, rows):
     t0 = dt.datetime(2024, 1, 1)
     ops = [(i, 1, kind, key, value, t0, t0 + dt.timedelta(hours=h), result) for i, (kind, key, value, h, result) in enumerate([("Read", "k", "z", 0, "Ok"), ("Write", "k", "1", 1, "Ok"), ("Read", "k", "1", 2, "Ok"), ("Write", "k", "2", 3, "Error(x)"), ("Read", "k", "2", 4, "Ok"), ("Read", "k", None, 50, "Ok"), ("Write", "k", None, 60, "Ok"), ("Read", "k", None, 70, "Ok"), ("Read", None, "q", 71, "Ok"), ("Read", "k", "1", 72, None)])]
@@ -332,10 +356,10 @@ def test_snapshots(spark, rows):
     meta, kept = snapshots.load_snapshot(spark, path)
     assert meta["last_included_index"] == 40 and rows(kept, "key", "mod_revision") == rows(versions.live(log, 40), "key", "mod_revision")
     assert rows(snapshots.open_store(spark, path, log), "key", "mod_revision") == rows(versions.live(log), "key", "mod_revision")
-    other = spark.createDataFrame([(40, 0, "only", "put", "later", 0, 0, None)], log.schema)
-    snapshots.create_snapshot(other, path, 40)
-    assert rows(snapshots.load_snapshot(spark, path)[1], "key") == [("only",)]  # of two of one revision, the later
-    snapshots.create_snapshot(log, path, 40)
+    other = spark.createDataFrame([(40, 0, "only", "put", "later", 0, 0)], LOG)
+    for of in (log, other):
+        snapshots.create_snapshot(of, f"{path}-two", 40)
+    assert rows(snapshots.load_snapshot(spark, f"{path}-two")[1], "key") == [("only",)]  # of two of one revision, the later
     snapshots.backup(spark, path, target, node_id=3)
     assert snapshots.restore(spark, target)[0]["node_id"] == 3
     kept.limit(1).write.mode("append").parquet(f"{target}/data")
