@@ -156,3 +156,15 @@ def disk_verdicts(operations: DataFrame) -> DataFrame:
     asked = placed.where(F.col("action").isin("read", "write"))
     fails = F.when(F.col("action") == "read", F.col("reads_fail")).otherwise(F.col("writes_fail"))
     return asked.select("disk_id", "at", "action", (~F.coalesce(fails, F.lit(False))).alias("ok"))
+
+
+def http_answers(requests: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Answers to requests for a node's pages (request_id, path, leader_id): request_id, status, body.
+
+    /metrics gives the lines of ``metrics`` (line) in order, /health is always well, /ready is 503 while no leader is known; other paths are 404.
+    """
+    text = metrics.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))  # a store's gauges and counters
+    path, led = F.col("path"), F.col("leader_id").isNotNull()
+    status = F.when(path.isin("/metrics", "/health"), 200).when(path == "/ready", F.when(led, 200).otherwise(503)).otherwise(404)
+    body = F.when(path == "/metrics", F.col("text")).when(path == "/health", "OK").when(path == "/ready", F.when(led, "OK").otherwise("No leader")).otherwise("Not Found")
+    return requests.join(F.broadcast(text)).select("request_id", status.alias("status"), body.alias("body"))

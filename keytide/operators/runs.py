@@ -162,3 +162,17 @@ def manifest_after(edits: DataFrame) -> DataFrame:
     last = edits.groupBy("sst_id").agg(F.max_by(F.struct("action", "level"), "at").alias("e"))
     next_id = edits.where("action = 'add'").agg((F.coalesce(F.max("sst_id"), F.lit(0)) + 1).alias("next_id"))  # one row
     return last.where("e.action = 'add'").select("sst_id", "e.level").join(F.broadcast(next_id))
+
+
+def flushed(log: DataFrame, flushed_to: int, sst_id: int) -> DataFrame:
+    """Entries of the level-0 run (sst_id, level, key, value) that a flush makes of the changes after a revision: the newest of each key, null for
+    a tombstone, which stays as older runs may hold the key."""
+    tail = log.where(F.col("key").isNotNull() & (F.col("revision") > flushed_to))
+    newest = tail.groupBy("key").agg(F.max(F.struct("revision", "seq", F.when(F.col("op") == "put", F.coalesce("value", F.lit(""))).alias("value"))).alias("v"))
+    return newest.select(F.lit(sst_id).cast("long").alias("sst_id"), F.lit(0).alias("level"), "key", "v.value")
+
+
+def merged_with_memtable(entries: DataFrame, log: DataFrame, flushed_to: int) -> DataFrame:
+    """The newest value of every key over the runs and the changes that are in memory only, those after ``flushed_to``."""
+    memory = flushed(log, flushed_to, 0).withColumn("level", F.lit(-1))
+    return merged(entries.select("sst_id", "level", "key", "value").unionByName(memory))

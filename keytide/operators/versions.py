@@ -93,22 +93,30 @@ def history(log: DataFrame, slices: int | None = None, spread_like: DataFrame |
     )
 
 
-def created_at(log: DataFrame, at: int | None = None) -> DataFrame:
-    """(key, create_revision) of every live key, without ordering histories: the first put after the last delete."""
+def live(log: DataFrame, at: int | None = None, spread_like: DataFrame | None = None, slices: int | None = None) -> DataFrame:
+    """Key, value, create_revision, mod_revision, lease_id of live keys up to a revision.
+
+    create_revision is that of the first put of a key's present life. The log is gone through once, in slices of revisions, each of which gives a row per key: its
+    newest version, where a life began within it, and whether it starts with a put, which begins one if the slice before left the key deleted. ``spread_like``: as of history.
+    """
     seen = log.where(F.col("key").isNotNull())
     if at is not None:
         seen = seen.where(F.col("revision") <= at)
-    place = F.struct(*_ORDER)
-    last = seen.groupBy("key").agg(F.max(F.when(F.col("op") == "delete", place)).alias("last_delete"), F.max(place).alias("last"))
-    alive = last.where(F.col("last_delete").isNull() | (F.col("last_delete") < F.col("last"))).select("key", "last_delete")
-    puts = seen.where(F.col("op") == "put").select("key", *_ORDER)
-    return puts.join(alive, "key").where(F.col("last_delete").isNull() | (place > F.col("last_delete"))).groupBy("key").agg(F.min("revision").alias("create_revision"))
-
-
-def live(log: DataFrame, at: int | None = None) -> DataFrame:
-    """Key, value, create_revision, mod_revision, lease_id of live keys up to a revision."""
-    now = newest(log, at).where(F.col("op") == "put")
-    return now.join(created_at(log, at), "key").select("key", "value", "create_revision", F.col("revision").alias("mod_revision"), "lease_id")
+    slice_of = revision_slice(seen if spread_like is None else spread_like, slices=slices)
+    put = F.col("op") == "put"
+    inside = Window.partitionBy("key", "slice").orderBy(*_ORDER)
+    before = F.lag("op").over(inside)
+    placed = seen.select("key", *_ORDER, "op", "value", "lease_id", slice_of.alias("slice")).withColumn("before", before)
+    ends = placed.groupBy("key", "slice").agg(
+        F.max(F.struct(*_ORDER, "op", "value", "lease_id")).alias("v"),
+        F.max(F.when(put & (F.col("before") == "delete"), F.col("revision"))).alias("began"),
+        F.max(F.when(put & F.col("before").isNull(), F.col("revision"))).alias("starts"),
+    )
+    by = Window.partitionBy("key").orderBy("slice")
+    goes_on = F.coalesce(F.lag("v.op").over(by) == "put", F.lit(False))
+    began = ends.withColumn("began", F.coalesce("began", F.when(~goes_on, F.col("starts"))))
+    whole = began.groupBy("key").agg(F.max("v").alias("v"), F.max("began").alias("create_revision")).where("v.op = 'put'")
+    return whole.select("key", "v.value", "create_revision", F.col("v.revision").alias("mod_revision"), "v.lease_id")
 
 
 def get_many(log: DataFrame, keys: DataFrame, at: int | None = None) -> DataFrame:
@@ -155,6 +163,15 @@ def collect_garbage(log: DataFrame, min_revision: int, safe: bool = False) -> Da
     return kept.join(marks, "key").where(stays).drop("newest", "visible")
 
 
+def with_versions(log: DataFrame, writes: DataFrame) -> DataFrame:
+    """The log with writes that bring their own revision (key, revision, value; a null value deletes), after all others of that revision.
+
+    They may be older than what is there: reads go by revision, not by what came last.
+    """
+    own = writes.select("revision", F.lit(2147483647).alias("seq"), "key", F.when(F.col("value").isNull(), "delete").otherwise("put").alias("op"), "value")
+    return log.unionByName(own, allowMissingColumns=True)
+
+
 def expired_by_ttl(log: DataFrame, now: int) -> DataFrame:
     """Newest versions that are puts with ttl_seconds > 0 and revision + ttl_seconds <= now."""
     return newest(log).where((F.col("op") == "put") & (F.col("ttl_seconds") > 0) & (F.col("revision") + F.col("ttl_seconds") <= now))

@@ -25,8 +25,8 @@ def _sql(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
-def _top(log: DataFrame) -> int:
-    return log.agg(F.max("revision")).first()[0] or 0
+def _top(spark: SparkSession, sf_dir: str) -> int:
+    return delivered_revisions(spark, sf_dir).agg(F.max("revision")).first()[0] or 0
 
 
 _LIVE = (STORE_LOG_SQL, _NEWEST.format(where=""), _CREATED.format(more="", dmore=""))
@@ -35,7 +35,7 @@ _LIVE = (STORE_LOG_SQL, _NEWEST.format(where=""), _CREATED.format(more="", dmore
 @REGISTRY.add("kv_latest", _sql(*_LIVE, select="SELECT n.key, value, create_revision, revision AS mod_revision, lease_id FROM newest n JOIN created c ON c.key = n.key"))
 def kv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live keys with value, create and mod revision."""
-    return versions.live(store_log(spark, sf_dir))
+    return versions.live(store_log(spark, sf_dir), spread_like=delivered_revisions(spark, sf_dir))
 
 
 @REGISTRY.add(
@@ -44,8 +44,8 @@ def kv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def kv_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live keys at half of the log."""
-    log = store_log(spark, sf_dir)
-    return versions.live(log, _top(log) // 2).drop("create_revision")
+    now = versions.newest(store_log(spark, sf_dir), _top(spark, sf_dir) // 2).where("op = 'put'")
+    return now.select("key", "value", F.col("revision").alias("mod_revision"), "lease_id")
 
 
 @REGISTRY.add("kv_get", _sql(STORE_LOG_SQL, _NEWEST.format(where=""), select="SELECT key, value, revision AS mod_revision FROM newest WHERE op = 'put' AND key = (SELECT min(key) FROM newest WHERE op = 'put')"))
@@ -60,7 +60,7 @@ def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kv_get_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key at half of the log."""
     log = store_log(spark, sf_dir)
-    return versions.newest(log.where("key = 'cfg/rollout/active'"), _top(log) // 2).where("op = 'put'").select("key", "value", F.col("revision").alias("mod_revision"))
+    return versions.newest(log.where("key = 'cfg/rollout/active'"), _top(spark, sf_dir) // 2).where("op = 'put'").select("key", "value", F.col("revision").alias("mod_revision"))
 
 
 @REGISTRY.add(
@@ -135,7 +135,7 @@ _GC = "gc AS (SELECT l.*, (SELECT top - top // 100 FROM top) AS m FROM log l), m
 def gc_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a clean-up of versions leaves."""
     log = store_log(spark, sf_dir)
-    top = _top(log)
+    top = _top(spark, sf_dir)
     return versions.collect_garbage(log, top - top // 100).select("key", "revision", "seq", "op")
 
 
@@ -143,7 +143,7 @@ def gc_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gc_collect_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, keeping what a read at the threshold sees."""
     log = store_log(spark, sf_dir)
-    top = _top(log)
+    top = _top(spark, sf_dir)
     return versions.collect_garbage(log, top - top // 100, safe=True).select("key", "revision", "seq", "op")
 
 
@@ -151,7 +151,7 @@ def gc_collect_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many versions the clean-up removes."""
     log = store_log(spark, sf_dir)
-    top = _top(log)
+    top = _top(spark, sf_dir)
     kept = versions.collect_garbage(log, top - top // 100).agg(F.count("*").alias("kept"))
     return kept.select((F.lit(log.count()) - F.col("kept")).alias("removed"), "kept")
 
@@ -163,14 +163,14 @@ _EXPIRED = "expired AS (SELECT n.* FROM newest n, top WHERE op = 'put' AND ttl_s
 def ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys whose time to live has passed at the end of the log."""
     log = store_log(spark, sf_dir)
-    return versions.expired_by_ttl(log, _top(log)).select("key", "revision", "ttl_seconds")
+    return versions.expired_by_ttl(log, _top(spark, sf_dir)).select("key", "revision", "ttl_seconds")
 
 
 @REGISTRY.add("ttl_sweep_deletes", _sql(STORE_LOG_SQL, _TOP, _NEWEST.format(where=""), _EXPIRED, select="SELECT top + row_number() OVER (ORDER BY key) AS revision, 0 AS seq, key, 'delete' AS op FROM expired, top"))
 def ttl_sweep_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deletes of that sweep at new revisions, in the order of keys."""
     log = store_log(spark, sf_dir)
-    return versions.ttl_deletes(log, _top(log))
+    return versions.ttl_deletes(log, _top(spark, sf_dir))
 
 
 @REGISTRY.add("revision_alloc", _sql(STORE_LOG_SQL, select="SELECT revision, dense_rank() OVER (ORDER BY revision) AS number FROM (SELECT DISTINCT revision FROM log)"))
@@ -251,6 +251,33 @@ def manifest_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.manifest_after(edits)
 
 
+_HALF = "half AS (SELECT max(revision) // 2 AS half FROM log), tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY revision DESC, seq DESC) AS rn FROM log, half WHERE revision > half) WHERE rn = 1)"
+
+
+@REGISTRY.add("flush_run", _sql(STORE_LOG_SQL, _HALF, select="SELECT 77 AS sst_id, 0 AS level, min(key) AS min_key, max(key) AS max_key, count(*) AS entries, count(*) FILTER (op = 'delete') AS tombstones, CAST(sum(strlen(key) + coalesce(strlen(CASE WHEN op = 'put' THEN coalesce(value, '') END), 0)) AS BIGINT) AS bytes FROM tail"))
+def flush_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the level-0 run that the changes of the log's second half become."""
+    return runs.run_statistics(runs.flushed(store_log(spark, sf_dir), _top(spark, sf_dir) // 2, 77))
+
+
+@REGISTRY.add("engine_with_memtable", _sql(STORE_LOG_SQL, _NEWEST.format(where=""), select="SELECT key, coalesce(value, '') AS value FROM newest WHERE op = 'put'"))
+def engine_with_memtable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan over the runs of the log's first half and the changes in memory after it."""
+    log, half = store_log(spark, sf_dir), _top(spark, sf_dir) // 2
+    return runs.merged_with_memtable(runs.cut_runs(log.where(F.col("revision") <= half)), log, half)
+
+
+@REGISTRY.add("put_versioned", _sql(STORE_LOG_SQL, "added AS (SELECT key, max(revision) // 2 AS revision, 'late' AS value FROM log GROUP BY key UNION ALL SELECT key, max(revision) + 1, 'new' FROM log WHERE length(key) % 2 = 0 GROUP BY key)", "every AS (SELECT key, revision, seq, op, value FROM log UNION ALL SELECT key, revision, 2147483647, 'put', value FROM added)",
+      select="SELECT key, revision, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY revision DESC, seq DESC) AS rn FROM every) WHERE rn = 1 AND op = 'put'"))
+def put_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live keys after writes that bring their own revisions, some older than what is there."""
+    log = store_log(spark, sf_dir)
+    tops = log.groupBy("key").agg(F.max("revision").alias("top"))
+    late = tops.select("key", F.expr("top div 2").alias("revision"), F.lit("late").alias("value"))
+    new = tops.where("length(key) % 2 = 0").select("key", (F.col("top") + 1).alias("revision"), F.lit("new").alias("value"))
+    return versions.newest(versions.with_versions(log, late.unionByName(new))).where("op = 'put'").select("key", "revision", "value")
+
+
 @REGISTRY.add("wal_files", _sql(STORE_LOG_SQL, select="SELECT op, key, value, count(*) AS records FROM (SELECT op, key, CASE WHEN op = 'put' THEN coalesce(value, '') END AS value FROM log) GROUP BY ALL"))
 def wal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log's writes, appended to log files and read from them."""

@@ -195,3 +195,14 @@ def disk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads and writes of disks that fail and are restored."""
     half = "if(event_id % 2 = 0, 'reads', 'writes')"
     return audit.disk_verdicts(_events(spark, sf_dir, "user_id % 30 AS disk_id", "event_id AS at", f"CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'write' WHEN 'error' THEN concat('fail_', {half}) ELSE concat('restore_', {half}) END AS action"))
+
+
+@REGISTRY.add(
+    "http_answer",
+    """SELECT event_id AS request_id, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 200 WHEN 'signup' THEN CASE WHEN user_id % 3 = 0 THEN 503 ELSE 200 END ELSE 404 END AS status,
+ CASE event_type WHEN 'view' THEN 'a 1' || chr(10) || 'b 2' WHEN 'click' THEN 'OK' WHEN 'signup' THEN CASE WHEN user_id % 3 = 0 THEN 'No leader' ELSE 'OK' END ELSE 'Not Found' END AS body FROM events""",
+)
+def http_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to requests for metrics, health and readiness."""
+    asked = _events(spark, sf_dir, "event_id AS request_id", "CASE event_type WHEN 'view' THEN '/metrics' WHEN 'click' THEN '/health' WHEN 'signup' THEN '/ready' ELSE '/none' END AS path", "if(user_id % 3 = 0, NULL, user_id) AS leader_id")
+    return audit.http_answers(asked, spark.createDataFrame([("b 2",), ("a 1",)], "line string"))
