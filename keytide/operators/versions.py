@@ -125,9 +125,10 @@ def get_many(log: DataFrame, keys: DataFrame, at: int | None = None) -> DataFram
     return keys.select("key").join(now, "key", "left").select("key", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("mod_revision", F.lit(0)).alias("mod_revision"))
 
 
-def range_page(log: DataFrame, start: str, end: str, limit: int = 0, at: int | None = None) -> DataFrame:
-    """Live keys in [start, end) in byte order, the first ``limit`` of them if that is positive."""
-    rows = in_range(live(in_range(log, start, end), at), start, end).orderBy("key")
+def range_page(log: DataFrame, start: str, end: str, limit: int = 0, at: int | None = None, spread_like: DataFrame | None = None) -> DataFrame:
+    """Live keys in [start, end) in byte order, the first ``limit`` of them if that is positive. ``spread_like`` (key, revision): as of history."""
+    like = None if spread_like is None else in_range(spread_like, start, end)
+    rows = in_range(live(in_range(log, start, end), at, like), start, end).orderBy("key")
     return rows.limit(limit) if limit > 0 else rows
 
 

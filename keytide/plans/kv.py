@@ -84,7 +84,7 @@ def kv_asof_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("kv_range_limit", _sql(*_LIVE, select=f"SELECT n.key, value, create_revision, revision AS mod_revision, lease_id FROM newest n JOIN created c ON c.key = n.key WHERE n.key >= '{START}' AND n.key < '{END}' ORDER BY n.key LIMIT {PAGE}"))
 def kv_range_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First page of a range of keys, in byte order."""
-    return versions.range_page(store_log(spark, sf_dir), START, END, PAGE)
+    return versions.range_page(store_log(spark, sf_dir), START, END, PAGE, spread_like=delivered_revisions(spark, sf_dir))
 
 
 @REGISTRY.add("kv_range_count", _sql(STORE_LOG_SQL, _NEWEST.format(where=""), select=f"SELECT count(*) AS keys FROM newest WHERE op = 'put' AND key >= '{START}' AND key < '{END}'"))

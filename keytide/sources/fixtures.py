@@ -43,8 +43,8 @@ def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivered_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(revision) of every delivered change, repeated ones too: where the log's revisions lie, from one column."""
-    return table(spark, sf_dir, "change_log").where(F.col("key").isNotNull()).select(F.col("mod_revision").alias("revision"))
+    """(key, revision) of every delivered change, repeated ones too: where the log's revisions lie, from a scan alone."""
+    return table(spark, sf_dir, "change_log").where(F.col("key").isNotNull()).select("key", F.col("mod_revision").alias("revision"))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
