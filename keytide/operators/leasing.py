@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keytide.operators.sliced import even_slices, revision_slice, running_last, seconds_of
 
-STATE = "lease_id bigint, granted_ttl bigint, last_renewed timestamp, keys array<string>, alive boolean, errors bigint"
 EVENTS = "lease_id bigint, op_id bigint, outcome string, keys array<string>"
 
 
@@ -52,31 +49,29 @@ def fold_lease(state: dict | None, op: str, ts: float, ttl: int | None, key: str
     return state, "ignored", []
 
 
-def fold_requests(state: dict | None, requests: Iterable[tuple]) -> Iterator[tuple[dict | None, int, str, list[str]]]:
-    """Fold requests (op_id, op, ts, ttl, key) in order."""
-    for op_id, op, ts, ttl, key in requests:
-        state, outcome, freed = fold_lease(state, op, ts, ttl, key)
-        yield state, op_id, outcome, freed
-
-
-def lease_outcomes(requests: DataFrame) -> DataFrame:
+def lease_outcomes(requests: DataFrame, slices: int | None = None) -> DataFrame:
     """Outcome of every request of every lease in the order of ts and op_id: lease_id, op_id, outcome, keys set free.
 
-    Each outcome depends on the one before, so that a lease is folded in one task, request by request as they are read.
+    Each outcome depends on the one before, but after a revoke a lease is gone whatever came before it. So leases are cut behind their
+    revokes, found in slices of time, and each piece is folded in one task, request by request as they are read.
     """
 
-    rows = requests.select("lease_id", "op_id", "op", F.col("ts").cast("timestamp").cast("double").alias("at"), "ttl", "key")
-    whole = rows.repartition("lease_id").sortWithinPartitions("lease_id", "at", "op_id")
+    rows = requests.select("lease_id", "op_id", "op", "ts", F.col("ts").cast("timestamp").cast("double").alias("at"), "ttl", "key", seconds_of(F.col("ts")).alias("second"))
+    rows = rows.withColumn("slice", even_slices(rows, F.col("second"), slices)(F.col("second"))).drop("second")
+    ends = F.when(F.lower(F.trim("op")) == "revoke", F.col("op_id"))
+    pieces = running_last(rows, ["lease_id"], "slice", ["ts", "op_id"], ends, "piece", inclusive=False)
+    whole = pieces.repartition("lease_id", "piece").sortWithinPartitions("lease_id", "piece", "at", "op_id").select("lease_id", "op_id", "op", "at", "ttl", "key", "piece")
 
     def over(batches):
         import pandas as pd
 
-        state, lease = None, None
+        state, of = None, None
         for frame in batches:
             out = []
-            for lease_id, op_id, op, at, ttl, name in zip(*(frame[c] for c in ("lease_id", "op_id", "op", "at", "ttl", "key")), strict=True):
-                if lease_id != lease:
-                    lease, state = lease_id, None
+            for lease_id, op_id, op, at, ttl, name, piece in zip(*(frame[c] for c in ("lease_id", "op_id", "op", "at", "ttl", "key", "piece")), strict=True):
+                piece = None if pd.isna(piece) else int(piece)
+                if (lease_id, piece) != of:
+                    of, state = (lease_id, piece), None
                 state, outcome, freed = fold_lease(state, (op or "").strip().lower(), float(at), None if pd.isna(ttl) else int(ttl), name if isinstance(name, str) else None)
                 out.append((lease_id, op_id, outcome, freed))
             yield pd.DataFrame(out, columns=["lease_id", "op_id", "outcome", "keys"])
