@@ -49,9 +49,9 @@ SELECT lease_id, op_id, outcome, array_to_string(freed, ',') AS freed FROM folde
 UNION ALL SELECT lease_id, -1, 'collected', array_to_string(list_sort(held), ',') FROM ended, (SELECT max(ts) - INTERVAL 4 DAY AS mark FROM lease_ops WHERE lease_id <> 0) WHERE ttl > 0 AND renewed + to_seconds(ttl) <= mark""",
 )
 def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of lease requests as a stream, with timers; its SQL is for a table in one file, so one batch and a last watermark."""
+    """Outcomes of lease requests as a stream, with timers; all files are one batch, followed by a last watermark, as its SQL has it."""
     out = shared_path(spark, "leases")
-    rows = feeds.lease_stream(feeds.feed_stream(spark, sf_dir, "lease_ops"))
+    rows = feeds.lease_stream(feeds.feed_stream(spark, sf_dir, "lease_ops", files_per_trigger=None))
     _finish(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start())
     return spark.read.parquet(out).select("lease_id", "op_id", "outcome", F.array_join("keys", ",").alias("freed"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -17,11 +19,18 @@ from keytide.operators.watching import match_watchers
 from keytide.session import hadoop_fs
 
 
-def feed_stream(spark: SparkSession, sf_dir: str, name: str = "change_log", files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the files of a table; its schema is read once, timestamps become instants for watermarks."""
+def feed_stream(spark: SparkSession, sf_dir: str, name: str = "change_log", files_per_trigger: int | None = 1, bytes_per_trigger: str | None = None) -> DataFrame:
+    """A stream of the files of a table; its schema is read once, timestamps become instants for watermarks.
+
+    A batch takes ``files_per_trigger`` files, or files of ``bytes_per_trigger`` ("256m") where that is given, or all that are there if both are None.
+    """
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    elif files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     fs, jpath = hadoop_fs(spark, path)
     if fs.getFileStatus(jpath(path)).isDirectory():
         rows = reader.parquet(path)
@@ -62,42 +71,48 @@ def run_apply_loop(changes: DataFrame, path: str, checkpoint: str, keep: int = 2
 
 
 _LEASE_OUT = "lease_id long, op_id long, outcome string, keys array<string>"
-_LEASE_STATE = "ttl long, renewed double, keys array<string>"
+#: JSON of a bucket's leases: by id [ttl, renewed, keys, milliseconds at which the watermark may collect it].
+_LEASE_STATE = "leases string"
+#: Leases share a state by buckets, as a call of Python costs more than the fold of a lease.
+LEASE_BUCKETS = 128
 
 
-def _fold_group(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = None
-    if state.exists:
-        ttl, renewed, keys = state.get
-        held = {"ttl": ttl, "renewed": renewed, "keys": list(keys)}
+def _fold_bucket(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    leases: dict[int, list] = {int(i): kept for i, kept in json.loads(state.get[0]).items()} if state.exists else {}
+    mark = state.getCurrentWatermarkMs()
     out: list[tuple] = []
-    if state.hasTimedOut:
-        out.append((key[0], -1, "collected", sorted(held["keys"]) if held else []))
-        state.remove()
+    if not state.hasTimedOut:
+        rows = pd.concat(list(frames)).sort_values(["lease_id", "at", "op_id"])
+        columns = (rows[c].tolist() for c in ("lease_id", "op_id", "op", "at", "ttl", "key"))
+        for lease_id, group in groupby(zip(*columns, strict=True), lambda r: r[0]):
+            kept = leases.pop(lease_id, None)
+            held = {"ttl": kept[0], "renewed": kept[1], "keys": kept[2]} if kept else None
+            for _, op_id, op, at, ttl, name in group:
+                held, outcome, freed = fold_lease(held, (op or "").strip().lower(), at, None if pd.isna(ttl) else int(ttl), name if isinstance(name, str) else None)
+                out.append((lease_id, op_id, outcome, freed))
+            if held is not None:
+                leases[lease_id] = [held["ttl"], held["renewed"], held["keys"], max(int((held["renewed"] + held["ttl"]) * 1000), mark + 1)]
+    for lease_id in [i for i, kept in leases.items() if kept[3] < mark]:
+        out.append((lease_id, -1, "collected", sorted(leases.pop(lease_id)[2])))
+    if leases:
+        state.update((json.dumps(leases),))
+        state.setTimeoutTimestamp(max(min(kept[3] for kept in leases.values()), mark + 1))
     else:
-        rows = pd.concat(list(frames)).sort_values(["at", "op_id"])
-        for op_id, op, at, ttl, name in zip(rows["op_id"], rows["op"], rows["at"], rows["ttl"], rows["key"], strict=True):
-            held, outcome, freed = fold_lease(held, (op or "").strip().lower(), float(at), None if pd.isna(ttl) else int(ttl), name if isinstance(name, str) else None)
-            out.append((key[0], op_id, outcome, freed))
-        if held is None:
-            state.remove()
-        else:
-            state.update((held["ttl"], held["renewed"], held["keys"]))
-            due = int((held["renewed"] + held["ttl"]) * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        state.remove()
     yield pd.DataFrame(out, columns=["lease_id", "op_id", "outcome", "keys"])
 
 
-def lease_stream(requests: DataFrame, late: str = "4 days") -> DataFrame:
+def lease_stream(requests: DataFrame, late: str = "4 days", buckets: int = LEASE_BUCKETS) -> DataFrame:
     """Outcomes of lease requests in a stream (lease_id, op_id, outcome, keys), with a row 'collected'
     (op_id -1) and the keys it sets free when the watermark passes a lease's end.
 
     ``late`` must be more than requests take to arrive, as later ones are dropped. A lease that has run out stays, as in the batch fold, until
-    it is revoked or the watermark collects it, so that what a request on it gives depends on which came first.
+    it is revoked or the watermark collects it, so that what a request on it gives depends on which came first. A bucket's leases, and its requests
+    of a batch, are held in memory at once; ``buckets`` must stay the same for a checkpoint.
     """
     named = requests.where(F.col("lease_id").isNotNull() & (F.col("lease_id") != 0) & F.col("ts").isNotNull()).withWatermark("ts", late).dropDuplicatesWithinWatermark(["op_id"])
-    rows = named.select("lease_id", "op_id", "op", "ts", F.col("ts").cast("double").alias("at"), "ttl", "key")
-    return rows.groupBy("lease_id").applyInPandasWithState(_fold_group, _LEASE_OUT, _LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = named.select(F.pmod(F.xxhash64("lease_id"), F.lit(buckets)).alias("bucket"), "lease_id", "op_id", "op", "ts", F.col("ts").cast("double").alias("at"), "ttl", "key")
+    return rows.groupBy("bucket").applyInPandasWithState(_fold_bucket, _LEASE_OUT, _LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def changes_per_window(changes: DataFrame, width: str = "1 hour", late: str = "8 days") -> DataFrame:
