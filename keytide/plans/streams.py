@@ -17,6 +17,9 @@ from keytide.streaming import feeds
 
 REGISTRY = Registry()
 
+#: Bytes of files that a batch takes: what a batch costs besides its rows (plans, commits of state, buckets written anew) then grows with the input, not with the number of its files.
+BYTES_AT_ONCE = 256 << 20
+
 
 def _finish(query) -> None:
     try:
@@ -37,7 +40,7 @@ def stream_watch_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live keys kept up to date by a stream."""
     path = shared_path(spark, "state")
-    _finish(feeds.run_apply_loop(feeds.feed_stream(spark, sf_dir), path, shared_path(spark, "checkpoint")))
+    _finish(feeds.run_apply_loop(feeds.feed_stream(spark, sf_dir, bytes_per_trigger=BYTES_AT_ONCE), path, shared_path(spark, "checkpoint")))
     return StateTable(spark, path).read().where(~F.col("deleted")).select("key", "mod_revision", "seq")
 
 

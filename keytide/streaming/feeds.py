@@ -19,10 +19,10 @@ from keytide.operators.watching import match_watchers
 from keytide.session import hadoop_fs
 
 
-def feed_stream(spark: SparkSession, sf_dir: str, name: str = "change_log", files_per_trigger: int | None = 1, bytes_per_trigger: str | None = None) -> DataFrame:
+def feed_stream(spark: SparkSession, sf_dir: str, name: str = "change_log", files_per_trigger: int | None = 1, bytes_per_trigger: int | None = None) -> DataFrame:
     """A stream of the files of a table; its schema is read once, timestamps become instants for watermarks.
 
-    A batch takes ``files_per_trigger`` files, or files of ``bytes_per_trigger`` ("256m") where that is given, or all that are there if both are None.
+    A batch takes ``files_per_trigger`` files, or files of ``bytes_per_trigger`` (at least one) where that is given, or all that are there if both are None.
     """
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema

@@ -69,3 +69,15 @@ def test_leases_of_a_bucket_end_one_by_one(spark, rows, put_files):
     want = [(1, "granted", 7, []), (2, "attached", 7, []), (3, "attached", 7, []), (4, "granted", 8, []), (5, "granted", 9, []), (6, "attached", 8, []), (7, "renewed", 8, []), (9, "ignored", 8, []), (10, "ignored", 8, []), (11, "not found", 10, [])]
     want += [(8, "expired", 9, []), (-1, "collected", 7, ["a", "b"]), (-1, "collected", 9, []), (-1, "collected", 8, ["c"])]
     assert rows(spark.read.parquet(out), "op_id", "outcome", "lease_id", "keys") == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("name", "step"), [("stream_apply", "StateTable")])
+def test_small_files_share_a_batch(spark, put_files, equals_sql, monkeypatch, name, step):
+    log = spark.read.parquet(f"{SF}/change_log.parquet")
+    sf = put_files("change_log", [log.where(f"feed_pos % 4 = {i}") for i in (3, 0, 2, 1)])
+    spark.read.parquet(f"{SF}/watchers.parquet").write.parquet(f"{sf}/watchers.parquet")
+    batches, of = [], getattr(feeds, step)
+    monkeypatch.setattr(feeds, step, lambda *args: batches.append(1) or of(*args))
+    assert equals_sql(name, sf, "change_log", "watchers") and len(batches) == 1
+    monkeypatch.setattr("keytide.plans.streams.BYTES_AT_ONCE", 1)
+    assert equals_sql(name, sf, "change_log", "watchers") and len(batches) == 1 + 4
