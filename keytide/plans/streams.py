@@ -32,7 +32,7 @@ def _finish(query) -> None:
 def stream_watch_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The watch feed as a stream."""
     out, watchers = shared_path(spark, "feed"), table(spark, sf_dir, "watchers")
-    _finish(feeds.run_watch_feed(feeds.feed_stream(spark, sf_dir), watchers, out, shared_path(spark, "checkpoint")))
+    _finish(feeds.run_watch_feed(feeds.feed_stream(spark, sf_dir, bytes_per_trigger=BYTES_AT_ONCE), watchers, out, shared_path(spark, "checkpoint")))
     return spark.read.parquet(out).select("watch_id", "revision", "seq", "key")
 
 

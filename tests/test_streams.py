@@ -71,7 +71,7 @@ def test_leases_of_a_bucket_end_one_by_one(spark, rows, put_files):
     assert rows(spark.read.parquet(out), "op_id", "outcome", "lease_id", "keys") == sorted(want, key=str)
 
 
-@pytest.mark.parametrize(("name", "step"), [("stream_apply", "StateTable")])
+@pytest.mark.parametrize(("name", "step"), [("stream_apply", "StateTable"), ("stream_watch_feed", "match_watchers")])
 def test_small_files_share_a_batch(spark, put_files, equals_sql, monkeypatch, name, step):
     log = spark.read.parquet(f"{SF}/change_log.parquet")
     sf = put_files("change_log", [log.where(f"feed_pos % 4 = {i}") for i in (3, 0, 2, 1)])
